@@ -44,12 +44,12 @@ QUERIES = {"backtest_cohorts": backtest_cohorts}
 ORACLE_SQL = {
     "backtest_cohorts": f"""
 WITH early AS (
-  SELECT user_id, arg_min(event_type, (ts, event_id)) AS stage, arg_min(value, (ts, event_id)) AS value, min(ts) AS at
+  SELECT user_id, arg_min(event_type, (ts, event_id)) AS stage, arg_min(value, (ts, event_id)) AS value, min(ts) AS t0
   FROM events WHERE event_type <> 'purchase' GROUP BY user_id),
-kept AS (SELECT * FROM early WHERE at + INTERVAL {HORIZON_DAYS} DAY <= (SELECT max(ts) FROM events)),
+kept AS (SELECT * FROM early WHERE t0 + INTERVAL {HORIZON_DAYS} DAY <= (SELECT max(ts) FROM events)),
 scored AS (
   SELECT k.*, EXISTS (SELECT 1 FROM events e WHERE e.user_id = k.user_id AND e.event_type = 'purchase'
-    AND e.ts > k.at AND e.ts <= k.at + INTERVAL {HORIZON_DAYS} DAY)::INT AS hit FROM kept k),
+    AND e.ts > k.t0 AND e.ts <= k.t0 + INTERVAL {HORIZON_DAYS} DAY)::INT AS hit FROM kept k),
 keyed AS (
   SELECT stage || ':*' AS cohort, hit FROM scored
   UNION ALL SELECT stage || ':' || CASE WHEN value >= 50 THEN 'high' ELSE 'low' END, hit FROM scored)
