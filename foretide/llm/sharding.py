@@ -37,7 +37,7 @@ def communication_matrix(have: list[int], want: list[int], seed: int) -> np.ndar
             if not rest:
                 break
             lacking -= int(w)
-            out[i, j] = got = int(w) if not lacking else draw(rng, int(w), lacking, rest)
+            out[i, j] = got = rest if not lacking else draw(rng, int(w), lacking, rest)
             rest -= got
         left -= out[i]
     return out
