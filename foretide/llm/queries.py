@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from foretide.llm import exact_dedup, licences, mixing, sharding
+from foretide.llm import decontaminate, exact_dedup, licences, mixing, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op10_token_output": tokens.op10_token_output,
+    "op3_simhash": simhash.op3_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op9_licence_scan": licences.op9_licence_scan,
 }
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
