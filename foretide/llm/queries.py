@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from foretide.llm import decontaminate, exact_dedup, licences, mixing, quality, sharding, simhash, tokens
+from foretide.llm import decontaminate, exact_dedup, licences, lz_dedup, mixing, quality, sharding, simhash, suffix_dedup, tokens
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op10_token_output": tokens.op10_token_output,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_lz_dedup": lz_dedup.op8_lz_dedup,
     "op9_licence_scan": licences.op9_licence_scan,
 }
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
