@@ -160,6 +160,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int = 6, sour
     return placed.select("rid", "doc_id", "size", "source_size", "target"), draws
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: rows of ``docs``, all columns, each as often as it is taken. ``docs`` has to be a stored table."""
+    rid = "__rid"
+    _, draws = mix(docs)
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(draws.select(F.col("rid").alias(rid)), rid).drop(rid)
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs, draws = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     took = draws.groupBy("rid").agg(

@@ -164,5 +164,19 @@ def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> D
     )
 
 
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not rejected (score of 0.5 or more)."""
+    import pyarrow as pa
+
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def kept(batches):
+        for b in batches:
+            own = [score(model.value, term_counts(t)).round(6) >= 0.5 for _, t in text_batches(b.column("text"))]
+            yield b.filter(pa.array(np.concatenate(own) if own else [], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

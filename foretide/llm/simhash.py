@@ -22,55 +22,78 @@ from pyspark.sql import functions as F
 
 from foretide.llm.common import stored, text_batches
 from foretide.llm.graph import components
+from foretide.llm.hashing import mix
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Most fingerprints that a group should hold on average: sets how many blocks have to agree.
 GROUP = 2048
 #: Node pairs that are expanded at a time, and fingerprints that are indexed together.
-FRONTIER, CHUNK, FANOUT = 50_000, 200_000, 4
+FRONTIER, CHUNK, FANOUT = 50_000, 100_000, 4
+#: Constants that further fingerprint words mix into the shingles' hashes.
+MORE = np.random.default_rng(3).integers(0, 2**64, 31, dtype=np.uint64)
 
 
-def fingerprint(text: bytes, n_words: int = WORDS) -> int:
-    """Majority bits of the XXH64 of the text's word shingles, A-Z in lower case."""
+def fingerprint(text: bytes, n_words: int = WORDS, words_out: int = 1) -> np.ndarray:
+    """Majority bits of the XXH64 of the text's word shingles, A-Z in lower case; further words of 64 bits come from
+    further mixes of the same hashes."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(words_out, dtype=np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - n_words + 1)
     last = ends[min(n_words, len(words)) - 1 :]
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 15):
-        pieces = zip(starts[at : min(n, at + (1 << 15))].tolist(), last[at : at + (1 << 15)].tolist(), strict=True)
+    ones = np.zeros(64 * words_out, dtype=np.int64)
+    for at in range(0, n, 1 << 14):
+        pieces = zip(starts[at : min(n, at + (1 << 14))].tolist(), last[at : at + (1 << 14)].tolist(), strict=True)
         h = np.array([digest(joined[a:b], SEED) for a, b in pieces], dtype=np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        h = h[:, None] if words_out == 1 else np.stack([h, *(mix(h ^ m) for m in MORE[: words_out - 1])], axis=1)
+        ones += column_sums(np.unpackbits(np.ascontiguousarray(h).view(np.uint8), axis=1, bitorder="little"))
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def column_sums(bits: np.ndarray) -> np.ndarray:
+    """Sums of a matrix of zeros and ones over its rows, 255 rows at a time in bytes."""
+    whole = len(bits) // 255 * 255
+    out = np.add.reduce(bits[whole:], axis=0, dtype=np.uint8).astype(np.int64)
+    if whole:
+        out += np.add.reduce(bits[:whole].reshape(-1, 255, bits.shape[1]), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def fingerprints(docs: DataFrame, n_words: int = WORDS, words_out: int = 1, carried=("doc_id",)) -> DataFrame:
+    """The carried columns and fp (64 bits as a signed long; w0, w1, ... where there are more words) of every row."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            out = [fingerprint(t, n_words) for _, texts in text_batches(b.column("text")) for t in texts]
-            fp = np.array(out, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            out = [fingerprint(t, n_words, words_out) for _, texts in text_batches(b.column("text")) for t in texts]
+            fp = np.array(out, dtype=np.uint64).reshape(-1, words_out).view(np.int64)
+            own = [pa.array(np.ascontiguousarray(fp[:, i])) for i in range(words_out)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *own], names=[*carried, *names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    names = ["fp"] if words_out == 1 else [f"w{i}" for i in range(words_out)]
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried] + [f"{c} long" for c in names]
+    return docs.select(*carried, "text").mapInArrow(run, ", ".join(kinds))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each word in the reflected Gray code."""
+    """The place of each row of 64-bit words in the reflected Gray code over all its bits."""
     for s in (1, 2, 4, 8, 16, 32):
         x = x ^ (x >> np.uint64(s))
+    for i in range(1, x.shape[1]):  # a word is passed through backwards after an odd number of ones
+        x[:, i] ^= np.uint64(0) - (x[:, i - 1] & np.uint64(1))
     return x
 
 
+def ones(x: np.ndarray) -> np.ndarray:
+    n = np.bitwise_count(x)
+    return n[:, 0] if n.shape[1] == 1 else n.sum(axis=1, dtype=np.int64)
+
+
 def block_masks(agree: int, bits: int = BITS) -> list[int]:
     """A mask for each choice of ``agree`` of ``agree + bits`` blocks of a 64-bit word."""
     n = agree + bits
@@ -97,20 +120,23 @@ def settle(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Fingerprints sorted by group and Gray rank, with levels of nodes that keep the bits common to all below."""
+    """Rows of fingerprint words sorted by group and Gray rank, with levels of nodes that keep the bits common to all
+    below. ``label`` starts with the links between neighbours in the order."""
 
-    def __init__(self, fps: np.ndarray, group: np.ndarray) -> None:
-        order = np.lexsort((gray_rank(fps), group))
+    def __init__(self, fps: np.ndarray, group: np.ndarray, bits: int) -> None:
+        self.bits = bits
+        rank = gray_rank(fps)
+        self.order = order = np.lexsort((*(rank[:, i] for i in reversed(range(rank.shape[1]))), group))
         self.fps, group = fps[order], group[order]
         new = np.concatenate(([True], group[1:] != group[:-1]))
         starts = np.flatnonzero(new)
-        rank = np.arange(len(fps)) - np.repeat(starts, np.diff(np.append(starts, len(fps))))
-        self.levels = []  # (first fingerprint, one past the last, first child, one past the last, shared bits, their mask)
+        nth = np.arange(len(fps)) - np.repeat(starts, np.diff(np.append(starts, len(fps))))
         low = np.arange(len(fps))
-        self.levels.append((low, low + 1, low, low + 1, self.fps, np.full(len(fps), ~np.uint64(0))))
+        # (first fingerprint, one past the last, first child, one past the last, shared bits, their mask)
+        self.levels = [(low, low + 1, low, low + 1, self.fps, np.full_like(self.fps, ~np.uint64(0)))]
         width = FANOUT
         while True:
-            cut = np.flatnonzero(new | (rank % width == 0))
+            cut = np.flatnonzero(new | (nth % width == 0))
             end = np.append(cut[1:], len(fps))
             both, any_ = np.bitwise_and.reduceat(self.fps, cut), np.bitwise_or.reduceat(self.fps, cut)
             below = self.levels[-1][0]
@@ -119,12 +145,11 @@ class GrayIndex:
             if len(cut) == len(starts):
                 break
             width *= FANOUT
-        self.label = np.arange(len(fps))
-        near = np.flatnonzero(~new[1:] & (np.bitwise_count(self.fps[1:] ^ self.fps[:-1]) <= BITS)) if len(fps) > 1 else low[:0]
-        self.label = settle(self.label, near, near + 1)
+        near = np.flatnonzero(~new[1:] & (ones(self.fps[1:] ^ self.fps[:-1]) <= bits))
+        self.label = settle(low.copy(), near, near + 1)
 
-    def join(self, bits: int) -> np.ndarray:
-        """Component labels of the fingerprints under links of at most ``bits`` differences within a group."""
+    def join(self) -> np.ndarray:
+        """Component labels under links of at most ``bits`` differences within a group."""
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top][0]))
         stack = [(top, roots, roots)]
@@ -135,14 +160,17 @@ class GrayIndex:
                 stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
                 continue
             first, end, kid, kid_end, shared, mask = self.levels[level]
-            least, most = np.minimum.reduceat(self.label, first), np.maximum.reduceat(self.label, first)
+            if level:
+                least, most = np.minimum.reduceat(self.label, first), np.maximum.reduceat(self.label, first)
+            else:
+                least = most = self.label
             todo = ~((least[a] == most[b]) & (most[a] == least[b]))  # not all of one component
             a, b = a[todo], b[todo]
             common = mask[a] & mask[b]
-            differ = np.bitwise_count((shared[a] ^ shared[b]) & common)
-            keep = differ <= bits
+            differ = ones((shared[a] ^ shared[b]) & common)
+            keep = differ <= self.bits
             a, b, common, differ = a[keep], b[keep], common[keep], differ[keep]
-            whole = differ + np.bitwise_count(~common) <= bits
+            whole = differ + ones(~common) <= self.bits
             if whole.any():
                 x, y = a[whole], b[whole]
                 self.label = settle(self.label, *self._stars(first, end, x, y))
@@ -170,39 +198,35 @@ class GrayIndex:
         return np.concatenate(u), np.concatenate(v)
 
 
-def _linked(batches):
+def _linked(names: list[str], bits: int, node: str):
     """Links of a spanning forest for each run of complete groups; rows come sorted by group."""
     import pyarrow as pa
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush(fps, group):
-        index = GrayIndex(fps.view(np.uint64), group)
-        label = index.join(BITS)
+    def flush(ids, choice, part, *words):
+        new = np.concatenate(([True], (choice[1:] != choice[:-1]) | (part[1:] != part[:-1])))
+        index = GrayIndex(np.stack(words, axis=1).view(np.uint64), np.cumsum(new), bits)
+        label = index.join()
         own = np.flatnonzero(label != np.arange(len(label)))
-        out = index.fps.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(out[own]), pa.array(out[label[own]])], names=["a", "b"])
+        ids = ids[index.order]
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["a", "b"])
 
-    def joined():
-        fps, choice, part = (np.concatenate([h[i] for h in held]) for i in range(3))
-        new = np.concatenate(([True], (choice[1:] != choice[:-1]) | (part[1:] != part[:-1])))
-        return fps, np.cumsum(new)
-
-    size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(tuple(b.column(c).to_numpy() for c in ("fp", "choice", "part")))
-        size += b.num_rows
-        if size >= CHUNK:
-            fps, group = joined()
-            whole = int(np.searchsorted(group, group[-1]))
-            if whole:
-                yield flush(fps[:whole], group[:whole])
-                last = [np.concatenate([h[i] for h in held])[whole:] for i in range(3)]
-                held, size = [tuple(last)], len(last[0])
-    if size:
-        yield flush(*joined())
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy() for c in (node, "choice", "part", *names)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if len(held[0]) >= CHUNK:
+                last = (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+                whole = int(np.argmax(last))  # the last group goes on
+                if whole:
+                    yield flush(*(x[:whole] for x in held))
+                    held = [x[whole:] for x in held]
+        if held is not None and len(held[0]):
+            yield flush(*held)
+
+    return run
 
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
@@ -215,7 +239,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     keyed = distinct.select("fp", F.explode(F.array(*choices)).alias("k")).select("fp", "k.choice", "k.part")
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(choices) // 2_000_000))
     keyed = keyed.repartition(parts, "choice", "part").sortWithinPartitions("choice", "part")
-    return keyed.mapInArrow(_linked, "a long, b long")
+    return keyed.mapInArrow(_linked(["fp"], bits, "fp"), "a long, b long")
 
 
 def near_groups(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
@@ -229,6 +253,41 @@ def near_groups(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     return rows.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Near copies: five-word shingles, WIDE fingerprint words, bands of BAND bits. Two texts of shingle similarity J differ
+#: in acos(2J / (1 + J)) / pi of their bits, 0.151 at J = 0.8; FAR is that share and one standard deviation of WIDE words.
+COPY_WORDS, WIDE, BAND, FAR = 5, 8, 16, 0.151 + 0.0158
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row left of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    A group is what links between wide fingerprints connect. Of a group the row with the smallest doc_id stays, nulls
+    last, then the first read. The bands find a pair of similarity 0.8 with probability 0.91, of 0.9 with 0.997.
+    """
+    names = [f"w{i}" for i in range(WIDE)]
+    docs = docs.withColumn("__rid", F.monotonically_increasing_id())
+    rows = stored(fingerprints(docs, COPY_WORDS, WIDE, ("__rid", "doc_id")), "signatures")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__rid"))
+    # Equal fingerprints meet first, in partial aggregation; a large group of copies is one row from here on.
+    distinct = stored(rows.groupBy(*names).agg(best.alias("best")).withColumn("node", F.col("best.__rid")), "distinct")
+    n = distinct.count()
+    width = max(BAND, n.bit_length() - 6)
+    bands = []
+    for i in range(64 * WIDE // width):
+        word, at = divmod(i * width, 64)
+        value = F.shiftrightunsigned(f"w{word}", at)
+        if at + width > 64:
+            value = value.bitwiseXOR(F.shiftleft(f"w{word + 1}", 64 - at))
+        bands.append(F.struct(F.lit(i).alias("choice"), value.bitwiseAND(F.lit((1 << width) - 1)).alias("part")))
+    keyed = distinct.select("node", *names, F.explode(F.array(*bands)).alias("k")).select("node", "k.choice", "k.part", *names)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(bands) // 500_000))
+    keyed = keyed.repartition(parts, "choice", "part").sortWithinPartitions("choice", "part")
+    found = keyed.mapInArrow(_linked(names, round(FAR * 64 * WIDE), "node"), "a long, b long")
+    found = components(found).withColumnRenamed("label", "group")
+    groups = distinct.select("node", "best").join(found, "node", "left").groupBy(F.coalesce("group", "node")).agg(F.min("best").alias("best"))
+    return docs.join(groups.select(F.col("best.__rid").alias("__rid")), "__rid", "left_semi").drop("__rid")
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from foretide.llm.common import shared_dir, stored, text_batches
 
 #: Documents whose ids train the dictionary (the least in the order of a hash of their id), the dictionary's size.
-SAMPLE, DICT_BYTES, LEVEL = 1000, 64 << 10, 3
+SAMPLE, DICT_BYTES, LEVEL = 500, 64 << 10, 3
 END_ID = 0
 #: Pieces of text whose ids a worker remembers.
 CACHE = 700_000
 #: The pre-tokenizer's pattern (fixed value): pieces are encoded each by itself, which is what makes a cache exact.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE_AFTER_SPACE = re.compile(r"\s ").search
+_SIGNS = frozenset(".,;:!?)|")
 _ENCODERS: dict = {}
 
 
@@ -71,6 +72,8 @@ class Encoder:
         self.find = regex.compile(PIECES).findall
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.kind = "H" if self.width == 2 else "I"
+        self.signs = {c: self._piece(c) for c in _SIGNS}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         kind = np.uint16 if self.width == 2 else np.uint32
@@ -90,21 +93,36 @@ class Encoder:
             split.append(None if _SPACE_AFTER_SPACE(t) else t.split(" "))
             if split[-1]:
                 new.update(split[-1][1:])
-        new = [c for c in new if c not in chunks]
+        own = {c: chunks[c] for c in new if c in chunks}
+        other = []
+        for c in new.difference(own):
+            # Letters are one piece; letters and one sign are two, of which the sign has no space before it.
+            if c.isalpha():
+                own[c] = chunks[c] = self._piece(" " + c)
+            elif c[-1:] in _SIGNS and c[:-1].isalpha():
+                head = chunks.get(c[:-1])
+                own[c] = chunks[c] = (self._piece(" " + c[:-1]) if head is None else head) + self.signs[c[-1]]
+            else:
+                other.append(c)
         first = [t if s is None else s[0] for t, s in zip(texts, split, strict=True)]
-        raw = self._by_piece([*first, *(" " + c for c in new)])
-        chunks.update(zip(new, raw[len(first) :], strict=True))
-        get = chunks.__getitem__
+        raw = self._by_piece([*first, *(" " + c for c in other)])
+        for c, r in zip(other, raw[len(first) :], strict=True):
+            own[c] = chunks[c] = r
+        get = own.__getitem__
         return [r if s is None else r + b"".join(map(get, s[1:])) for r, s in zip(raw, split, strict=False)]
 
+    def _piece(self, p: str) -> bytes:
+        found = self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(_VISIBLE))
+        return array(self.kind, [x.id for x in found]).tobytes()
+
     def _by_piece(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
-        known, tokenize, kind = self.known, self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
+        known = self.known
         cut = [self.find(t) for t in texts]
         for p in {p for pieces in cut for p in pieces}:
             if p not in known:
-                known[p] = array(kind, [x.id for x in tokenize(p.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+                known[p] = self._piece(p)
         get = known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
