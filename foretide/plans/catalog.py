@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foretide.plans import backtest
+from foretide.plans import backtest, relational, textual
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (backtest,):
+for _module in (backtest, relational, textual):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
