@@ -22,6 +22,7 @@ import re
 import uuid
 import zlib
 from array import array
+from string import punctuation
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -32,12 +33,13 @@ from foretide.llm.common import shared_dir, stored, text_batches
 #: Documents whose ids train the dictionary (the least in the order of a hash of their id), the dictionary's size.
 SAMPLE, DICT_BYTES, LEVEL = 500, 64 << 10, 3
 END_ID = 0
-#: Pieces of text whose ids a worker remembers.
-CACHE = 700_000
+#: Chunks of text whose ids a worker remembers, some 80 MB.
+CACHE = 400_000
+#: Words that are put to the model at a time.
+TOGETHER = 100
 #: The pre-tokenizer's pattern (fixed value): pieces are encoded each by itself, which is what makes a cache exact.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACE_AFTER_SPACE = re.compile(r"\s ").search
-_SIGNS = frozenset(".,;:!?)|")
+_TWO_SPACES = re.compile(r"\s\s").search
 _ENCODERS: dict = {}
 
 
@@ -52,8 +54,21 @@ def _byte_characters() -> dict[int, str]:
 _VISIBLE = _byte_characters()
 
 
+def _shown(t: str) -> str:
+    """A text as a byte-level model reads it."""
+    return t.encode().decode("latin-1").translate(_VISIBLE)
+
+
+def _words_stay_apart(merges: list) -> bool:
+    """Whether no merge joins a word's end with the next word's space, other than those of no-break spaces: words of
+    letters can then be put to the model together."""
+    space, hard = _VISIBLE[32], _shown("\xa0")
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
+    return not any(b[:1] == space and a.strip(space) and hard not in b for a, b in pairs)
+
+
 class Encoder:
-    """The tokenizers library behind a cache of pieces: each distinct piece is encoded once in a worker."""
+    """The tokenizers library behind a cache of chunks: each distinct chunk is encoded once in a worker."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -67,64 +82,92 @@ class Encoder:
             conf = json.load(f)
         pre = conf.get("pre_tokenizer") or {}
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
+        self.kind = "H" if self.width == 2 else "I"
         #: Only this pre-tokenizer is known to cut at the pattern; any other encodes whole texts.
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not conf.get("normalizer")
+        self.together = TOGETHER if _words_stay_apart(conf["model"].get("merges", [])) else 1
         self.find = regex.compile(PIECES).findall
-        self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.kind = "H" if self.width == 2 else "I"
-        self.signs = {c: self._piece(c) for c in _SIGNS}
+        self.end = array(self.kind, [END_ID]).tobytes()
+        if self.by_piece:
+            size = self.tokenizer.get_vocab_size()
+            self.spaced = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == _VISIBLE[32] for i in range(size)])
+            self.space, self.line = self.piece(" "), self.piece("\n")
+            self.tails: dict[str, bytes] = {"": b""}
+            #: Serialised ids of chunks: what stands between single spaces, with the space before it, or, where it
+            #: begins with a line break, with that instead.
+            self.chunks: dict[str, bytes] = {"": self.space}
+
+    def piece(self, p: str) -> bytes:
+        """Serialised ids of one piece, by the library's model."""
+        found = self.tokenizer.model.tokenize(_shown(p))
+        return array(self.kind, [x.id for x in found]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         kind = np.uint16 if self.width == 2 else np.uint32
         if not self.by_piece:
             found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             return [np.array([*e.ids, END_ID], dtype=kind) for e in found]
-        end = np.array([END_ID], dtype=kind).tobytes()
-        return [np.frombuffer(raw + end, dtype=kind) for raw in self._by_chunk(texts)]
-
-    def _by_chunk(self, texts: list[str]) -> list[bytes]:
-        """Serialised ids. A text is split at single spaces where no piece can reach over one: nowhere in it may a
-        space follow another white space. Such chunks are looked up whole, each with the space before it."""
+        out: list[bytes] = [b""] * len(texts)
+        split = {}
+        for i, t in enumerate(texts):
+            if _TWO_SPACES(t):
+                # A piece may reach over several white spaces: only the pattern tells where it ends.
+                out[i] = b"".join(map(self.piece, self.find(t)))
+            elif t:
+                # As if on a new line, whose id is left out again.
+                split[i] = ("\n" + t).replace("\n", " \n").split(" ")
+        self._learn(split.values())
+        get, skip = self.chunks.__getitem__, len(self.line) + len(self.space)
+        for i, chunks in split.items():
+            out[i] = b"".join(map(get, chunks))[skip:]
+        return [np.frombuffer(raw + self.end, dtype=kind) for raw in out]
+
+    def _learn(self, split) -> None:
+        """Ids of all chunks that are not known yet. Letters are one piece; letters and the signs that follow them are
+        two, of which the signs have no space before them; all else is cut by the pattern."""
         if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        chunks, split, new = self.chunks, [], set()
-        for t in texts:
-            split.append(None if _SPACE_AFTER_SPACE(t) else t.split(" "))
-            if split[-1]:
-                new.update(split[-1][1:])
-        own = {c: chunks[c] for c in new if c in chunks}
-        other = []
-        for c in new.difference(own):
-            # Letters are one piece; letters and one sign are two, of which the sign has no space before it.
-            if c.isalpha():
-                own[c] = chunks[c] = self._piece(" " + c)
-            elif c[-1:] in _SIGNS and c[:-1].isalpha():
-                head = chunks.get(c[:-1])
-                own[c] = chunks[c] = (self._piece(" " + c[:-1]) if head is None else head) + self.signs[c[-1]]
+            self.chunks = {"": self.space}
+        if len(self.tails) > CACHE:
+            self.tails = {"": b""}
+        known, new = self.chunks, set()
+        for chunks in split:
+            new.update(chunks)
+        made, words, bases = [], [], set()
+        for c in new.difference(known):
+            base = c.rstrip(punctuation)
+            if base.isalpha():
+                if len(base) == len(c):
+                    words.append(c)
+                else:
+                    made.append((c, base))
+                    bases.add(base)
+                continue
+            first = c[0] == "\n"
+            word, base = (c[1:], base[1:]) if first else (c, base)
+            if first and base.isalpha():
+                known[c] = self.line + self.piece(base) + self._tail(word[len(base) :])
             else:
-                other.append(c)
-        first = [t if s is None else s[0] for t, s in zip(texts, split, strict=True)]
-        raw = self._by_piece([*first, *(" " + c for c in other)])
-        for c, r in zip(other, raw[len(first) :], strict=True):
-            own[c] = chunks[c] = r
-        get = own.__getitem__
-        return [r if s is None else r + b"".join(map(get, s[1:])) for r, s in zip(raw, split, strict=False)]
-
-    def _piece(self, p: str) -> bytes:
-        found = self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(_VISIBLE))
-        return array(self.kind, [x.id for x in found]).tobytes()
-
-    def _by_piece(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        cut = [self.find(t) for t in texts]
-        for p in {p for pieces in cut for p in pieces}:
-            if p not in known:
-                known[p] = self._piece(p)
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+                ids = b"".join(map(self.piece, self.find(word if first else " " + word)))
+                known[c] = self.line + ids if first else ids
+        bases.difference_update(known)
+        bases.difference_update(words)
+        words += bases
+        ids = []
+        for at in range(0, len(words), self.together):
+            ids += [t.id for t in self.tokenizer.model.tokenize(_shown(" " + " ".join(words[at : at + self.together])))]
+        # A word's first token, and no other, begins with its space.
+        at = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.width if ids else np.zeros(1, int)
+        if len(at) != len(words) + 1:
+            raise AssertionError("words and their tokens do not match")
+        raw, at = np.array(ids).astype(np.uint16 if self.width == 2 else np.uint32).tobytes(), at.tolist()
+        known.update(zip(words, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
+        for c, base in made:
+            known[c] = known[base] + self._tail(c[len(base) :])
+
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            self.tails[signs] = self.piece(signs)
+        return self.tails[signs]
 
 
 def encoder(path: str) -> Encoder:
@@ -148,7 +191,11 @@ def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE) -> bytes:
             for _, ids in _ids(path, b):
                 yield pa.RecordBatch.from_arrays([pa.array([x[:8192].tobytes() for x in ids], pa.binary())], names=["raw"])
 
-    least = docs.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # Rows whose id's hash is below the sample's share of all: no sort of texts, about ``sample`` rows, the same ones
+    # on every run; the limit only guards against ids that repeat.
+    n = max(docs.count(), 1)
+    bound = min((1 << 63) - 1, int((1 << 64) * sample / n) - (1 << 63))
+    least = docs.filter(F.xxhash64("doc_id") <= F.lit(bound)).filter("text is not null").limit(4 * sample)
     samples = [bytes(r["raw"]) for r in least.select("text").mapInArrow(run, "raw binary").collect()]
     samples = sorted(s for s in samples if len(s) >= 8)
     if len(samples) < 8 or sum(map(len, samples)) < 16 * 1024:
