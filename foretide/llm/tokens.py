@@ -18,7 +18,6 @@ text's hash; an empty table gives an output of no frames; extra columns are igno
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from array import array
@@ -33,13 +32,10 @@ from foretide.llm.common import shared_dir, stored, text_batches
 #: Documents whose ids train the dictionary (the least in the order of a hash of their id), the dictionary's size.
 SAMPLE, DICT_BYTES, LEVEL = 500, 64 << 10, 3
 END_ID = 0
-#: Chunks of text whose ids a worker remembers, some 80 MB.
-CACHE = 400_000
-#: Words that are put to the model at a time.
-TOGETHER = 100
+#: Chunks of text whose ids a worker remembers, some 100 MB.
+CACHE = 500_000
 #: The pre-tokenizer's pattern (fixed value): pieces are encoded each by itself, which is what makes a cache exact.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_TWO_SPACES = re.compile(r"\s\s").search
 _ENCODERS: dict = {}
 
 
@@ -54,17 +50,46 @@ def _byte_characters() -> dict[int, str]:
 _VISIBLE = _byte_characters()
 
 
-def _shown(t: str) -> str:
-    """A text as a byte-level model reads it."""
-    return t.encode().decode("latin-1").translate(_VISIBLE)
+class Pieces(dict):
+    """Serialised ids of pieces of the pattern, encoded by the library's model when first looked up."""
 
+    def __init__(self, tokenizer, kind: str) -> None:
+        self.tokenize, self.kind = tokenizer.model.tokenize, kind
 
-def _words_stay_apart(merges: list) -> bool:
-    """Whether no merge joins a word's end with the next word's space, other than those of no-break spaces: words of
-    letters can then be put to the model together."""
-    space, hard = _VISIBLE[32], _shown("\xa0")
-    pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
-    return not any(b[:1] == space and a.strip(space) and hard not in b for a, b in pairs)
+    def encode(self, p: str) -> bytes:
+        return array(self.kind, [x.id for x in self.tokenize(p.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+
+    def __missing__(self, p: str) -> bytes:
+        self[p] = ids = self.encode(p)
+        return ids
+
+
+class Chunks(dict):
+    """Serialised ids of chunks: what stands between single spaces, with the space before it, or, where it begins with
+    a line break, with that instead. A piece never reaches over the edge of a chunk that has no white space there; for
+    any other chunk a look-up fails, and the text is cut by the pattern as a whole."""
+
+    def __init__(self, pieces: Pieces, find) -> None:
+        self.pieces, self.find = pieces, find
+        self.line = pieces["\n"]
+
+    def __missing__(self, c: str) -> bytes:
+        base = c.rstrip(punctuation)
+        # Letters are one piece; letters and the signs that follow are two, of which the signs have no space before them.
+        if base.isalpha():
+            if len(base) == len(c):
+                ids = self.pieces.encode(" " + c)
+            else:
+                ids = self[base] + self.pieces[c[len(base) :]]
+        else:
+            first = c[:1] == "\n"
+            word = c[1:] if first else c
+            if not word or word[0].isspace() or word[-1].isspace():
+                raise KeyError(c)
+            pieces = self.pieces
+            ids = (self.line if first else b"") + b"".join([pieces[p] for p in self.find(word if first else " " + word)])
+        self[c] = ids
+        return ids
 
 
 class Encoder:
@@ -82,92 +107,32 @@ class Encoder:
             conf = json.load(f)
         pre = conf.get("pre_tokenizer") or {}
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
-        self.kind = "H" if self.width == 2 else "I"
+        kind = "H" if self.width == 2 else "I"
         #: Only this pre-tokenizer is known to cut at the pattern; any other encodes whole texts.
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not conf.get("normalizer")
-        self.together = TOGETHER if _words_stay_apart(conf["model"].get("merges", [])) else 1
         self.find = regex.compile(PIECES).findall
-        self.end = array(self.kind, [END_ID]).tobytes()
+        self.end = array(kind, [END_ID]).tobytes()
         if self.by_piece:
-            size = self.tokenizer.get_vocab_size()
-            self.spaced = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == _VISIBLE[32] for i in range(size)])
-            self.space, self.line = self.piece(" "), self.piece("\n")
-            self.tails: dict[str, bytes] = {"": b""}
-            #: Serialised ids of chunks: what stands between single spaces, with the space before it, or, where it
-            #: begins with a line break, with that instead.
-            self.chunks: dict[str, bytes] = {"": self.space}
-
-    def piece(self, p: str) -> bytes:
-        """Serialised ids of one piece, by the library's model."""
-        found = self.tokenizer.model.tokenize(_shown(p))
-        return array(self.kind, [x.id for x in found]).tobytes()
+            self.pieces = Pieces(self.tokenizer, kind)
+            self.chunks = Chunks(self.pieces, self.find)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         kind = np.uint16 if self.width == 2 else np.uint32
         if not self.by_piece:
             found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             return [np.array([*e.ids, END_ID], dtype=kind) for e in found]
-        out: list[bytes] = [b""] * len(texts)
-        split = {}
-        for i, t in enumerate(texts):
-            if _TWO_SPACES(t):
-                # A piece may reach over several white spaces: only the pattern tells where it ends.
-                out[i] = b"".join(map(self.piece, self.find(t)))
-            elif t:
+        for cache in (self.chunks, self.pieces):
+            if len(cache) > CACHE:
+                cache.clear()
+        chunk, piece, skip, out = self.chunks.__getitem__, self.pieces.__getitem__, len(self.chunks.line), []
+        for t in texts:
+            try:
                 # As if on a new line, whose id is left out again.
-                split[i] = ("\n" + t).replace("\n", " \n").split(" ")
-        self._learn(split.values())
-        get, skip = self.chunks.__getitem__, len(self.line) + len(self.space)
-        for i, chunks in split.items():
-            out[i] = b"".join(map(get, chunks))[skip:]
-        return [np.frombuffer(raw + self.end, dtype=kind) for raw in out]
-
-    def _learn(self, split) -> None:
-        """Ids of all chunks that are not known yet. Letters are one piece; letters and the signs that follow them are
-        two, of which the signs have no space before them; all else is cut by the pattern."""
-        if len(self.chunks) > CACHE:
-            self.chunks = {"": self.space}
-        if len(self.tails) > CACHE:
-            self.tails = {"": b""}
-        known, new = self.chunks, set()
-        for chunks in split:
-            new.update(chunks)
-        made, words, bases = [], [], set()
-        for c in new.difference(known):
-            base = c.rstrip(punctuation)
-            if base.isalpha():
-                if len(base) == len(c):
-                    words.append(c)
-                else:
-                    made.append((c, base))
-                    bases.add(base)
-                continue
-            first = c[0] == "\n"
-            word, base = (c[1:], base[1:]) if first else (c, base)
-            if first and base.isalpha():
-                known[c] = self.line + self.piece(base) + self._tail(word[len(base) :])
-            else:
-                ids = b"".join(map(self.piece, self.find(word if first else " " + word)))
-                known[c] = self.line + ids if first else ids
-        bases.difference_update(known)
-        bases.difference_update(words)
-        words += bases
-        ids = []
-        for at in range(0, len(words), self.together):
-            ids += [t.id for t in self.tokenizer.model.tokenize(_shown(" " + " ".join(words[at : at + self.together])))]
-        # A word's first token, and no other, begins with its space.
-        at = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.width if ids else np.zeros(1, int)
-        if len(at) != len(words) + 1:
-            raise AssertionError("words and their tokens do not match")
-        raw, at = np.array(ids).astype(np.uint16 if self.width == 2 else np.uint32).tobytes(), at.tolist()
-        known.update(zip(words, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
-        for c, base in made:
-            known[c] = known[base] + self._tail(c[len(base) :])
-
-    def _tail(self, signs: str) -> bytes:
-        if signs not in self.tails:
-            self.tails[signs] = self.piece(signs)
-        return self.tails[signs]
+                raw = b"".join(map(chunk, ("\n" + t).replace("\n", " \n").split(" ")[1:]))[skip:]
+            except KeyError:
+                raw = b"".join(map(piece, self.find(t)))
+            out.append(np.frombuffer(raw + self.end, dtype=kind))
+        return out
 
 
 def encoder(path: str) -> Encoder:
