@@ -32,7 +32,7 @@ def candidates(open_: DataFrame, profiles: DataFrame, per_source: int = PER_SOUR
     near = top_k(pairs.withColumn("c", S.cosine(F.col("embedding"), F.col("pv"))), ["org_id"], [F.desc("c"), F.asc("opportunity_id")], per_source)
     words = profiles.select("org_id", F.explode("keywords").alias("k")).filter(F.trim("k") != "")
     tagged = open_.select("opportunity_id", F.explode("keywords").alias("k")).join(words, "k").select("org_id", "opportunity_id")
-    titled = open_.select("opportunity_id", "title").join(words, F.col("title").ilike(F.concat(F.lit("%"), F.col("k"), F.lit("%")))).select("org_id", "opportunity_id")
+    titled = open_.select("opportunity_id", "title").join(words, F.ilike("title", F.concat(F.lit("%"), F.col("k"), F.lit("%")))).select("org_id", "opportunity_id")
     word = top_k(tagged.union(titled).distinct(), ["org_id"], [F.asc("opportunity_id")], per_source)
     of = profiles.select("org_id", F.explode("categories").alias("category"))
     category = top_k(open_.select("opportunity_id", "category").join(of, "category"), ["org_id"], [F.asc("opportunity_id")], per_source)
@@ -44,19 +44,21 @@ def recommend(opportunities: DataFrame, profiles: DataFrame, regions: DataFrame,
     """(org_id, opportunity_id, score, hits, excluded, rank): the best of each profile's candidates. ``regions``
     (institution, region_code) is a dimension."""
     open_ = open_and_settled(opportunities, states)
-    pairs = candidates(open_, profiles).join(open_, "opportunity_id").join(profiles.alias("p"), "org_id").join(regions, "institution", "left")
-    text = F.concat_ws(" ", "title", F.array_join(open_["keywords"], " "))
+    own = ("keywords", "exclude_keywords", "categories", "region_codes", "budget_min", "budget_max", "embedding")
+    p = profiles.select("org_id", *[F.col(c).alias(f"p_{c}") for c in own])
+    pairs = candidates(open_, profiles).join(open_, "opportunity_id").join(p, "org_id").join(regions, "institution", "left")
     listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    codes = listed("p.region_codes")
+    text = F.concat_ws(" ", "title", F.array_join(listed("keywords"), " "))
+    codes, categories = listed("p_region_codes"), listed("p_categories")
     region = F.when((F.size(codes) > 0) & F.col("region_code").isNotNull(), F.exists(codes, lambda r: region_matches(F.col("region_code"), r)).cast("double")).otherwise(0.5)
-    category = F.when(F.size(listed("p.categories")) > 0, F.array_contains(listed("p.categories"), F.col("category")).cast("double")).otherwise(0.5)
-    both = open_["embedding"].isNotNull() & F.col("p.embedding").isNotNull()
-    semantic = F.when(both, S.cosine(F.col("p.embedding"), open_["embedding"])).otherwise(0.0)
-    scored = pairs.withColumn("hits", S.keyword_hits(listed("p.keywords"), text)).withColumn("excluded", S.keyword_hits(listed("p.exclude_keywords"), text))
+    category = F.when(F.size(categories) > 0, F.array_contains(categories, F.col("category")).cast("double")).otherwise(0.5)
+    both = F.col("embedding").isNotNull() & F.col("p_embedding").isNotNull()
+    semantic = F.when(both, S.cosine(F.col("p_embedding"), F.col("embedding"))).otherwise(0.0)
+    scored = pairs.withColumn("hits", S.keyword_hits(listed("p_keywords"), text)).withColumn("excluded", S.keyword_hits(listed("p_exclude_keywords"), text))
     scored = scored.withColumn(
         "score",
         S.recommendation_score(
-            semantic, F.col("hits"), F.col("excluded"), category, region, S.budget_fit(F.col("est_budget_krw"), F.col("budget_min"), F.col("budget_max")),
+            semantic, F.col("hits"), F.col("excluded"), category, region, S.budget_fit(F.col("est_budget_krw"), F.col("p_budget_min"), F.col("p_budget_max")),
             F.col("conversion_prob"), S.lead_time_value(F.col("status"), F.col("bid_window_start"), F.col("bid_window_end"), F.lit(today).cast("date")),
         ),
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foretide.plans import backtest, relational, textual
+from foretide.plans import backtest, domain, relational, textual
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (backtest, relational, textual):
+for _module in (backtest, relational, textual, domain):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

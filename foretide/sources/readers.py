@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,8 @@ def weeks(since: date, until: date) -> list[tuple[date, date]]:
 
 class PagedSource(DataSource):
     """Records of a provider that answers by page. Options: ``paths`` (comma list), ``since``, ``until``, ``rows`` a
-    page, and ``client``: ``module:function`` with (path, since, until, page, rows) -> (items, total). One input
+    page, and ``client``: ``module:function`` with (path, since, until, page, rows) -> (items, total), found
+    under ``client_path`` where given. One input
     partition for each path and week, so a lost executor reads its weeks again and nothing else."""
 
     @classmethod
@@ -47,6 +49,8 @@ class PagedSource(DataSource):
 
 
 def pages(options: dict, s: Slice):
+    if "client_path" in options and options["client_path"] not in sys.path:
+        sys.path.insert(0, options["client_path"])
     module, _, name = options["client"].partition(":")
     call, rows, page, read = getattr(__import__(module, fromlist=[name]), name), int(options.get("rows", 100)), 1, 0
     while True:
