@@ -97,7 +97,7 @@ def _finish(text: bytes, a: np.ndarray, b: np.ndarray):
     return hashlib.sha256(kept).hexdigest(), kept
 
 
-WORDS = Windows(LENGTH, SEED, _symbols, _cut, parse, _finish)
+WORDS = Windows(LENGTH, SEED, 8, _symbols, _cut, parse, _finish)
 
 
 def lz_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -8,7 +8,9 @@ symbols. An anchor owns the windows that chose it; its context is what these win
 2. keys that occur once cannot belong to a repeated window and go; this is all that is shuffled for most documents;
 3. equal contexts form classes: with two members or more, all their windows are repeats;
 4. one context of each class whose key has other classes is cut from its text and compared within its key, by the
-   method of the operator, which tells for each class which of its windows occur in another;
+   method of the operator, which tells for each class which of its windows occur in another; keys of more than
+   MOST_CLASSES classes (a passage in a large part of all documents, with other words around it each time) would be too
+   much for one task, and their windows are counted one by one under 128-bit hashes instead, spread over all tasks;
 5. members take their class's answer, documents their members' spans.
 
 Nothing is emitted for pairs: every stage is linear in anchors. All stages that are used twice are stored.
@@ -28,16 +30,18 @@ from foretide.llm.hashing import mix, run_hashes
 
 #: Windows that are scanned at a time, and contexts that are compared together (a key is never split).
 SEGMENT, CHUNK = 1 << 20, 20_000
+MOST_CLASSES = 100_000
 _POSITION = np.uint64((1 << 22) - 1)
 
 
 @dataclass(frozen=True)
 class Windows:
-    """``symbols`` turns a text into hashes of its symbols, ``cut`` takes symbols [from, to) of a text as bytes,
-    ``compare`` gets keys, owned windows and contexts, sorted by key, and returns which offsets are repeats."""
+    """``symbols`` turns a text into hashes of its symbols, ``cut`` takes symbols [from, to) of a text as bytes, ``unit``
+    bytes each, ``compare`` gets keys, owned windows and contexts, sorted by key, and returns which offsets are repeats."""
 
     length: int
     seed: int
+    unit: int
     symbols: Callable
     cut: Callable
     compare: Callable
@@ -149,27 +153,58 @@ def _compared(kind: Windows):
     return run
 
 
+def _windows(kind: Windows):
+    """Every owned window of each context under a 128-bit hash."""
+    import pyarrow as pa
+    import xxhash
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, context, own, n, raw in zip(*(b.column(c).to_pylist() for c in ("key", "context", "own", "n", "raw")), strict=True):
+                high, size = own & 0xFFFF, kind.length * kind.unit
+                for o in range(own >> 16, high + 1):
+                    at = (high - o) * kind.unit
+                    rows.append((key, context, own, n, o, xxhash.xxh3_128_digest(raw[at : at + size])))
+            if rows:
+                kinds = [pa.int64()] * 5 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "context", "own", "n", "first", "window"])
+
+    return run
+
+
 def spans(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame]:
     """(rid and text of the documents with shared anchors, rid and the symbol spans [from, to) that repeats cover).
 
     ``docs`` has rid and text; rid has to be the same whenever ``docs`` is read.
     """
     found = stored(docs.mapInArrow(_scan(kind), "rid long, at long, key long, context long"), "anchors")
-    shared = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # Small tables that large ones are joined with are stored first: both sides of the join are then plain exchanges,
+    # and a key with a large part of all rows is split by the adaptive skew join.
+    shared = stored(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
     members = stored(found.join(shared, "key", "left_semi").withColumn("own", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))), "members")
     texts = stored(docs.join(members.select("rid").distinct(), "rid", "left_semi"), "texts")
     same = ["key", "context", "own"]
     classes = stored(members.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one")), "classes")
-    several = classes.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    chosen = classes.join(several, "key", "left_semi").select("one.rid", F.struct("one.at", "key", "context", "n").alias("x"))
-    chosen = chosen.groupBy("rid").agg(F.collect_list("x").alias("own"))
-    cut = texts.join(chosen, "rid").select("text", "own")
-    cut = cut.mapInArrow(_contexts(kind), "key long, context long, own long, n long, raw binary")
+    several = stored(classes.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "several")
+
+    def contexts(keys: DataFrame) -> DataFrame:
+        chosen = classes.join(keys.select("key"), "key", "left_semi").select("one.rid", F.struct("one.at", "key", "context", "n").alias("x"))
+        chosen = chosen.groupBy("rid").agg(F.collect_list("x").alias("own"))
+        cut = texts.join(chosen, "rid").select("text", "own")
+        return cut.mapInArrow(_contexts(kind), "key long, context long, own long, n long, raw binary")
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.repartition(parts, "key").sortWithinPartitions("key")
+    cut = contexts(several.filter(F.col("m") <= MOST_CLASSES)).repartition(parts, "key").sortWithinPartitions("key")
     partly = cut.mapInArrow(_compared(kind), "key long, context long, own long, first long, last long")
+    if not several.filter(F.col("m") > MOST_CLASSES).isEmpty():
+        each = contexts(several.filter(F.col("m") > MOST_CLASSES)).mapInArrow(_windows(kind), "key long, context long, own long, n long, first long, window binary")
+        each = stored(each, "windows")
+        twice = stored(each.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1").select("window"), "twice")
+        hit = each.filter("n = 1").join(twice, "window", "left_semi")
+        partly = partly.union(hit.select(*same, "first", F.col("first").alias("last")))
     wholly = classes.filter("n > 1").select(*same, F.expr("own >> 16").alias("first"), F.expr("own & 65535").alias("last"))
-    answers = partly.union(wholly)
+    answers = stored(partly.union(wholly), "answers")
     place = F.shiftright("at", 32)
     own = members.select("rid", "at", *same).join(answers, same)
     own = own.select("rid", F.struct((place - F.col("last")).alias("a"), (place - F.col("first") + kind.length).alias("b")).alias("s"))

@@ -181,7 +181,7 @@ def _symbols(text: bytes) -> np.ndarray:
     return BYTE[np.frombuffer(text, dtype=np.uint8)]
 
 
-BYTES = Windows(LENGTH, SEED, _symbols, _cut, compare, _finish)
+BYTES = Windows(LENGTH, SEED, 1, _symbols, _cut, compare, _finish)
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -146,6 +146,17 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def test_keys_of_too_many_classes_are_counted_window_by_window(spark, monkeypatch):
+    from foretide.llm import repeats
+
+    docs = frame(spark, edited())
+    for dedup in (suffix_dedup.suffix_dedup, lz_dedup.lz_dedup):
+        want = sorted(map(str, collected(dedup(docs))))
+        monkeypatch.setattr(repeats, "MOST_CLASSES", 3)
+        assert sorted(map(str, collected(dedup(docs)))) == want
+        monkeypatch.undo()
+
+
 def test_deep_shallow_sorts_and_counts_common_bytes():
     rng = random.Random(4)
     strings = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randrange(90))) for _ in range(300)]
