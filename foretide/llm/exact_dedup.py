@@ -47,7 +47,8 @@ def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 def recipes(listed: DataFrame) -> DataFrame:
     """``listed`` with ``recipe``, the ordered identifiers: an identifier is where its chunk was first seen."""
     occurs = listed.select("rid", F.posexplode("digests").alias("seq", "d")).select("rid", "seq", "d.*")
-    ids = occurs.groupBy("sha", "check", "len").agg(F.min(F.struct("rid", "seq")).alias("id"))
+    # Stored, so that the join below has plain exchanges on both sides and a chunk of a third of all documents is split.
+    ids = stored(occurs.groupBy("sha", "check", "len").agg(F.min(F.struct("rid", "seq")).alias("id")), "chunk-ids")
     lists = (
         occurs.join(ids, ["sha", "check", "len"])
         .groupBy("rid")
