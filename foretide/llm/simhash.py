@@ -253,9 +253,10 @@ def near_groups(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     return rows.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies: five-word shingles, WIDE fingerprint words, bands of BAND bits. Two texts of shingle similarity J differ
-#: in acos(2J / (1 + J)) / pi of their bits, 0.151 at J = 0.8; FAR is that share and one standard deviation of WIDE words.
-COPY_WORDS, WIDE, BAND, FAR = 5, 8, 16, 0.151 + 0.0158
+#: Near copies: five-word shingles, WIDE fingerprint words, of which the first BANDED are cut into bands of BAND bits to
+#: find candidates. Two texts of shingle similarity J differ in acos(2J / (1 + J)) / pi of their bits, 0.151 at J = 0.8;
+#: FAR is that share and one standard deviation of WIDE words.
+COPY_WORDS, WIDE, BANDED, BAND, FAR = 5, 16, 8, 16, 0.151 + 0.0112
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -273,7 +274,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     n = distinct.count()
     width = max(BAND, n.bit_length() - 6)
     bands = []
-    for i in range(64 * WIDE // width):
+    for i in range(64 * BANDED // width):
         word, at = divmod(i * width, 64)
         value = F.shiftrightunsigned(f"w{word}", at)
         if at + width > 64:
