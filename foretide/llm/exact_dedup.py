@@ -67,12 +67,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     key = ["text_sha256", "recipe"]
     listed = listed.withColumn("recipe", F.coalesce("recipe", F.array().cast(listed.schema["recipe"].dataType)))
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
-    groups = listed.groupBy(*key).agg(F.count("*").alias("group_size"), best.alias("best"))
-    return listed.join(groups, key).select(
+    groups = listed.groupBy(*key).agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")
+    # Only texts that occur again are looked up; stored, so that a group of a third of all rows is split by the join.
+    own = listed.join(stored(groups, "groups"), key, "left").withColumn("alone", F.col("group_size").isNull())
+    return own.select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("rid") == F.col("best.rid")).alias("kept"),
+        F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (F.col("alone") | (F.col("rid") == F.col("best.rid"))).alias("kept"),
         "text_sha256",
     )
 
