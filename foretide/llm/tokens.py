@@ -180,7 +180,7 @@ def _codec(raw: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **kw), zstandard.ZstdDecompressor(**kw)
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, sample: int = SAMPLE, part_rows: int = 200_000) -> None:
+def write_tokens(docs: DataFrame, path: str, out: str, sample: int = SAMPLE, part_rows: int = 25_000) -> None:
     """Encode ``docs`` (doc_id, text) into the output folder ``out``; ``path`` is the tokenizer's file."""
     import pyarrow as pa
 
