@@ -124,3 +124,40 @@ def licence_scan(files: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def op9_licence_scan(spark, sf_dir: str) -> DataFrame:
     return licence_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def scan_sql() -> str:
+    """The same scan in DuckDB SQL: words as rows for the few words that a template's rarest one can be."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for n, (label, template, key) in enumerate(TEMPLATES):
+        t, k = template.split(), key.split()
+        at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        rows.append(f"({n}, '{label}', {quoted(t)}, {at}, {quoted(k)})")
+    base = ",\n".join(
+        f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {quoted(p.split())}) AS at_{label}" for p, label in BASE.items()
+    )
+    found = ", ".join(f"CASE WHEN len(at_{x}) > 0 THEN '{x}' END" for x in BASE.values())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {", ".join(rows)}) v(tid, label, words, key_at, key)),
+v AS (SELECT DISTINCT unnest(words) AS word FROM t),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM d)) / (1 + (SELECT count(*) FROM d WHERE list_contains(w, word)))) AS idf FROM v),
+p AS (SELECT tid, i, word FROM (SELECT tid, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM t)),
+r AS (SELECT tid, i, word, row_number() OVER (PARTITION BY tid ORDER BY idf DESC, i) AS rank FROM p JOIN idf USING (word)),
+o AS (SELECT rid, unnest(w) AS word, unnest(range(0, len(w))) AS at FROM d),
+s AS (SELECT o.rid, r.tid, o.at - r.i AS s FROM o JOIN r ON o.word = r.word AND r.rank = 1),
+m AS (SELECT s.rid, s.tid, t.label, list_sum(list_transform(range(0, len(t.words)), lambda i: CASE WHEN s.s + i BETWEEN 0 AND len(d.w) - 1 AND d.w[s.s + i + 1] = t.words[i + 1] THEN 1.0::DOUBLE ELSE 0 END)) / len(t.words) AS share
+  FROM s JOIN t USING (tid) JOIN d USING (rid)
+  WHERE s.s + key_at >= 0 AND s.s + key_at + len(key) <= len(d.w) AND d.w[s.s + key_at + 1:s.s + key_at + len(key)] = key
+    AND NOT EXISTS (SELECT 1 FROM r WHERE r.tid = s.tid AND r.rank IN (2, {RARE}) AND NOT (s.s + r.i BETWEEN 0 AND len(d.w) - 1 AND coalesce(d.w[s.s + r.i + 1] = r.word, false)))),
+g AS (SELECT rid, list(DISTINCT label) AS more, max(share) AS share FROM m GROUP BY rid),
+b AS (SELECT rid, doc_id, len(w) AS n, {base} FROM d),
+c AS (SELECT *, list_concat(list_concat({"), ".join(["at_mit, at_apache", "at_gpl"])}) AS places, list_filter([{found}], lambda x: x IS NOT NULL) AS own FROM b)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+  array_to_string(list_sort(own), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(own, coalesce(more, [])))), ',') AS labels,
+  greatest(CASE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0 END, coalesce(share, 0)) AS score
+FROM c LEFT JOIN g USING (rid)"""
+
+
+OP9_SQL = scan_sql()

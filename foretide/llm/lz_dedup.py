@@ -119,3 +119,15 @@ def lz_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 def op8_lz_dedup(spark, sf_dir: str) -> DataFrame:
     return lz_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: Windows are told by MD5, which the brute-force test does not use.
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+dup AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, i + k AS p FROM (SELECT rid, i FROM win SEMI JOIN dup USING (h)), (SELECT unnest(range(35)) AS k)),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""

@@ -16,4 +16,9 @@ QUERIES = {
     "op8_lz_dedup": lz_dedup.op8_lz_dedup,
     "op9_licence_scan": licences.op9_licence_scan,
 }
-ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+ORACLE_SQL = {
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op8_lz_dedup": lz_dedup.OP8_SQL,
+    "op9_licence_scan": licences.OP9_SQL,
+}

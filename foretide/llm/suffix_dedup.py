@@ -205,3 +205,18 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: Bytes are pairs of hexadecimal digits; windows are told by MD5, which the brute-force test does not use.
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT rid, i, md5(substring(x, 2 * i + 1, 800)) AS h FROM (SELECT rid, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800)),
+dup AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT rid, i, i - lag(i) OVER (PARTITION BY rid ORDER BY i) AS step FROM win SEMI JOIN dup USING (h)),
+runs AS (SELECT rid, i, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM hit),
+spans AS (SELECT rid, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY rid, run),
+gaps AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY rid ORDER BY a) AS after FROM spans),
+kept AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+  string_agg(substring(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)) || CASE WHEN after IS NULL THEN substring(x, CAST(2 * b + 1 AS BIGINT)) ELSE '' END, '' ORDER BY a) AS t FROM gaps JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(t, x))) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""

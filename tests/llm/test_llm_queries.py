@@ -30,3 +30,29 @@ def test_pipeline_stages(spark):
     assert {"doc_id", "shard", "slot"} <= set(docs.columns)
     assert docs.select("shard", "slot").distinct().count() == seen
     assert corpus_pipeline.run(spark, sf).count() == seen
+
+
+@pytest.mark.parametrize("kind", ["awkward", "empty"])
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, kind):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names; and tables without rows."""
+    from llm.helpers import frame, rows
+
+    data = rows(60) if kind == "awkward" else []
+    sf = str(tmp_path)
+    frame(spark, data).write.parquet(f"{sf}/documents.parquet")
+    labels = [(i, int(i % 11 != 0), 0) for i in range(60)] if data else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    items = [(1, data[5][1]), (2, None), (None, "")] if data else []
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, sf), name)
+        if name != "sharding":
+            assert out.columns == columns
+        assert bool(out.count()) == bool(data)
+        docs = out
+    for name in queries.QUERIES:
+        if name != "op7_decontamination":
+            n = queries.QUERIES[name](spark, sf).count()
+            assert n == len(data), name
