@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+_STORED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +40,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     costs only the tasks it ran, and a table that is used twice is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the stored tables of this driver; to be called when the results that were made from them are written.
+    Returns how many there were."""
+    n, conf, jvm = len(_STORED), spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

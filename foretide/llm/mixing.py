@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int = 6, sour
     # What is still lacking is less than the next document: the largest that fit of those that follow fill it up.
     over = inside.filter("upto > room").withColumn("lacks", F.col("room") - F.min(F.col("upto") - F.col("size")).over(Window.partitionBy("key")))
     over = over.withColumn("nth", F.row_number().over(docs_upto)).filter(f"nth <= {ROUNDING_ROWS} and size <= lacks")
-    fill = over.groupBy("key", "lacks").agg(F.sort_array(F.collect_list(F.struct("size", "rid")), asc=False).alias("of"))
+    fill = over.groupBy("key", "lacks").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rid")), asc=False).alias("of"))
     fill = fill.select(
         F.explode(
             F.expr(

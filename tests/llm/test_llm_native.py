@@ -167,3 +167,12 @@ def test_communication_matrix_has_exact_margins_and_the_hypergeometric_mean():
     draws = np.array([sharding.communication_matrix(have, want, s) for s in range(400)])
     assert (draws.sum(axis=2) == have).all() and (draws.sum(axis=1) == want).all() and (draws >= 0).all()
     assert abs(draws.mean(axis=0) - np.outer(have, want) / 40).max() < 0.4
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from foretide.llm import common
+
+    common.clear(spark)
+    df = common.stored(frame(spark), "t")
+    assert df.count() == len(rows()) and df.columns == frame(spark).columns
+    assert common.clear(spark) == 1 and common.clear(spark) == 0
