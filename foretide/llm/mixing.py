@@ -169,12 +169,38 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs, draws = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    took = draws.groupBy("rid").agg(
-        F.count("*").alias("copies"), F.sum("size").alias("taken"), F.array_sort(F.collect_list("out_shard")).alias("out_shards")
-    )
+    took = draws.groupBy("rid").agg(F.count("*").alias("copies"), F.sum("size").alias("taken"))
+    none = F.lit(0).cast("long")
     return docs.join(took, "rid", "left").select(
-        "doc_id", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-        F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
-        F.coalesce("out_shards", F.array().cast("array<int>")).alias("out_shards"),
-    )
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("copies", none).alias("copies")
+    )
+
+
+def mix_sql(seed: int = 6) -> str:
+    """What the mix takes, in DuckDB SQL: blocks and their order follow from MD5; which output shard a copy goes to does
+    not change what is taken."""
+    rank = lambda *x: f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(x)})), 1, 15) AS BIGINT)"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS key, source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY key, source),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INTEGER)] AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+l AS (SELECT *, most / weight AS ratio, ((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER o, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(most, (SELECT arg_min(level, (ratio, level)) FROM l WHERE level <= ratio) * weight) AS target FROM l),
+p AS (SELECT key, source_size, target, CAST(least(ceil(n / {BLOCK_ROWS}), {MOST_BLOCKS}) AS BIGINT) AS blocks, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM t),
+e AS (SELECT d.*, p.source_size, p.target, passes, target - passes * p.source_size AS rest, {rank("doc_id")} % blocks AS block FROM d JOIN p USING (key)),
+b AS (SELECT key, block, rest, sum(size) AS words FROM e GROUP BY ALL),
+c AS (SELECT key, block, words, rest, rest - sum(words) OVER (PARTITION BY key ORDER BY {rank("'block'", "key", "block")}, block) + words AS room FROM b),
+u AS (SELECT e.rid, e.doc_id, e.key, e.size, room, sum(e.size) OVER o AS upto, hash_ FROM (SELECT *, {rank("'doc'", "doc_id")} AS hash_ FROM e) e
+  JOIN c ON e.key = c.key AND e.block = c.block AND c.rest > 0 AND c.room > 0 AND c.room < c.words WINDOW o AS (PARTITION BY e.key ORDER BY hash_, e.rid)),
+v AS (SELECT *, room - min(upto - size) OVER (PARTITION BY key) AS lacks, row_number() OVER (PARTITION BY key ORDER BY hash_, rid) AS nth FROM u WHERE upto > room),
+f AS (SELECT key, rid, size, lacks, row_number() OVER (PARTITION BY key ORDER BY size DESC, doc_id DESC NULLS LAST, rid DESC) AS n FROM v WHERE nth <= {ROUNDING_ROWS} AND size <= lacks),
+g(key, n, lacks, rid) AS (SELECT key, CAST(0 AS BIGINT), max(lacks), CAST(NULL AS BIGINT) FROM f GROUP BY key
+  UNION ALL SELECT g.key, f.n, CASE WHEN f.size <= g.lacks THEN g.lacks - f.size ELSE g.lacks END, CASE WHEN f.size <= g.lacks THEN f.rid END FROM g JOIN f ON f.key = g.key AND f.n = g.n + 1),
+x AS (SELECT rid FROM u WHERE upto <= room UNION SELECT rid FROM g WHERE rid IS NOT NULL),
+y AS (SELECT e.*, CAST(passes AS BIGINT) + CASE WHEN c.rest > 0 AND c.room >= c.words OR e.rid IN (SELECT rid FROM x) THEN 1 ELSE 0 END AS copies FROM e JOIN c ON e.key = c.key AND e.block = c.block)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies FROM y"""
+
+
+OP6_SQL = mix_sql()

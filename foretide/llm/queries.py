@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op6_mixing": mixing.OP6_SQL,
     "op8_lz_dedup": lz_dedup.OP8_SQL,
     "op9_licence_scan": licences.OP9_SQL,
 }
