@@ -4,7 +4,8 @@ The index holds, for each licence template, its words of highest inverse documen
 with their positions. A file that holds a template's rarest word is looked at where that word stands: the template
 would have to begin at that place less the word's position in it, its other rare words have to stand at the same
 relative positions, and its mandatory key phrase has to stand word for word. Everything happens inside the row: no
-file is shuffled, and what is gathered is one count for each of the templates' few words.
+file is shuffled, and what is gathered is one count for each of the templates' few words. Files are cut into words once;
+those that do not hold all words of any phrase keep their counts only.
 
 Base labels are found by their own phrases, each of which ends in ``license``.
 
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretide.llm.common import ascii_lower
+from foretide.llm.common import ascii_lower, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -51,13 +52,27 @@ def lower_words(c: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(c, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
 
 
-def rare_words(files: DataFrame, text: str = "text") -> dict[str, float]:
+VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
+
+
+def read_words(files: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per file: doc_id, n_words, the words of the templates that it holds, and all its words in order where it holds
+    every word of some key phrase or base phrase: no other file can match, and few do. Stored, so that files are read
+    and cut into words once for the counts and the look-ups."""
+    cut = files.select(F.col(doc_id).alias("doc_id"), lower_words(F.col(text)).alias("all"))
+    cut = cut.select("doc_id", "all", F.array_intersect("all", F.array(*map(F.lit, VOCABULARY))).alias("own"))
+    phrases = dict.fromkeys([*(k for _, _, k in TEMPLATES), *BASE])
+    may = [F.size(F.array_except(F.array(*map(F.lit, p.split())), F.col("own"))) == 0 for p in phrases]
+    return stored(
+        cut.select("doc_id", F.size("all").cast("long").alias("n_words"), "own", F.when(reduce(lambda a, b: a | b, may), F.col("all")).alias("w")), "licence-words"
+    )
+
+
+def rare_words(read: DataFrame) -> dict[str, float]:
     """Inverse document frequency of every word of the templates, over all files."""
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
-    hold = [F.count_if(F.array_contains("w", w)).alias(f"n{i}") for i, w in enumerate(vocabulary)]
-    own = files.select(F.array_intersect(lower_words(F.col(text)), F.array(*map(F.lit, vocabulary))).alias("w"))
-    row = own.agg(F.count("*").alias("n"), *hold).first()
-    return {w: math.log((1 + row["n"]) / (1 + row[f"n{i}"])) for i, w in enumerate(vocabulary)}
+    hold = [F.count_if(F.array_contains("own", w)).alias(f"n{i}") for i, w in enumerate(VOCABULARY)]
+    row = read.agg(F.count("*").alias("n"), *hold).first()
+    return {w: math.log((1 + row["n"]) / (1 + row[f"n{i}"])) for i, w in enumerate(VOCABULARY)}
 
 
 def places(words: Column, first: str) -> Column:
@@ -97,9 +112,9 @@ def template_match(words: Column, template: str, key: str, idf: dict[str, float]
 
 def licence_scan(files: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    idf = rare_words(files, text)
-    words = F.col("w")
-    base = files.select(F.col(doc_id).alias("doc_id"), lower_words(F.col(text)).alias("w"))
+    read = read_words(files, text, doc_id)
+    idf = rare_words(read)
+    words, base = F.col("w"), read.drop("own")
     ends = F.when(F.array_contains(words, "license"), places(words, "license")).otherwise(F.array().cast("array<int>"))
     base = base.withColumn("ends", ends)
     for phrase, label in BASE.items():
@@ -112,7 +127,7 @@ def licence_scan(files: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     score = F.greatest(F.when(F.size(at) > 0, 0.5).otherwise(0.0), *[F.coalesce(f"t{i}", F.lit(0.0)) for i in range(len(TEMPLATES))])
     return base.select(
         "doc_id",
-        F.size(words).cast("long").alias("n_words"),
+        "n_words",
         F.size(at).cast("long").alias("n_base"),
         F.array_min(at).cast("long").alias("first_word"),
         F.array_max(at).cast("long").alias("last_word"),
