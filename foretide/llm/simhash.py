@@ -254,7 +254,7 @@ def near_groups(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
 
 
 #: Near copies: five-word shingles, WIDE fingerprint words, of which the first BANDED are cut into bands of BAND bits to
-#: find candidates. Two texts of shingle similarity J differ in acos(2J / (1 + J)) / pi of their bits, 0.151 at J = 0.8;
+#: find candidates (BAND divides 64). Two texts of shingle similarity J differ in acos(2J / (1 + J)) / pi of their bits, 0.151 at J = 0.8;
 #: FAR is that share and half a standard deviation of WIDE words.
 COPY_WORDS, WIDE, BANDED, BAND, FAR = 5, 16, 8, 16, 0.151 + 0.0056
 
@@ -263,7 +263,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row left of each group of near copies: five-word shingles, similarity 0.8 or more.
 
     A group is what links between wide fingerprints connect. Of a group the row with the smallest doc_id stays, nulls
-    last, then the first read. The bands find a pair of similarity 0.8 with probability 0.91, of 0.9 with 0.997.
+    last, then the first read. The bands find a pair of similarity 0.8 with probability 0.91, of 0.9 with 0.997, for any
+    number of rows: their width and number are fixed, and larger tables only have larger groups.
 
     Defined cases: null and empty texts are copies of each other; a text of fewer than five words is one shingle;
     repeated rows are copies; an empty table gives no rows; extra columns are passed on.
@@ -275,14 +276,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # Equal fingerprints meet first, in partial aggregation; a large group of copies is one row from here on.
     distinct = stored(rows.groupBy(*names).agg(best.alias("best")).withColumn("node", F.col("best.__rid")), "distinct")
     n = distinct.count()
-    width = max(BAND, n.bit_length() - 6)
     bands = []
-    for i in range(64 * BANDED // width):
-        word, at = divmod(i * width, 64)
-        value = F.shiftrightunsigned(f"w{word}", at)
-        if at + width > 64:
-            value = value.bitwiseXOR(F.shiftleft(f"w{word + 1}", 64 - at))
-        bands.append(F.struct(F.lit(i).alias("choice"), value.bitwiseAND(F.lit((1 << width) - 1)).alias("part")))
+    for i in range(64 * BANDED // BAND):
+        word, at = divmod(i * BAND, 64)
+        value = F.shiftrightunsigned(f"w{word}", at).bitwiseAND(F.lit((1 << BAND) - 1))
+        bands.append(F.struct(F.lit(i).alias("choice"), value.alias("part")))
     keyed = distinct.select("node", *names, F.explode(F.array(*bands)).alias("k")).select("node", "k.choice", "k.part", *names)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(bands) // 500_000))
     keyed = keyed.repartition(parts, "choice", "part").sortWithinPartitions("choice", "part")

@@ -182,6 +182,29 @@ def test_lz_dedup(spark):
     assert lz_dedup.lz_dedup(frame(spark, [])).count() == 0
 
 
+def test_near_copies_do_not_depend_on_the_number_of_rows(spark, monkeypatch):
+    """Pairs of similarity about 0.8, of which a count of four million fingerprints must not lose more than the true one."""
+    rng = random.Random(8)
+    data = []
+    for i in range(80):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(300), 6):
+            other[at] = f"v{rng.randrange(10**6)}"
+        data += [(2 * i, " ".join(words), *[None] * 11), (2 * i + 1, " ".join(other), *[None] * 11)]
+    docs = frame(spark, data)
+    want = sorted(r["doc_id"] for r in collected(simhash.near_copies(docs)))
+    count, calls = type(docs).count, []
+
+    def many(df):
+        calls.append(1)
+        return 1 << 22 if len(calls) == 1 else count(df)
+
+    monkeypatch.setattr(type(docs), "count", many)
+    got = sorted(r["doc_id"] for r in collected(simhash.near_copies(docs)))
+    assert calls and got == want and len(want) < 120
+
+
 def test_greedy_string_tiling_takes_longest_matches_first():
     word = {w: i for i, w in enumerate("a b c d e f g h i j k l m n o p".split())}
     of = lambda s: np.array([word[w] for w in s.split()], dtype=np.uint64)
