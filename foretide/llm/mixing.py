@@ -24,6 +24,8 @@ from foretide.llm.common import hex_rank, n_words, stored
 #: Documents of a block and most blocks of a source; rows of an output shard, least and most output shards (the quota
 #: table has sources x shards); documents that the rounding of a source's last block looks at.
 BLOCK_ROWS, MOST_BLOCKS, SHARD_ROWS, LEAST_SHARDS, MOST_SHARDS, ROUNDING_ROWS = 128, 65_536, 250_000, 8, 4096, 256
+#: Most rows of an output shard that one task writes.
+RUN_ROWS = 10_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -161,17 +163,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int = 6, sour
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs``, all columns, each as often as it is taken. ``docs`` has to be a stored table."""
-    rid = "__rid"
+    """The mix itself: rows of ``docs``, all columns, each as often as it is taken, in the order of out_shard and
+    out_slot. ``docs`` has to be a stored table."""
+    rid, shard, slot = "__rid", "__shard", "__slot"
     _, draws = mix(docs)
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(draws.select(F.col("rid").alias(rid)), rid).drop(rid)
+    draws = stored(draws.select(F.col("rid").alias(rid), F.col("out_shard").alias(shard), F.col("out_slot").alias(slot)), "mix-draws")
+    most = draws.agg(F.max(shard).alias("shard"), F.max(slot).alias("slot")).first()
+    # A shard is written as so many runs of its slots: no task holds more than RUN_ROWS rows.
+    shards, slots = (most["shard"] or 0) + 1, (most["slot"] or 0) + 1
+    runs = -(-slots // RUN_ROWS)
+    part = F.col(shard) * runs + F.floor(F.col(slot) * runs / slots)
+    # Never by broadcast: draws grow with the rows, and texts then move as often at every size.
+    out = docs.withColumn(rid, F.monotonically_increasing_id()).join(draws.hint("merge"), rid)
+    return out.repartitionById(shards * runs, part.cast("int")).sortWithinPartitions(shard, slot).drop(rid, shard, slot)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; rows come in the order of a document's first place (out_shard, out_slot) in
+    the mix, those that are not taken last."""
     docs, draws = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    took = draws.groupBy("rid").agg(F.count("*").alias("copies"), F.sum("size").alias("taken"))
+    took = draws.groupBy("rid").agg(F.count("*").alias("copies"), F.sum("size").alias("taken"), F.min(F.struct("out_shard", "out_slot")).alias("first"))
     none = F.lit(0).cast("long")
-    return docs.join(took, "rid", "left").select(
+    return docs.join(stored(took, "mix-took"), "rid", "left").orderBy(F.asc_nulls_last("first"), "rid").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("copies", none).alias("copies")
     )
 
@@ -182,7 +195,8 @@ def mix_sql(seed: int = 6) -> str:
     rank = lambda *x: f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(x)})), 1, 15) AS BIGINT)"
     return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS key, source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY key, source),
 w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INTEGER)] AS weight, 3.0::DOUBLE * source_size AS most FROM s),
 l AS (SELECT *, most / weight AS ratio, ((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER o, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0)) AS level

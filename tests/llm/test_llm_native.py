@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from llm.helpers import collected, frame, rows
 
@@ -90,6 +91,26 @@ def test_mixing(spark):
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == len(draws)
 
 
+def test_mixed_rows_come_by_shard_and_slot(spark, tmp_path, monkeypatch):
+    """Rows are written by shard and slot, also where a shard takes several tasks, and op6 has documents by first place."""
+    data = [(i, *r[1:]) for i, r in enumerate(rows(300))]
+    frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    documents, draws = mixing.mix(docs)
+    by_rid = {r["rid"]: r["doc_id"] for r in collected(documents)}
+    want = [by_rid[d["rid"]] for d in sorted(collected(draws), key=lambda d: (d["out_shard"], d["out_slot"]))]
+    monkeypatch.setattr(mixing, "RUN_ROWS", 7)
+    assert [r["doc_id"] for r in collected(mixing.mixed(docs))] == want
+    mixing.mixed(docs).write.parquet(f"{tmp_path}/mixed")
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    assert [x for f in files for x in pq.read_table(f)["doc_id"].to_pylist()] == want and len(files) > 8
+    got = collected(mixing.op6_mixing(spark, str(tmp_path)))
+    first = list(dict.fromkeys(want))
+    assert [r["doc_id"] for r in got][: len(first)] == first
+    assert {r["doc_id"] for r in got[len(first) :]} == set(range(len(data))) - set(first)
+    assert all(bool(r["copies"]) == (i < len(first)) for i, r in enumerate(got))
+
+
 def test_targets_stop_at_three_times_the_source(spark):
     sizes = [5, 1000, 300, 0, 40]
     df = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(sizes)], "source string, source_size long")
