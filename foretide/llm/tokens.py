@@ -93,16 +93,19 @@ class Chunks(dict):
 
 
 class Encoder:
-    """The tokenizers library behind a cache of chunks: each distinct chunk is encoded once in a worker."""
+    """The tokenizers library behind a cache of chunks: each distinct chunk is encoded once in a worker.
 
-    def __init__(self, path: str) -> None:
+    With ``added`` the ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: where an added token's
+    content stands in a text, it gets its own id. Without, special ones among them are plain text."""
+
+    def __init__(self, path: str, added: bool = False) -> None:
         import json
 
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
         pre = conf.get("pre_tokenizer") or {}
@@ -111,6 +114,8 @@ class Encoder:
         #: Only this pre-tokenizer is known to cut at the pattern; any other encodes whole texts.
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not conf.get("normalizer")
         self.find = regex.compile(PIECES).findall
+        #: The model knows nothing of added tokens: texts that hold one go to the library as a whole.
+        self.marks = [x["content"] for x in conf.get("added_tokens") or [] if added or not x.get("special")]
         self.end = array(kind, [END_ID]).tobytes()
         if self.by_piece:
             self.pieces = Pieces(self.tokenizer, kind)
@@ -126,6 +131,9 @@ class Encoder:
                 cache.clear()
         chunk, piece, skip, out = self.chunks.__getitem__, self.pieces.__getitem__, len(self.chunks.line), []
         for t in texts:
+            if any(m in t for m in self.marks):
+                out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], dtype=kind))
+                continue
             try:
                 # As if on a new line, whose id is left out again.
                 raw = b"".join(map(chunk, ("\n" + t).replace("\n", " \n").split(" ")[1:]))[skip:]
@@ -135,25 +143,25 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added)
+    return _ENCODERS[path, added]
 
 
-def _ids(path: str, batch, column: str = "text"):
+def _ids(path: str, batch, added: bool, column: str = "text"):
     for at, texts in text_batches(batch.column(column)):
-        yield at, encoder(path).encode([t.decode("utf-8", "replace") for t in texts])
+        yield at, encoder(path, added).encode([t.decode("utf-8", "replace") for t in texts])
 
 
-def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE, added: bool = False) -> bytes:
     """A dictionary from the serialised ids of at most ``sample`` documents; empty where there is too little to learn."""
     import pyarrow as pa
     import zstandard
 
     def run(batches):
         for b in batches:
-            for _, ids in _ids(path, b):
+            for _, ids in _ids(path, b, added):
                 yield pa.RecordBatch.from_arrays([pa.array([x[:8192].tobytes() for x in ids], pa.binary())], names=["raw"])
 
     # Rows whose id's hash is below the sample's share of all: no sort of texts, about ``sample`` rows, the same ones
@@ -180,20 +188,21 @@ def _codec(raw: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **kw), zstandard.ZstdDecompressor(**kw)
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, sample: int = SAMPLE, part_rows: int = 25_000) -> None:
-    """Encode ``docs`` (doc_id, text) into the output folder ``out``; ``path`` is the tokenizer's file."""
+def write_tokens(docs: DataFrame, path: str, out: str, sample: int = SAMPLE, part_rows: int = 25_000, added: bool = False) -> None:
+    """Encode ``docs`` (doc_id, text) into the output folder ``out``; ``path`` is the tokenizer's file, ``added`` as for
+    ``Encoder``."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    raw = train_dictionary(docs, path, sample)
+    raw = train_dictionary(docs, path, sample, added)
     name = hashlib.sha256(raw).hexdigest()
     shared = spark.sparkContext.broadcast(raw)  # at most DICT_BYTES
 
     def run(batches):
         compress = _codec(shared.value)[0].compress
         for b in batches:
-            for at, ids in _ids(path, b):
+            for at, ids in _ids(path, b, added):
                 frames = pa.array([compress(x.tobytes()) for x in ids], pa.binary())
                 n = pa.array([len(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(ids)), frames, n], names=["doc_id", "frame", "n_tokens"])
@@ -216,7 +225,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, sample: int = SAMPLE, par
     upto = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     index = placed.withColumn("start", (offset + F.coalesce(F.sum("n_tokens").over(upto), F.lit(0))).cast("long"))
     index.withColumn("dict_sha256", F.lit(name)).write.parquet(f"{out}/index")
-    width = encoder(path).width
+    width = encoder(path, added).width
     meta = spark.range(1).select(
         F.unhex(F.lit(raw.hex())).alias("dictionary"), F.lit(name).alias("dict_sha256"),
         F.lit(width).alias("id_bytes"), F.lit(END_ID).alias("end_id"), F.lit(1).alias("version"),
@@ -288,5 +297,5 @@ def tokenizer_path() -> str:
 
 def op10_token_output(spark, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), out)
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), out, added=True)
     return token_digests(spark, out)

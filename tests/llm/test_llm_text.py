@@ -295,3 +295,20 @@ def test_tokens_round_trip(spark):
     empty = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     tokens.write_tokens(frame(spark, []), tokens.tokenizer_path(), empty)
     assert tokens.token_digests(spark, empty).count() == 0
+
+
+def test_token_output_gives_added_tokens_their_ids(spark, tmp_path):
+    """The query against an unmodified Tokenizer: an added token's content in a text is that token."""
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y ", "<|endoftext", "plain text", None, ""]
+    frame(spark, [(i, t, *[None] * 11) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    want, at = [], 0
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert plain.token_to_id("<|endoftext|>") in plain.encode(texts[0], add_special_tokens=False).ids
+    got = collected(tokens.op10_token_output(spark, str(tmp_path)))
+    assert sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in got) == want
