@@ -45,6 +45,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """(``df`` stored with a row number, the number's name, which no column of ``df`` has). The number is written with
+    the rows: ids made while reading depend on how files are split, which follows the executors that are alive, so
+    they may differ from one scan to the next."""
+    name = "row_number"
+    while name in df.columns:
+        name += "_"
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the stored tables of this driver; to be called when the results that were made from them are written.
     Returns how many there were."""

@@ -38,7 +38,11 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     since = np.zeros(len(raw), dtype=np.int64)
     since[starts] = starts
     place = np.arange(len(raw)) - np.maximum.accumulate(since)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[raw] * PLACE[place & 0xFFFF], dtype=np.uint64)))
+    factor = PLACE[place & 0xFFFF]
+    far = np.flatnonzero(place > 0xFFFF)
+    if len(far):  # words of more bytes than there are factors
+        factor[far] = mix(factor[far] + (place[far] >> 16).astype(np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[raw] * factor, dtype=np.uint64)))
     return mix(sums[ends] - sums[starts])
 
 

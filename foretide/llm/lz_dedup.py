@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretide.llm.common import n_words
+from foretide.llm.common import n_words, numbered
 from foretide.llm.hashing import SPACE, mix, word_bounds, word_hashes
 from foretide.llm.repeats import Windows, cleaned
 
@@ -104,7 +104,8 @@ def lz_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, and kept, the words that remain where any were
     removed (else null: all words stay)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), whole.alias("text"))
+    rows, rid = numbered(docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text")), "lz-texts")
+    rows = rows.withColumnRenamed(rid, "rid")
     changed = cleaned(rows.select("rid", "text"), WORDS).withColumnRenamed("kept_sha256", "new_sha256")
     spaced = F.regexp_replace(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "), r"^ | \z", "")
     base = rows.select("rid", "doc_id", n_words(F.col("text")).alias("n_words"), F.sha2(spaced, 256).alias("sha"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretide.llm.common import hex_rank, n_words, stored
+from foretide.llm.common import hex_rank, n_words, numbered, stored
 
 #: Documents of a block and most blocks of a source; rows of an output shard, least and most output shards (the quota
 #: table has sources x shards); documents that the rounding of a source's last block looks at.
@@ -84,16 +84,17 @@ def _in_order(spark, rows: list[dict], schema: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int = 6, source: str = "source",
-        text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+        text: str = "text", doc_id: str = "doc_id", rid: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, draws). Documents: rid, doc_id, size, source_size, target. Draws, one row for each copy that the mix
     takes: rid, size, pass, out_shard, out_slot (the place in the shard's own shuffled order).
 
-    ``rid`` is the row's ``monotonically_increasing_id()`` in ``docs``, which has to be a stored table.
+    ``rid`` is the column of that name, a row number that is written with the rows of ``docs``; without one rows are
+    numbered here, once, in a stored table.
     """
     spark = docs.sparkSession
     rank = lambda *x: hex_rank(F.lit(seed), *x)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("rid"),
         F.col(doc_id).alias("doc_id"),
         # A null source is told from every string by the prefix.
         F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("s"), source)).alias("key"),
@@ -164,9 +165,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int = 6, sour
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, each as often as it is taken, in the order of out_shard and
-    out_slot. ``docs`` has to be a stored table."""
-    rid, shard, slot = "__rid", "__shard", "__slot"
-    _, draws = mix(docs)
+    out_slot.
+
+    Defined cases: as for ``mix``; extra columns of any name are passed on."""
+    docs, rid = numbered(docs, "mix-docs")
+    shard, slot = f"{rid}_shard", f"{rid}_slot"
+    _, draws = mix(docs, rid=rid)
     draws = stored(draws.select(F.col("rid").alias(rid), F.col("out_shard").alias(shard), F.col("out_slot").alias(slot)), "mix-draws")
     most = draws.agg(F.max(shard).alias("shard"), F.max(slot).alias("slot")).first()
     # A shard is written as so many runs of its slots: no task holds more than RUN_ROWS rows.
@@ -174,7 +178,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     runs = -(-slots // RUN_ROWS)
     part = F.col(shard) * runs + F.floor(F.col(slot) * runs / slots)
     # Never by broadcast: draws grow with the rows, and texts then move as often at every size.
-    out = docs.withColumn(rid, F.monotonically_increasing_id()).join(draws.hint("merge"), rid)
+    out = docs.join(draws.hint("merge"), rid)
     return out.repartitionById(shards * runs, part.cast("int")).sortWithinPartitions(shard, slot).drop(rid, shard, slot)
 
 

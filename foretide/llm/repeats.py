@@ -2,7 +2,8 @@
 
 A window is ``length`` consecutive symbols of one document. Equal windows choose the same anchor inside them, the
 leftmost run of ``seed`` symbols whose hash is least, so only anchors are compared, about two for each ``length - seed``
-symbols. An anchor owns the windows that chose it; its context is what these windows cover. The stages:
+symbols. An anchor owns the windows that chose it; its context is what these windows cover. In periodic text every period
+has an anchor; those that follow each other with the same context are one row with a count. The stages:
 
 1. every document is scanned for its anchors: key (the seed's hash), owned windows, a hash of the context;
 2. keys that occur once cannot belong to a repeated window and go; this is all that is shuffled for most documents;
@@ -67,7 +68,8 @@ def anchors(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def scan(symbols: np.ndarray, kind: Windows) -> list[tuple[np.ndarray, ...]]:
-    """Rows (packed anchor place and owned offsets, key, context hash) of a document."""
+    """Rows (packed anchor place and owned offsets, key, context hash, how many such anchors follow each other) of a
+    document."""
     out = []
     for at in range(0, len(symbols) - kind.length + 1, SEGMENT):
         part = symbols[at : at + SEGMENT + kind.length - 1]
@@ -75,7 +77,13 @@ def scan(symbols: np.ndarray, kind: Windows) -> list[tuple[np.ndarray, ...]]:
         a, first, last = anchors(seeds, kind.choices)
         with np.errstate(over="ignore"):
             context = mix(whole[first] * np.uint64(0x9E3779B97F4A7C15) + mix(whole[last] + (last - first).astype(np.uint64)))
-        out.append(((a + at) << 32 | (a - last) << 16 | (a - first), seeds[a].view(np.int64), context.view(np.int64)))
+        key, low, high = seeds[a], a - last, a - first
+        # Anchors with equal contexts whose windows follow each other without a gap.
+        same = (key[1:] == key[:-1]) & (context[1:] == context[:-1]) & (low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (np.diff(a) == (high - low + 1)[1:])
+        of = np.flatnonzero(np.concatenate(([True], ~same)))
+        run = np.diff(np.append(of, len(a)))
+        packed = (a + at) << 32 | low << 16 | high
+        out.append((packed[of], key[of].view(np.int64), context[of].view(np.int64), run))
     return out
 
 
@@ -92,8 +100,8 @@ def _scan(kind: Windows):
                         rows.append(r)
                         owner.append(np.full(len(r[0]), rids[at + i]))
                 if rows:
-                    columns = [np.concatenate(owner), *(np.concatenate([r[c] for r in rows]) for c in range(3))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "at", "key", "context"])
+                    columns = [np.concatenate(owner), *(np.concatenate([r[c] for r in rows]) for c in range(4))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rid", "at", "key", "context", "run"])
 
     return run
 
@@ -118,6 +126,11 @@ def _contexts(kind: Windows):
     return run
 
 
+def _joined(held: list[tuple]) -> tuple:
+    """Columns of batches, the last of them lists, put together once."""
+    return (*(np.concatenate(x) for x in list(zip(*held, strict=True))[:-1]), [r for x in held for r in x[-1]])
+
+
 def _compared(kind: Windows):
     import pyarrow as pa
 
@@ -133,22 +146,21 @@ def _compared(kind: Windows):
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["key", "context", "own", "first", "last"])
 
     def run(batches):
-        held = None
+        held, size = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            new = (*(b.column(c).to_numpy() for c in ("key", "context", "own", "n")), b.column("raw").to_pylist())
-            held = new if held is None else (*(np.concatenate(x) for x in zip(held[:4], new[:4], strict=True)), held[4] + new[4])
-            while len(held[0]) >= CHUNK:
-                # Keys come sorted: cut before the key that stands at the chunk's end, or hold it until it is whole.
-                end = int(np.searchsorted(held[0], held[0][CHUNK - 1]))
-                end = end or int(np.searchsorted(held[0], held[0][0], side="right"))
-                if end == len(held[0]):
-                    break
-                yield answer(tuple(x[:end] for x in held))
-                held = tuple(x[end:] for x in held)
-        if held is not None and len(held[0]):
-            yield answer(held)
+            held.append((*(b.column(c).to_numpy() for c in ("key", "context", "own", "n")), b.column("raw").to_pylist()))
+            size += b.num_rows
+            last = held[-1][0][-1]
+            if size >= CHUNK and held[0][0][0] != last:
+                # Keys come sorted: all but the last one are whole.
+                pieces = _joined(held)
+                end = int(np.searchsorted(pieces[0], last))
+                yield answer(tuple(x[:end] for x in pieces))
+                held, size = [tuple(x[end:] for x in pieces)], size - end
+        if size:
+            yield answer(_joined(held))
 
     return run
 
@@ -176,16 +188,16 @@ def _windows(kind: Windows):
 def spans(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame]:
     """(rid and text of the documents with shared anchors, rid and the symbol spans [from, to) that repeats cover).
 
-    ``docs`` has rid and text; rid has to be the same whenever ``docs`` is read.
+    ``docs`` is a stored table with rid, written with the rows, and text.
     """
-    found = stored(docs.mapInArrow(_scan(kind), "rid long, at long, key long, context long"), "anchors")
+    found = stored(docs.mapInArrow(_scan(kind), "rid long, at long, key long, context long, run long"), "anchors")
     # Small tables that large ones are joined with are stored first: both sides of the join are then plain exchanges,
     # and a key with a large part of all rows is split by the adaptive skew join.
-    shared = stored(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
+    shared = stored(found.groupBy("key").agg(F.sum("run").alias("n")).filter("n > 1").select("key"), "shared")
     members = stored(found.join(shared, "key", "left_semi").withColumn("own", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))), "members")
     texts = stored(docs.join(members.select("rid").distinct(), "rid", "left_semi"), "texts")
     same = ["key", "context", "own"]
-    classes = stored(members.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one")), "classes")
+    classes = stored(members.groupBy(*same).agg(F.sum("run").alias("n"), F.min(F.struct("rid", "at")).alias("one")), "classes")
     several = stored(classes.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "several")
 
     def contexts(keys: DataFrame) -> DataFrame:
@@ -206,8 +218,10 @@ def spans(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame]:
     wholly = classes.filter("n > 1").select(*same, F.expr("own >> 16").alias("first"), F.expr("own & 65535").alias("last"))
     answers = stored(partly.union(wholly), "answers")
     place = F.shiftright("at", 32)
-    own = members.select("rid", "at", *same).join(answers, same)
-    own = own.select("rid", F.struct((place - F.col("last")).alias("a"), (place - F.col("first") + kind.length).alias("b")).alias("s"))
+    own = members.select("rid", "at", "run", *same).join(answers, same)
+    # Several anchors that follow each other are members of one class, which repeats wholly.
+    end = place + (F.col("run") - 1) * (F.col("last") - F.col("first") + 1) - F.col("first") + kind.length
+    own = own.select("rid", F.struct((place - F.col("last")).alias("a"), end.alias("b")).alias("s"))
     return texts, own.groupBy("rid").agg(F.collect_list("s").alias("spans"))
 
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretide.llm.common import stored, text_batches
+from foretide.llm.common import numbered, stored, text_batches
 from foretide.llm.graph import components
 from foretide.llm.hashing import mix
 
@@ -270,11 +270,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     repeated rows are copies; an empty table gives no rows; extra columns are passed on.
     """
     names = [f"w{i}" for i in range(WIDE)]
-    docs = docs.withColumn("__rid", F.monotonically_increasing_id())
-    rows = stored(fingerprints(docs, COPY_WORDS, WIDE, ("__rid", "doc_id")), "signatures")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__rid"))
+    docs, rid = numbered(docs, "copies")
+    rows = stored(fingerprints(docs, COPY_WORDS, WIDE, (rid, "doc_id")), "signatures")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(rid).alias("row")))
     # Equal fingerprints meet first, in partial aggregation; a large group of copies is one row from here on.
-    distinct = stored(rows.groupBy(*names).agg(best.alias("best")).withColumn("node", F.col("best.__rid")), "distinct")
+    distinct = stored(rows.groupBy(*names).agg(best.alias("best")).withColumn("node", F.col("best.row")), "distinct")
     n = distinct.count()
     bands = []
     for i in range(64 * BANDED // BAND):
@@ -287,7 +287,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     found = keyed.mapInArrow(_linked(names, round(FAR * 64 * WIDE), "node"), "a long, b long")
     found = components(found).withColumnRenamed("label", "group")
     groups = distinct.select("node", "best").join(found, "node", "left").groupBy(F.coalesce("group", "node")).agg(F.min("best").alias("best"))
-    return docs.join(groups.select(F.col("best.__rid").alias("__rid")), "__rid", "left_semi").drop("__rid")
+    return docs.join(groups.select(F.col("best.row").alias(rid)), rid, "left_semi").drop(rid)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

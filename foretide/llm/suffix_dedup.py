@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foretide.llm.common import numbered
 from foretide.llm.hashing import BYTE
 from foretide.llm.repeats import Windows, cleaned
 
@@ -188,7 +189,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept, the bytes that remain where any
     were removed (else null: the text is whole)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), whole.alias("text"))
+    rows, rid = numbered(docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text")), "suffix-texts")
+    rows = rows.withColumnRenamed(rid, "rid")
     changed = cleaned(rows.select("rid", "text"), BYTES).withColumnRenamed("kept_sha256", "new_sha256")
     base = rows.select(
         "rid", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")

@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 from llm.helpers import collected, frame, rows
 
-from foretide.llm import decontaminate, graph, lz_dedup, quality, simhash, suffix_dedup, tokens
+from foretide.llm import decontaminate, graph, hashing, lz_dedup, mixing, quality, repeats, simhash, suffix_dedup, tokens
 from foretide.llm.common import shared_dir
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -312,3 +312,38 @@ def test_token_output_gives_added_tokens_their_ids(spark, tmp_path):
     assert plain.token_to_id("<|endoftext|>") in plain.encode(texts[0], add_special_tokens=False).ids
     got = collected(tokens.op10_token_output(spark, str(tmp_path)))
     assert sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in got) == want
+
+
+def test_row_numbers_do_not_hang_on_how_files_are_split(spark, tmp_path):
+    """Splits follow the executors that are alive: results made under one setting and read under another stay equal."""
+    docs = frame(spark, rows(80), 4)
+    docs.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    for make in (suffix_dedup.suffix_dedup, lz_dedup.lz_dedup, simhash.near_copies, mixing.mixed):
+        want = collections.Counter(map(str, collected(make(docs))))
+        try:
+            made = make(docs)
+            spark.conf.set(name, "2000")
+            assert collections.Counter(map(str, collected(made))) == want, make.__name__
+        finally:
+            spark.conf.set(name, before)
+
+
+def test_periodic_texts_have_few_anchors(spark):
+    for text in (b"a" * 50_000, b"ab" * 30_000, b"abcdefg " * 9_000):
+        found = repeats.scan(suffix_dedup.BYTES.symbols(text), suffix_dedup.BYTES)
+        assert sum(len(r[0]) for r in found) < 20 * len(found) and sum(int(r[3].sum()) for r in found) > 3000
+    texts = ["a" * 900, "b" + "a" * 700 + "c", "ab" * 500, "xy" * 230, "abcdefg " * 60, "abcdefg " * 300 + "z" * 399, "z" * 400, "q" * 399]
+    got = collected(suffix_dedup.suffix_dedup(frame(spark, [(i, t, *[None] * 11) for i, t in enumerate(texts)])))
+    want = brute_repeats([t.encode() for t in texts], 400)
+    assert [r["n_removed"] for r in sorted(got, key=lambda r: r["doc_id"])] == [sum(c) for c in want]
+
+
+def test_long_words_differ_by_any_byte():
+    a = b"x" * 70_000
+    b = a[:68_000] + b"y" + a[68_001:]
+    c = a[: 68_000 - 65_536] + b"y" + a[68_001 - 65_536 :]
+    hashes = [int(hashing.word_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in (a, b, c)]
+    assert len(set(hashes)) == 3
