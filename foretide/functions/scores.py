@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -20,19 +21,22 @@ def lookup(c: Column, table: dict) -> Column:
 def vote(c: Column, categories: dict[str, tuple[str, ...]] = K.CATEGORIES, generic: tuple[str, ...] = K.GENERIC_KEYWORDS) -> Column:
     """struct(category, confidence): each keyword in the text votes by its length, generic ones at 0.3; the first of
     the best wins, confidence is its share."""
-    low = F.lower(c)
-    weight = lambda w: (0.3 if w in generic else 1.0) * (1 + len(w.replace(" ", "")) / 4)
-    scores = [
-        (name, reduce(lambda a, b: a + b, [F.when(F.contains(low, F.lit(w.lower())), weight(w)).otherwise(0.0) for w in words]))
-        for name, words in categories.items()
-        if words
-    ]
-    best = F.greatest(*[s for _, s in scores])
-    name = F.coalesce(*[F.when(s == best, n) for n, s in scores])
-    total = reduce(lambda a, b: a + b, [s for _, s in scores])
-    return F.when(best > 0, F.struct(name.alias("category"), F.round(best / total, 3).alias("confidence"))).otherwise(
-        F.struct(F.lit("other").alias("category"), F.lit(0.0).alias("confidence"))
-    )
+    names = [n for n, words in categories.items() if words]
+    rows = [{"c": i, "w": w.lower(), "x": (0.3 if w in generic else 1.0) * (1 + len(w.replace(" ", "")) / 4)} for i, n in enumerate(names) for w in categories[n]]
+    # One literal, folded to a constant: the expression stays small however long the word lists are.
+    words = F.from_json(F.lit(json.dumps(rows)), "array<struct<c: int, w: string, x: double>>")
+
+    def result(scores: Column) -> Column:
+        best, total = F.array_max(scores), F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+        name = F.get(F.split(F.lit(",".join(names)), ","), (F.array_position(scores, best) - 1).cast("int"))
+        return F.when(best > 0, F.struct(name.alias("category"), F.round(best / total, 3).alias("confidence"))).otherwise(
+            F.struct(F.lit("other").alias("category"), F.lit(0.0).alias("confidence"))
+        )
+
+    hits = X.let(F.lower(c), lambda low: F.filter(words, lambda w: F.contains(low, w["w"])))
+    own = lambda found, i: F.aggregate(F.filter(found, lambda h: h["c"] == i), F.lit(0.0), lambda a, h: a + h["x"])
+    scores = lambda found: F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: own(found, i))
+    return X.let(X.let(hits, scores), result)
 
 
 def commitment(c: Column, ladder: dict[str, tuple[str, ...]] = K.COMMITMENTS) -> Column:

@@ -56,6 +56,11 @@ def normalize_with_map(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [g[0] for g in got], "map": [g[1] for g in got]})
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def hangul_tokens(c: Column, least: int = 2) -> Column:
     """Runs of Hangul syllables of at least ``least``."""
     return F.filter(F.regexp_extract_all(c, F.lit("([가-힣]+)"), F.lit(1)), lambda x: F.length(x) >= least)
