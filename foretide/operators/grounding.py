@@ -97,6 +97,16 @@ def official_issue(document: str, spans: list[tuple[int, int]], level: str | Non
     return commitment_issue(spoken, level)
 
 
+def speech_issue(document: Column, spans: Column, level: Column) -> Column:
+    """``official_issue`` of each row: ``spans`` is an array of struct(start, end) in document offsets."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series, s: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([official_issue(a or "", [(x["start"], x["end"]) for x in b], c) for a, b, c in zip(t, s, v, strict=True)], dtype=object)
+
+    return run(document, spans, level)
+
+
 def supports_amount(source: str, claimed: int, unit: int = 1) -> tuple[int | None, bool]:
     """(largest amount in the evidence, whether some amount agrees with the claim)."""
     values = [a["value"] for a in amounts_in(source, unit, bare=unit != 1)]

@@ -29,6 +29,25 @@ def parsed(c):
     return F.struct(blank(sido).alias("sido"), blank(sigungu).alias("sigungu"), council.alias("council"), blank(department).alias("department"))
 
 
+#: Words of bodies that stand on their own, whatever place their name begins with; who is nobody.
+OWN_BODIES = ("학교", "공사", "공단", "조합", "재단", "의료원", "협의회", "기구")
+NOBODY = ("각수요기관",)
+
+
+def is_own_body(name):
+    """A school, corporation, foundation ...; a district's health centre is none."""
+    return F.replace(name, F.lit("보건의료원"), F.lit("")).rlike("|".join(OWN_BODIES))
+
+
+def looks_local(name):
+    """A province, city, district or council by the shape of its name."""
+    return X.let(parsed(name), lambda p: p["sigungu"].isNotNull() | p["sido"].isNotNull() | p["council"]) & ~is_own_body(name)
+
+
+def names_nobody(name):
+    return compact(name).isin(*NOBODY)
+
+
 def resolve(records: DataFrame, registry: DataFrame) -> DataFrame:
     """``records`` (id, raw, code_hint, sido_hint) with code, department, confidence and method.
 

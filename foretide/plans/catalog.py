@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foretide.plans import backtest, domain, relational, textual
+from foretide.plans import backtest, domain, relational, scalars, textual
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (backtest, relational, textual, domain):
+for _module in (backtest, relational, textual, scalars, domain):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -10,23 +10,13 @@ from pyspark.sql import functions as F
 
 from foretide.constants import STAGES
 from foretide.operators import backtest, evaluation, governance, grounding, link, market, retrospective
+from foretide.plans.registry import registry
 from foretide.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES, ORACLE_SQL, query = registry()
 TODAY = date(2000, 1, 1)
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """Orders as signals: stage by key, title and keywords from the first line's part, a plan number for each third."""
     parts = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))

@@ -6,20 +6,10 @@ from pyspark.sql import functions as F
 
 from foretide.functions.scores import exclusive_quantile
 from foretide.operators import joins, ranking
+from foretide.plans.registry import registry
 from foretide.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLE_SQL, query = registry()
 
 
 DEC = "decimal(15,2)"

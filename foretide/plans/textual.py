@@ -5,20 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretide.functions import money, scores, text, timing
+from foretide.plans.registry import registry
 from foretide.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLE_SQL, query = registry()
 
 
 _GRAMS = """CASE WHEN length(t) < {n} THEN [] ELSE list_transform(range(1, length(t) - {n} + 2), lambda i: substring(t, i, {n})) END"""
