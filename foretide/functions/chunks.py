@@ -6,7 +6,7 @@ import re
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretide.constants import HANDOVER_CHARS, MAX_CHUNK, PLAIN_OVERLAP, PLAIN_SIZE
@@ -189,3 +189,11 @@ minutes_chunks, plain_chunks, block_chunks, budget_chunks = _udf(minutes), _udf(
 def record_chunk(c: Column) -> Column:
     """A whole text as one chunk."""
     return F.array(F.struct(F.lit(0).alias("seq"), F.lit(0).alias("char_start"), F.length(c).alias("char_end"), c.alias("text"), F.array().cast("array<string>").alias("labels"), F.lit("record").alias("kind")))
+
+
+def excerpts(blocks: DataFrame, pattern: str, most: int) -> DataFrame:
+    """Blocks (source, char_start, text) to be looked at by people: those that hold the pattern (an amount or an act), at
+    most ``most`` of a source, chosen by the hash of source and place, in the order of the documents."""
+    w = Window.partitionBy("source").orderBy(F.sha2(F.concat_ws(":", F.col("source").cast("string"), F.col("char_start").cast("string")), 256), "char_start")
+    chosen = blocks.filter(F.col("text").rlike(pattern)).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most)
+    return chosen.drop("__n").orderBy("source", "char_start")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretide.functions.scores import lookup
-from foretide.operators.ranking import running_balance
+from foretide.operators.ranking import nearest_rank, running_balance
 
 #: Fixed plans: won a month, credits a month.
 PLANS = {"free": (0, 3), "pro": (99_000, 40), "team": (290_000, 150)}
@@ -70,17 +70,29 @@ def plan_credits(plan: Column) -> Column:
     return lookup(plan, {k: v[1] for k, v in PLANS.items()})
 
 
-def job_tree(jobs: DataFrame, root: int, depth: int = 20) -> DataFrame:
-    """A job and all below it, with their depth."""
-    jobs.select("id", "parent_id").createOrReplaceTempView("job_tree_jobs")
-    return jobs.sparkSession.sql(
-        f"""WITH RECURSIVE tree(id, depth) AS (SELECT id, 0 FROM job_tree_jobs WHERE id = {int(root)}
-        UNION ALL SELECT j.id, t.depth + 1 FROM tree t JOIN job_tree_jobs j ON j.parent_id = t.id WHERE t.depth < {int(depth)}) SELECT id, depth FROM tree"""
-    )
+def job_tree(jobs: DataFrame, root: int) -> DataFrame:
+    """A job and all below it, with their depth: one join of the children for each level, however many there are; a job
+    that is below itself is an error."""
+    from foretide.sources.shared import stored
+
+    children = jobs.select(F.col("id").alias("child"), "parent_id").filter("parent_id is not null")
+    level = stored(jobs.filter(F.col("id") == root).select("id", F.lit(0).alias("depth")), "job-level")
+    out = level
+    while not level.isEmpty():
+        level = stored(level.join(children, F.col("id") == F.col("parent_id")).select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")), "job-level")
+        if not level.filter(F.col("id") == root).isEmpty():
+            raise ValueError(f"job {root} is below itself")
+        out = out.union(level)
+    return out
+
+
+def cancelled(jobs: DataFrame, root: int) -> DataFrame:
+    """The tree of a job after it was cancelled: what is not finished is cancelled with it."""
+    over = F.col("state").isin("done", "failed", "cancelled")
+    return job_tree(jobs, root).join(jobs, "id").withColumn("state", F.when(over, F.col("state")).otherwise("cancelled"))
 
 
 def job_statistics(jobs: DataFrame) -> DataFrame:
     """Numbers by state, retry share and nearest-rank 95th percentile of run time by queue."""
-    v = F.array_sort(F.collect_list(F.when(F.col("state") == "done", F.col("seconds"))))
-    g = jobs.groupBy("queue").agg(F.count_if(F.col("state") == "done").alias("done"), F.count_if(F.col("state") == "failed").alias("failed"), F.avg((F.col("attempts") > 1).cast("double")).alias("retried"), v.alias("v"))
-    return g.withColumn("p95", F.when(F.size("v") > 0, F.element_at("v", F.ceil(F.lit(0.95) * F.size("v")).cast("int")))).drop("v")
+    g = jobs.groupBy("queue").agg(F.count_if(F.col("state") == "done").alias("done"), F.count_if(F.col("state") == "failed").alias("failed"), F.avg((F.col("attempts") > 1).cast("double")).alias("retried"))
+    return g.join(nearest_rank(jobs.filter("state = 'done'"), ["queue"], "seconds", 0.95, "p95"), "queue", "left")

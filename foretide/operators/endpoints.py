@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foretide.functions.timing import month_span, remaining_window, stage_order
 from foretide.operators.governance import latest_runs
-from foretide.operators.ranking import keyset_page
+from foretide.operators.ranking import keyset_page, nearest_rank
 
 
 def opportunity_card(opportunities: DataFrame, recommendations: DataFrame, org_id: int, opportunity_id: int, today: date) -> DataFrame:
@@ -99,14 +99,20 @@ def extraction_scores(matched: DataFrame, gold: DataFrame, predicted: DataFrame)
 
 
 def model_comparison(calls: DataFrame) -> DataFrame:
-    """By model: cases, errors, tokens, cost, median and nearest-rank 95th percentile latency, histogram of errors."""
-    v = F.array_sort(F.collect_list("seconds"))
+    """By model: cases, errors, tokens, cost, median and nearest-rank 95th percentile latency, histogram of errors. What
+    is gathered is one entry for each kind of error."""
     g = calls.groupBy("model").agg(
         F.count("*").alias("cases"), F.count("error").alias("errors"), F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.sum("usd").alias("usd"),
-        F.percentile("seconds", 0.5).alias("p50"), v.alias("v"), F.collect_list("error").alias("e"),
+        F.percentile("seconds", 0.5).alias("p50"),
     )
-    counts = F.transform(F.array_sort(F.array_distinct("e")), lambda x: F.struct(x.alias("error"), F.size(F.filter("e", lambda y: y == x)).alias("n")))
-    return g.withColumn("p95", F.element_at("v", F.ceil(F.lit(0.95) * F.size("v")).cast("int"))).withColumn("error_counts", counts).drop("v", "e")
+    kinds = calls.filter("error is not null").groupBy("model", "error").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("error", "n"))).alias("error_counts"))
+    return g.join(nearest_rank(calls, ["model"], "seconds", 0.95, "p95"), "model", "left").join(kinds, "model", "left")
+
+
+def root_jobs(jobs: DataFrame, org_id: int, limit: int = 20, before: int | None = None) -> DataFrame:
+    """A customer's jobs that no other started, latest first."""
+    return own_page(jobs.filter("parent_id is null"), org_id, "id", limit, before)
 
 
 def stage_histogram(opportunities: DataFrame) -> DataFrame:

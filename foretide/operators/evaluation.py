@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foretide.operators.joins import interval_overlap
+
 
 def pairwise_scores(df: DataFrame, truth: str, found: str) -> DataFrame:
     """Precision, recall, F1 over pairs and purity, from group sizes alone: no pair is ever built."""
@@ -30,22 +32,34 @@ def binary_scores(df: DataFrame, truth: str, found: str) -> DataFrame:
     return g.select("tp", "fp", "fn", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6).alias("recall"))
 
 
-def best_overlap(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+def best_overlap(gold: DataFrame, predicted: DataFrame, width: int = 500) -> DataFrame:
     """Greedy match within a document: gold spans in order take the unused prediction of the largest positive
-    character overlap. Columns: doc, gold_id, start, end and doc, pred_id, start, end."""
-
-    def match(key, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        free, out = list(p.sort_values("pred_id").itertuples(index=False)), []
-        for x in g.sort_values("gold_id").itertuples(index=False):
-            best = max(free, key=lambda y: min(x.end, y.end) - max(x.start, y.start), default=None)
-            n = min(x.end, best.end) - max(x.start, best.start) if best is not None else 0
-            if n > 0:
-                free.remove(best)
-                out.append((key[0], x.gold_id, best.pred_id, n))
-        return pd.DataFrame(out, columns=["doc", "gold_id", "pred_id", "overlap"])
-
-    both = gold.groupBy("doc").cogroup(predicted.groupBy("doc"))
-    return both.applyInPandas(match, "doc long, gold_id long, pred_id long, overlap long")
+    character overlap, ties to the smaller pred_id. Columns: doc, gold_id, start, end and doc, pred_id, start, end.
+
+    Pairs that overlap come from a join by buckets of ``width`` characters; sorted, they are gone through once, holding
+    the predictions that the document at hand has used."""
+    import pyarrow as pa
+
+    pairs = interval_overlap(gold, predicted, "doc", width)
+    shared = F.least("a.end", "b.end") - F.greatest("a.start", "b.start")
+    pairs = pairs.select(F.col("a.doc").cast("long").alias("doc"), F.col("a.gold_id").cast("long").alias("gold_id"), F.col("b.pred_id").cast("long").alias("pred_id"), shared.cast("long").alias("overlap"))
+
+    def run(batches):
+        at, used = (None, None), set()
+        for b in batches:
+            out = []
+            for doc, g, p, n in zip(*(b.column(c).to_pylist() for c in ("doc", "gold_id", "pred_id", "overlap")), strict=True):
+                if doc != at[0]:
+                    at, used = (doc, None), set()
+                if g != at[1] and p not in used:
+                    at = (doc, g)
+                    used.add(p)
+                    out.append((doc, g, p, n))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "gold_id", "pred_id", "overlap"])
+
+    ordered = pairs.repartition("doc").sortWithinPartitions("doc", "gold_id", F.desc("overlap"), "pred_id")
+    return ordered.mapInArrow(run, "doc long, gold_id long, pred_id long, overlap long")
 
 
 def maximum_matching(edges: DataFrame) -> DataFrame:

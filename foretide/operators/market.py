@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretide.constants import PER_ORG, PER_SOURCE, STAGES
@@ -23,16 +23,31 @@ def open_and_settled(opportunities: DataFrame, states: DataFrame | None = None)
     return out
 
 
+def nearest(open_: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """(org_id, opportunity_id, c, rank): the ``most`` of all opportunities nearest to each profile vector ``pv``, ties to
+    the smaller id. A stated query set against all rows: Spark keeps ``most`` rows a profile in each partition before
+    anything is shuffled."""
+    pairs = open_.filter("embedding is not null").select("opportunity_id", "embedding").crossJoin(vectors)
+    return top_k(pairs.select("org_id", "opportunity_id", S.cosine(F.col("embedding"), F.col("pv")).alias("c")), ["org_id"], [F.desc("c"), F.asc("opportunity_id")], most)
+
+
+def title_holds(titles: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs where ``title`` ILIKE %k%, wildcards in ``k`` and all. Titles are looked up by the first letters of a word
+    that are no wildcard, three at most: an equi-join, whose pairs are then tested."""
+    low = F.lower("title")
+    pieces = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    t = titles.withColumn("__g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(n) for n in (1, 2, 3)]))))
+    w = words.withColumn("__g", F.regexp_extract(F.lower("k"), "[^%_]{1,3}", 0))
+    return t.join(w, "__g").filter(F.ilike("title", F.concat(F.lit("%"), F.col("k"), F.lit("%")))).drop("__g")
+
+
 def candidates(open_: DataFrame, profiles: DataFrame, per_source: int = PER_SOURCE) -> DataFrame:
     """(org_id, opportunity_id): for each profile the nearest by vector, those with a keyword, those of its categories,
-    ``per_source`` of each, ties to the smaller id. Profiles are the small side; keyword and category candidates are
-    equi-joins on exploded words, not products."""
-    vec = profiles.filter("embedding is not null").select("org_id", F.col("embedding").alias("pv"))
-    pairs = open_.filter("embedding is not null").select("opportunity_id", "embedding").crossJoin(vec)  # a stated query set against all rows
-    near = top_k(pairs.withColumn("c", S.cosine(F.col("embedding"), F.col("pv"))), ["org_id"], [F.desc("c"), F.asc("opportunity_id")], per_source)
+    ``per_source`` of each, ties to the smaller id. Keyword and category candidates are equi-joins on exploded words."""
+    near = nearest(open_, profiles.filter("embedding is not null").select("org_id", F.col("embedding").alias("pv")), per_source)
     words = profiles.select("org_id", F.explode("keywords").alias("k")).filter(F.trim("k") != "")
     tagged = open_.select("opportunity_id", F.explode("keywords").alias("k")).join(words, "k").select("org_id", "opportunity_id")
-    titled = open_.select("opportunity_id", "title").join(words, F.ilike("title", F.concat(F.lit("%"), F.col("k"), F.lit("%")))).select("org_id", "opportunity_id")
+    titled = title_holds(open_.select("opportunity_id", "title"), words).select("org_id", "opportunity_id")
     word = top_k(tagged.union(titled).distinct(), ["org_id"], [F.asc("opportunity_id")], per_source)
     of = profiles.select("org_id", F.explode("categories").alias("category"))
     category = top_k(open_.select("opportunity_id", "category").join(of, "category"), ["org_id"], [F.asc("opportunity_id")], per_source)
@@ -102,7 +117,7 @@ def fresh_alerts(recommendations: DataFrame, opportunities: DataFrame, rules: Da
     j = j.filter((F.col("score") >= F.col("min_score")) & F.col("status").isin("open", "bid_open") & (F.col("feedback").isNull() | (F.col("feedback") == "relevant")))
     j = j.filter(F.col("stages").isNull() | (F.size("stages") == 0) | F.array_contains("stages", F.col("stage")))
     j = j.filter(F.col("notified_stage").isNull() | (stage_order(F.col("stage")) > stage_order(F.col("notified_stage"))))
-    out = top_k(j, ["org_id"], [F.desc("score"), F.asc("opportunity_id")], 1_000_000)
+    out = j.withColumn("rank", F.row_number().over(Window.partitionBy("org_id").orderBy(F.desc("score"), F.asc("opportunity_id"))))
     most = F.when(F.col("mode") == "instant", 20).otherwise(15)
     return out.select("org_id", "opportunity_id", "stage", "score", "mode", "rank", (F.col("rank") <= most).alias("shown"))
 

@@ -67,3 +67,12 @@ def ordered_distinct(column: str, order: list[str], most: int) -> Column:
     """Aggregate: values in ``order``, each once, the first ``most``."""
     rows = F.array_sort(F.collect_list(F.struct(*order, column)))
     return F.slice(F.array_distinct(F.transform(rows, lambda r: r[column])), 1, most)
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """Per key the least value that at least a share ``q`` of the values do not exceed. Values are counted first and
+    the counts summed in order, so no key's values are ever gathered."""
+    w = Window.partitionBy(*keys)
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    c = c.withColumn("__upto", F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
+    return c.filter(F.col("__upto") >= F.ceil(F.lit(q) * F.col("__all"))).groupBy(*keys).agg(F.min(value).alias(name))

@@ -119,3 +119,16 @@ def learn_providers(records: DataFrame, registry: DataFrame, prefix: str = "G2B-
     new = coded.select(F.concat(F.lit(prefix), "provider_code").alias("code"), "name")
     kind = F.when(F.col("name").contains("의회"), "council").when(F.col("name").rlike("교육(?:청|지원청)"), "education").otherwise("public_body")
     return new.join(registry.select("code"), "code", "left_anti").withColumn("kind", kind).withColumn("sido", parsed(F.col("name"))["sido"])
+
+
+def reresolve(records: DataFrame, registry: DataFrame, prefix: str = "G2B-") -> DataFrame:
+    """Records without an institution resolved against today's registry, which the bodies that providers name by code
+    are added to first. A coded record takes its provider's body, any other its name's; equal names are resolved once
+    (see ``resolve``). ``records``: id, raw, provider_code, sido_hint, published_at, institution."""
+    left = records.filter("institution is null").drop("institution")
+    known = registry.select("code").union(learn_providers(left, registry, prefix).select("code")).distinct()
+    own = left.withColumn("code_hint", F.concat(F.lit(prefix), "provider_code"))
+    coded = own.join(known.select(F.col("code").alias("code_hint")), "code_hint", "left_semi")
+    named = resolve(own.join(coded.select("id"), "id", "left_anti"), registry)
+    fixed = coded.select(*left.columns, F.col("code_hint").alias("code"), F.lit(None).cast("string").alias("department"), F.lit(1.0).alias("confidence"), F.lit("provider").alias("method"))
+    return fixed.unionByName(named.select(*fixed.columns))

@@ -54,3 +54,15 @@ def export_lines(samples: DataFrame, fields: list[str], cap: int = 100_000) -> t
         raise ValueError(f"more than {cap} samples")
     digest = hashlib.sha256("\n".join(r["line"] for r in rows).encode()).hexdigest()
     return [f'{{"samples": {len(rows)}, "sha256": "{digest}"}}', *(r["line"] for r in rows)], digest
+
+
+def row_digests(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Per key the SHA-256 over its rows as JSON lines in their own order: equal digests, equal sets of rows."""
+    line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return df.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("digest"))
+
+
+def canonical_key(**parts):
+    """SHA-256 of the parts as one JSON object, in the order given, without those that are null: a signal's key that
+    does not hang on its row id or on the order of arrival."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()])), 256)

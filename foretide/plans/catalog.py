@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foretide.plans import backtest, domain, relational, scalars, textual
+from foretide.plans import backtest, domain, entities, records, relational, scalars, streams, textual
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (backtest, relational, textual, scalars, domain):
+for _module in (backtest, relational, textual, scalars, records, entities, streams, domain):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

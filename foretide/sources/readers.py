@@ -8,7 +8,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
 RECORD = "path string, since date, until date, page int, item string"
 
@@ -44,7 +44,7 @@ class PagedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return PagedStream(self.options)
 
 
@@ -75,8 +75,9 @@ class PagedReader(DataSourceReader):
         return pages(self.options, partition)
 
 
-class PagedStream(SimpleDataSourceStreamReader):
-    """Each batch reads on from three days before the last one's end: late records are seen again and told by hash."""
+class PagedStream(DataSourceStreamReader):
+    """Each batch reads on from three days before the last one's end, so late records are seen again and told by hash.
+    Executors read: one partition for each path and week, as in a batch scan."""
 
     OVERLAP = 3
 
@@ -86,17 +87,16 @@ class PagedStream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"until": self.options["since"]}
 
-    def read(self, start: dict):
-        last, end = date.fromisoformat(start["until"]), date.fromisoformat(self.options["until"])
-        if last >= end:
-            return iter(()), start
-        new = min(last + timedelta(days=int(self.options.get("days", 7))), end)
-        rows = [r for p in self.options["paths"].split(",") for r in pages(self.options, Slice(p.strip(), last - timedelta(days=self.OVERLAP), new))]
-        return iter(rows), {"until": new.isoformat()}
+    def latestOffset(self) -> dict:
+        return {"until": self.options["until"]}
 
-    def readBetweenOffsets(self, start: dict, end: dict):
+    def partitions(self, start: dict, end: dict):
         last, until = (date.fromisoformat(x["until"]) for x in (start, end))
-        return iter([r for p in self.options["paths"].split(",") for r in pages(self.options, Slice(p.strip(), last - timedelta(days=self.OVERLAP), until))])
+        spans = weeks(last - timedelta(days=self.OVERLAP), until) if last < until else []
+        return [Slice(p.strip(), a, b) for p in self.options["paths"].split(",") for a, b in spans]
+
+    def read(self, partition: Slice):
+        return pages(self.options, partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -120,17 +120,25 @@ def write_links(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def put_blobs(df: DataFrame, path: str) -> DataFrame:
-    """Contents addressed by their SHA-256, in folders of its first two digits, each content once; returns the rows with
-    ``raw_sha256``. A part is written by Spark's committer, wherever ``path`` lives."""
+    """Contents addressed by their SHA-256, in folders of its first two digits, each content once: what earlier batches
+    stored is not stored again (only the folders of this batch are looked at). Returns the rows with ``raw_sha256``. A
+    part is written by Spark's committer, wherever ``path`` lives."""
+    spark = df.sparkSession
     own = df.withColumn("raw_sha256", F.sha2("content", 256))
-    own.select("raw_sha256", "content", F.substring("raw_sha256", 1, 2).alias("prefix")).dropDuplicates(["raw_sha256"]).write.mode("append").partitionBy("prefix").parquet(path)
+    new = own.select("raw_sha256", "content", F.substring("raw_sha256", 1, 2).alias("prefix")).dropDuplicates(["raw_sha256"])
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        held = spark.read.schema("raw_sha256 string, prefix string").parquet(path)
+        new = new.join(held, ["prefix", "raw_sha256"], "left_anti").select("raw_sha256", "content", "prefix")
+    new.write.mode("append").partitionBy("prefix").parquet(path)
     return own.drop("content")
 
 
 def get_blobs(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """The contents of ``wanted`` (raw_sha256); only their folders are read."""
     w = wanted.select("raw_sha256", F.substring("raw_sha256", 1, 2).alias("prefix")).distinct()
-    return spark.read.parquet(path).join(w, ["prefix", "raw_sha256"], "left_semi").drop("prefix")
+    blobs = spark.read.schema("raw_sha256 string, content binary, prefix string").parquet(path)
+    return blobs.join(w, ["prefix", "raw_sha256"], "left_semi").drop("prefix")
 
 
 def register(spark: SparkSession) -> None:

@@ -40,13 +40,13 @@ def sessions(events: DataFrame, at: str, key: str, gap: str = "6 hours", late: s
     return events.withWatermark(at, late).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def early_to_tender(early: DataFrame, tenders: DataFrame, key: str, horizon: str = "540 days", late: str = "7 days") -> DataFrame:
+def early_to_tender(early: DataFrame, tenders: DataFrame, key: str, horizon: str = "540 days", late: str = "7 days", carried: tuple[str, ...] = ()) -> DataFrame:
     """Early signals with the tenders of their entity within the horizon: an interval join of two streams, whose state
     the watermarks bound."""
     e = early.withWatermark("early_at", late).alias("e")
     t = tenders.withWatermark("tender_at", late).alias("t")
     on = F.expr(f"e.{key} = t.{key} AND tender_at > early_at AND tender_at <= early_at + interval {horizon}")
-    return e.join(t, on).select(F.col(f"e.{key}").alias(key), "early_at", "tender_at")
+    return e.join(t, on).select(F.col(f"e.{key}").alias(key), "early_at", "tender_at", *carried)
 
 
 class StageAlerts(StatefulProcessor):

@@ -406,12 +406,12 @@ def test_paged_source(spark, tmp_path):
     got = rows(df)
     assert len(got) == 34 and {r["path"] for r in got} == {"a", "b"} and df.rdd.getNumPartitions() == 6
     assert readers.weeks(D(2026, 1, 1), D(2026, 1, 8)) == [(D(2026, 1, 1), D(2026, 1, 7)), (D(2026, 1, 8), D(2026, 1, 8))]
-    stream = spark.readStream.format("paged_records").options(**options).load()
-    q = stream.writeStream.format("memory").queryName("paged").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    days = [r["item"] for r in spark.table("paged").collect()]
-    assert len(set(days)) == 40 and len(days) > 40  # three days before each batch are read again
+    days = []
+    for until in ("2026-01-17", "2026-01-20"):
+        stream = spark.readStream.format("paged_records").options(**{**options, "until": until}).load()
+        q = stream.writeStream.foreachBatch(lambda df, i: days.extend(r["item"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert len(set(days)) == 46 and len(days) == 40 + 14  # three days before each batch are read again
 
 
 def test_blobs(spark, tmp_path):
@@ -420,6 +420,8 @@ def test_blobs(spark, tmp_path):
     assert kept.columns == ["id", "raw_sha256"]
     back = readers.get_blobs(spark, str(tmp_path / "blobs"), kept.filter("id = 3"))
     assert [bytes(r["content"]) for r in back.collect()] == [b"x"]
+    readers.put_blobs(df.union(spark.createDataFrame([(4, b"z")], "id int, content binary")), str(tmp_path / "blobs"))
+    assert spark.read.parquet(str(tmp_path / "blobs")).count() == 3
 
 
 def test_ranking_and_graph(spark):
