@@ -11,6 +11,7 @@ from foretide.constants import PER_ORG, PER_SOURCE, STAGES
 from foretide.functions import scores as S
 from foretide.functions.text import region_matches
 from foretide.functions.timing import stage_order
+from foretide.operators import vectors as V
 from foretide.operators.ranking import keyset_page, top_k
 
 
@@ -24,11 +25,10 @@ def open_and_settled(opportunities: DataFrame, states: DataFrame | None = None)
 
 
 def nearest(open_: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
-    """(org_id, opportunity_id, c, rank): the ``most`` of all opportunities nearest to each profile vector ``pv``, ties to
-    the smaller id. A stated query set against all rows: Spark keeps ``most`` rows a profile in each partition before
-    anything is shuffled."""
-    pairs = open_.filter("embedding is not null").select("opportunity_id", "embedding").crossJoin(vectors)
-    return top_k(pairs.select("org_id", "opportunity_id", S.cosine(F.col("embedding"), F.col("pv")).alias("c")), ["org_id"], [F.desc("c"), F.asc("opportunity_id")], most)
+    """(org_id, opportunity_id): the ``most`` of all opportunities nearest to each profile vector ``pv``, ties to the
+    smaller id."""
+    found = V.nearest(open_.select(F.col("opportunity_id").alias("id"), F.col("embedding").alias("vector")), vectors.select(F.col("org_id").alias("query_id"), F.col("pv").alias("vector")), most, None)
+    return found.select(F.col("query_id").alias("org_id"), F.col("id").alias("opportunity_id"))
 
 
 def title_holds(titles: DataFrame, words: DataFrame) -> DataFrame:

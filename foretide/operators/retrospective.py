@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretide.functions.text import char_ngrams
 from foretide.operators.ranking import first_per_key, top_k
 
 # Fixed list: words that say what is done, not to what.
@@ -73,7 +74,15 @@ def notice_candidates(signals: DataFrame, notices: DataFrame, least: float = 0.5
     """Notices of the same institution that each signal may have become: half of what it names in their title, three
     characters shared, later than it, the best eight."""
     s = signals.select("signal_id", "institution", "observed_at", name_tokens(without_place(F.col("title"), F.col("institution"))).alias("parts"))
-    j = s.join(notices.select("notice_id", "institution", "notice_title", "notice_date"), "institution").filter("notice_date > observed_at")
+    n = notices.select("notice_id", "institution", "notice_title", "notice_date")
+    # What is shared begins or ends a part, so a notice holds the first or last three letters of one (all of a shorter
+    # one): only such notices are looked at, not all of the institution.
+    ends = F.flatten(F.transform("parts", lambda p: F.when(F.length(p) > 3, F.array(F.substring(p, F.lit(1), F.lit(3)), F.right(p, F.lit(3)))).otherwise(F.array(p))))
+    compact = F.regexp_replace("notice_title", r"\s+", "")
+    grams = F.array_distinct(F.concat(*[char_ngrams(compact, k) for k in (2, 3)]))
+    hit = s.select("signal_id", "institution", "observed_at", F.explode(F.array_distinct(ends)).alias("g")).join(n.select("notice_id", "institution", "notice_date", F.explode(grams).alias("g")), ["institution", "g"])
+    hit = hit.filter("notice_date > observed_at").select("signal_id", "notice_id").distinct()
+    j = hit.join(s, "signal_id").join(n.drop("institution"), "notice_id")
     j = j.withColumn("o", overlap(F.col("parts"), F.col("notice_title")))
     j = j.filter((F.col("o.score") >= least) & (F.aggregate("o.shared", F.lit(0), lambda a, x: a + F.length(x)) >= 3))
     return top_k(j.select("signal_id", "notice_id", "notice_date", "o.score", "o.shared"), ["signal_id"], [F.desc("score"), F.asc("notice_date"), F.asc("notice_id")], most)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foretide.constants import STAGES
 from foretide.operators import backtest, evaluation, governance, grounding, link, market, retrospective
+from foretide.plans import entities
 from foretide.plans.registry import registry
 from foretide.sources.tables import table
 
@@ -132,7 +133,7 @@ def evidence_revalidation(spark, d):
     return governance.evidence_revalidation(s, docs.select(F.col("doc_id").alias("document_id"), "text"))
 
 
-@query()
+@query(entities.ORACLE_SQL["retrospective_notices"].replace("round(score, 6) AS score", "score").replace("row_number() OVER w AS rank", "CAST(row_number() OVER w AS INTEGER) AS rank"))
 def retrospective_candidates(spark, d):
     """Parts as later notices of their customers' orders: what titles share with them."""
     s = signals(spark, d)

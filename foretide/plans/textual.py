@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretide.functions import money, scores, text, timing
+from foretide.operators import vectors
 from foretide.plans.registry import registry
 from foretide.sources.tables import table
 
@@ -24,15 +25,15 @@ def text_char_ngrams(spark, d):
 
 @query(f"""
 WITH p AS (SELECT DISTINCT p_name, regexp_replace(p_name, '\\s+', '', 'g') AS t FROM part), g AS (SELECT p_name, list_distinct({_GRAMS.format(n=2)}) AS g FROM p),
-x AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.g, b.g)) AS i, len(list_distinct(list_concat(a.g, b.g))) AS u FROM g a JOIN g b ON a.p_name < b.p_name AND left(a.p_name, 1) = left(b.p_name, 1))
-SELECT a, b, round(CASE WHEN u = 0 THEN 0 ELSE i / u END, 6) AS similarity FROM x WHERE i > 0""")
+x AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.g, b.g)) AS i, len(list_distinct(list_concat(a.g, b.g))) AS u FROM g a JOIN g b ON a.p_name < b.p_name)
+SELECT a, b, round(i / u, 6) AS similarity FROM x WHERE i > 0""")
 def text_title_similarity_pairs(spark, d):
-    """Bigram Jaccard of titles with one first letter: the n-grams are computed once a title, then joined."""
+    """Bigram Jaccard of all titles that share a bigram: joined on the bigrams, whose number in common is counted."""
     p = table(spark, d, "part").select("p_name").distinct()
-    g = p.select("p_name", F.substring("p_name", 1, 1).alias("k"), F.array_distinct(text.char_ngrams(F.col("p_name"), 2)).alias("g"))
-    a, b = g.select(F.col("p_name").alias("a"), "k", F.col("g").alias("ga")), g.select(F.col("p_name").alias("b"), "k", F.col("g").alias("gb"))
-    pairs = a.join(b, (a["k"] == b["k"]) & (F.col("a") < F.col("b")))
-    return pairs.filter(F.arrays_overlap("ga", "gb")).select("a", "b", F.round(text.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"))
+    g = p.select("p_name", F.array_distinct(text.char_ngrams(F.col("p_name"), 2)).alias("g")).select("p_name", F.size("g").alias("n"), F.explode("g").alias("k"))
+    a, b = (g.select(F.col("p_name").alias(c), F.col("n").alias(f"n{c}"), "k") for c in ("a", "b"))
+    both = a.join(b, "k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return both.select("a", "b", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("similarity"))
 
 
 @query(r"""
@@ -87,13 +88,13 @@ def score_precision_recall(spark, d):
     return binary_scores(table(spark, d, "labels").join(docs, "doc_id"), "quality", "f")
 
 
-@query("""SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id LIMIT 20""")
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 20""")
 def vector_top_k(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)  # one query vector
-    s = e.crossJoin(F.broadcast(q)).select("vec_id", F.round(scores.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
-    return s.orderBy(F.desc("similarity"), "vec_id").limit(20)
+    """Each twentieth vector's twenty nearest of all."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = vectors.nearest(e, e.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 20)
+    return out.select("query_id", F.col("id").alias("vec_id"), "similarity")
 
 
 @query("""
@@ -110,16 +111,20 @@ def vector_top_k_per_group(spark, d):
 
 
 @query("""
-WITH q AS (SELECT embedding AS q, label AS own FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, own, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS c FROM embeddings, q),
-t AS (SELECT vec_id FROM s ORDER BY round(c, 6) DESC, vec_id LIMIT 30), g AS (SELECT vec_id FROM s WHERE label = own ORDER BY round(c, 6) DESC, vec_id LIMIT 30)
-SELECT round((SELECT count(*) FROM t WHERE vec_id IN (SELECT vec_id FROM g)) / (SELECT count(*) FROM t), 6) AS recall""")
+WITH q AS (SELECT vec_id AS qid, embedding AS q, label AS own FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id, label, own, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS c FROM embeddings, q),
+t AS (SELECT qid, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY c DESC, vec_id) <= 30), g AS (SELECT qid, vec_id FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY qid ORDER BY c DESC, vec_id) <= 30)
+SELECT round((SELECT count(*) FROM t JOIN g USING (qid, vec_id)) / (SELECT count(*) FROM t), 6) AS recall""")
 def vector_recall(spark, d):
+    """Share of each twentieth vector's thirty nearest that a search within its own label finds."""
+    from foretide.operators.ranking import top_k
+
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"), F.col("label").alias("own")).limit(1)
-    s = e.crossJoin(F.broadcast(q)).withColumn("c", F.round(scores.cosine(F.col("embedding"), F.col("q")), 6))
-    best = lambda x: x.orderBy(F.desc("c"), "vec_id").limit(30).select("vec_id")
-    truth, got = best(s), best(s.filter("label = own")).withColumn("hit", F.lit(1))
-    return truth.join(got, "vec_id", "left").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    truth = vectors.nearest(rows, rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 30).select("query_id", "id")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    inside = e.join(q, "label").select("query_id", F.col("vec_id").alias("id"), F.round(scores.cosine(F.col("embedding"), F.col("q")), 6).alias("c"))
+    got = top_k(inside, ["query_id"], [F.desc("c"), F.asc("id")], 30).select("query_id", "id", F.lit(1).alias("hit"))
+    return truth.join(got, ["query_id", "id"], "left").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 @query("""
