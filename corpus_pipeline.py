@@ -4,7 +4,11 @@
 2. near_copies: one document of each group of near copies stays;
 3. decontamination: documents that hold a benchmark item go;
 4. mixing: rows are repeated or dropped so that each source's words meet its target;
-5. sharding: every row gets its shard and slot by a uniform shuffle.
+5. sharding: every row, text and all, gets its shard and slot by a uniform shuffle.
+
+Defined cases, for every stage: null and empty texts, ties, repeated rows and null ids are handled as the operator's own
+module states; an empty table gives an empty one; extra columns, of whatever name, are passed on; labels or a benchmark
+without rows reject nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    return sharding.sharded(docs)
 
 
 STAGES = [

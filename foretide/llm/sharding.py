@@ -2,28 +2,32 @@
 
 The rows lie in P partitions. How many rows go from each partition to each of T output blocks is drawn exactly, as a
 uniform permutation would have it: row by row of the matrix from the multivariate hypergeometric distribution of what
-the blocks still lack. Each partition permutes its rows and deals them out by its row of the matrix, the rows are
-exchanged once, and each block permutes what it got. A shard is a run of blocks, so that no task holds a whole shard,
-and a row's slot is its block's offset plus its place in the block.
+the blocks still lack. Each partition permutes its rows where they lie and deals them out by its row of the matrix, the
+rows are exchanged once, and each block permutes what it got: rows of a block are put in the order of a random number,
+in runs of that number's range, so that no task sorts more than about RUN_ROWS. A shard is a run of blocks, and a row's
+slot is its block's offset plus its place in the block.
 
 Defined cases: null text has size 1 and the CRC of the empty string; rows are told apart by their place in the stored
 input, so null, equal and repeated ids are shuffled like others; an empty table gives no rows; copies are not kept
-together, for a group may be larger than a shard.
+together, for a group may be larger than a shard; extra columns of any name are passed on by ``sharded``.
 """
 
 from __future__ import annotations
 
-import json
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foretide.llm.common import stored
+from foretide.llm.common import numbered, stored
 
 #: Bounds of the matrix: 2,048 x 2,048 counts are 4 M longs on the driver; a block holds at least BLOCK_ROWS rows
 #: unless the table is smaller, and more where the table is larger.
-MOST_BLOCKS, BLOCK_ROWS = 2048, 20_000
+MOST_BLOCKS, BLOCK_ROWS, RUN_ROWS = 2048, 20_000, 100_000
+#: ``monotonically_increasing_id``: the partition stands above, the row's place in it below.
+PLACE_BITS = 33
 
 
 def communication_matrix(have: list[int], want: list[int], seed: int) -> np.ndarray:
@@ -33,6 +37,10 @@ def communication_matrix(have: list[int], want: list[int], seed: int) -> np.ndar
     out = np.zeros((len(have), len(want)), dtype=np.int64)
     for i, n in enumerate(have):
         rest, lacking = int(n), int(left.sum())
+        if lacking < 1_000_000_000:
+            out[i] = rng.multivariate_hypergeometric(left, rest, method="marginals") if rest else 0
+            left -= out[i]
+            continue
         for j, w in enumerate(left):  # conditional hypergeometric draws, one block at a time
             if not rest:
                 break
@@ -43,68 +51,118 @@ def communication_matrix(have: list[int], want: list[int], seed: int) -> np.ndar
     return out
 
 
+def log_choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw; past numpy's range by the normal approximation, kept within what is possible."""
+    """A hypergeometric draw. Past numpy's range by rejection: a binomial draw from the smaller side is accepted in
+    proportion to the chance that a binomial draw from the other makes up the rest, which leaves the hypergeometric law;
+    half of the proposals or more are accepted."""
+    if good > bad:
+        return n - draw(rng, bad, good, n)
+    if not n or not good:
+        return 0
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    all_, p = good + bad, good / (good + bad)
-    sd = (n * p * (1 - p) * (all_ - n) / max(all_ - 1, 1)) ** 0.5
-    return int(min(max(round(rng.normal(n * p, sd)), n - bad, 0), good, n))
+    p = n / (good + bad)
+    chance = lambda k: log_choose(bad, k) + k * math.log(p) + (bad - k) * math.log1p(-p) if 0 <= k <= bad else -math.inf
+    if p >= 1.0:
+        return good
+    top = chance(min(int((bad + 1) * p), bad))
+    while True:
+        x = int(rng.binomial(good, p))
+        if math.log(rng.random() or 1e-300) <= chance(n - x) - top:
+            return x
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
-def shard(docs: DataFrame, shards: int = 8, seed: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: doc_id, size, text_crc32, law ``rows``, shard, slot, grown_shard (null under this law)."""
-    spark, whole = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
-    rows = stored(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            (F.octet_length(whole) + 1).cast("long").alias("size"),
-            F.crc32(whole.cast("binary")).alias("text_crc32"),
-            F.spark_partition_id().alias("at"),
-            F.monotonically_increasing_id().alias("rid"),
-        ),
-        "shard-rows",
-    )
-    # Partitions of the input are gathered into at most MOST_BLOCKS, so that the matrix stays bounded.
-    rows = rows.withColumn("part", F.pmod("at", F.lit(MOST_BLOCKS)))
-    counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
-    have = [n for _, n in counts]
+def deal(rows: DataFrame, rid: str, shards: int, seed: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(``rows`` with ``__block``, blocks as (shard, size)): the communication matrix and the permutation within each
+    partition. ``rid`` is the stored row number; partitions are gathered into at most MOST_BLOCKS, so that the matrix
+    stays bounded. Nothing is shuffled."""
+    import pyarrow as pa
+
+    at = F.shiftright(rid, PLACE_BITS)
+    counts = sorted((r["at"], r["n"]) for r in rows.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect())
+    have, offset = [0] * min(MOST_BLOCKS, max(len(counts), 1)), {}
+    for i, (k, n) in enumerate(counts):
+        part = i % len(have)
+        offset[k] = (part, have[part])
+        have[part] += n
     per = max(1, min(MOST_BLOCKS // shards, -(-sum(have) // (shards * BLOCK_ROWS))))
     blocks = [(s, size) for s, n in enumerate(shard_sizes(sum(have), shards)) for size in shard_sizes(n, per)]
-    matrix = communication_matrix(have, [n for _, n in blocks], seed)
+    matrix = np.cumsum(communication_matrix(have, [n for _, n in blocks], seed), axis=1)
+    shared = rows.sparkSession.sparkContext.broadcast((offset, have, matrix))  # at most 4 M longs, and three a partition
+    name = "__block"
+
+    def run(batches):
+        offset, have, matrix = shared.value
+        order: dict[int, np.ndarray] = {}
+        for b in batches:
+            ids = b.column(rid).to_numpy()
+            out = np.empty(len(ids), dtype=np.int32)
+            for k in np.unique(ids >> PLACE_BITS):
+                part, first = offset[int(k)]
+                if part not in order:
+                    order = {part: np.random.default_rng([seed, part]).permutation(have[part])}
+                own = np.flatnonzero(ids >> PLACE_BITS == k)
+                place = order[part][(ids[own] & ((1 << PLACE_BITS) - 1)) + first]
+                out[own] = np.searchsorted(matrix[part], place, side="right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.IntegerType())])), blocks
+
+
+def placed(rows: DataFrame, rid: str, shards: int, seed: int) -> DataFrame:
+    """``rows`` with shard and slot. One exchange, by block and run; a run's first slot comes from the runs' counts."""
+    dealt, blocks = deal(rows, rid, shards, seed)
     starts, at, last = [], 0, 0
     for s, n in blocks:
         at = at if s == last else 0
         starts.append(at)
         at, last = at + n, s
-    # One row of cumulative counts for each partition: joined, at most 2,048 rows of 2,048 longs.
-    lines = "\n".join(json.dumps({"part": p, "upto": np.cumsum(m).tolist()}) for (p, _), m in zip(counts, matrix, strict=True))
-    deal = spark.range(1).select(F.explode(F.split(F.lit(lines), "\n")).alias("j")) if counts else None
-    if deal is None:
-        deal = spark.range(0).select(F.lit("").alias("j"))
-    deal = deal.select(F.from_json("j", "part int, upto array<bigint>").alias("m")).select("m.*")
-    first = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "rid"), "rid")
-    dealt = (
-        rows.withColumn("rn", F.row_number().over(first))
-        .join(F.broadcast(deal), "part")
-        .withColumn("block", F.expr("size(filter(upto, x -> x < rn))"))
-        .drop("upto", "rn", "part", "at")
-    )
-    again = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "rid"), "rid")
-    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("block") + 1)
-    return dealt.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        (of([s for s, _ in blocks]) if blocks else F.lit(0)).cast("int").alias("shard"),
-        (of(starts).cast("long") + F.row_number().over(again) - 1).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    runs = max(1, -(-max((n for _, n in blocks), default=0) // RUN_ROWS))
+    number = F.xxhash64(F.lit(seed + 1), rid)
+    run = F.floor(F.shiftrightunsigned(number, 33) * runs / (1 << 31)).cast("int")
+    dealt = dealt.withColumn("__run", run)
+    spark = rows.sparkSession
+    of = spark.createDataFrame([(i, s, a) for i, ((s, _), a) in enumerate(zip(blocks, starts, strict=True))], "__block int, shard int, __start long")
+    if runs == 1:
+        first = of.withColumn("__run", F.lit(0))
+    else:
+        # Counted from the row numbers alone.
+        counts = deal(rows.select(rid), rid, shards, seed)[0].withColumn("__run", run).groupBy("__block", "__run").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("__block").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+        counts = stored(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "shard-runs")
+        first = counts.join(of, "__block").select("__block", "__run", "shard", (F.col("__start") + F.col("before")).alias("__start"))
+    w = Window.partitionBy("__block", "__run").orderBy(number, rid)
+    out = dealt.withColumn("__nth", F.row_number().over(w)).join(F.broadcast(first), ["__block", "__run"])  # a row for each block's run
+    return out.withColumn("slot", F.col("__start") + F.col("__nth") - 1).drop("__block", "__run", "__nth", "__start")
+
+
+def shard(docs: DataFrame, shards: int = 8, seed: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: doc_id, size, text_crc32, law ``rows``, shard, slot, grown_shard (null under this law)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    size, crc = (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32")
+    rows, rid = numbered(docs.select(F.col(doc_id).alias("doc_id"), size, crc), "shard-rows")
+    return placed(rows, rid, shards, seed).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
+    """The rows of ``docs`` themselves, all columns, with shard and slot (out_shard and out_slot where ``docs`` has
+    columns of these names). Texts move once."""
+    own = [c for c in docs.columns if c in ("shard", "slot")]
+    for c in own:
+        docs = docs.withColumnRenamed(c, f"__own_{c}")
+    rows, rid = numbered(docs, "shard-docs")
+    out = placed(rows, rid, shards, seed).drop(rid)
+    for c in own:
+        out = out.withColumnRenamed(c, f"out_{c}").withColumnRenamed(f"__own_{c}", c)
+    return out
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from llm.helpers import collected, frame, rows
+from pyspark.sql import functions as F
 
 from foretide.llm import exact_dedup, licences, mixing, sharding
 
@@ -179,6 +180,50 @@ def test_sharding(spark, parts):
     assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
 
 
+@pytest.mark.parametrize("most", [100_000, 7])
+def test_sharding_equals_a_plain_shuffle(spark, monkeypatch, most):
+    """The same partitions, matrix and permutations dealt row by row."""
+    monkeypatch.setattr(sharding, "RUN_ROWS", most)
+    docs = frame(spark, rows(150), 4)
+    rid = F.monotonically_increasing_id()
+    ids = [tuple(r) for r in docs.select(rid, "doc_id", F.xxhash64(F.lit(21), rid)).collect()]
+    parts = collections.defaultdict(list)
+    for i, doc, h in ids:
+        parts[i >> 33].append((i, doc, h))
+    have = [len(parts[k]) for k in sorted(parts)]
+    want = [len(ids) // 8 + (s < len(ids) % 8) for s in range(8)]
+    matrix = sharding.communication_matrix(have, want, 20)
+    shards = collections.defaultdict(list)
+    for p, k in enumerate(sorted(parts)):
+        order = np.random.default_rng([20, p]).permutation(have[p])
+        to = [s for s, n in enumerate(matrix[p]) for _ in range(n)]
+        for at, (i, doc, h) in enumerate(parts[k]):
+            shards[to[order[at]]].append((i, doc, h))
+    runs = max(1, -(-max(want) // most))
+    run = lambda h: (h % (1 << 64) >> 33) * runs >> 31
+    wanted = {(i, doc, s, n) for s, own in shards.items() for n, (i, doc, h) in enumerate(sorted(own, key=lambda x: (run(x[2]), x[2], x[0])))}
+    got = {(doc, r["shard"], r["slot"]) for r in collected(sharding.shard(docs)) for doc in [r["doc_id"]]}
+    assert got == {(doc, s, n) for _, doc, s, n in wanted} and len(got) == len(ids)
+
+
+def test_sharded_rows_keep_their_columns(spark):
+    docs = frame(spark, rows(60))
+    out = sharding.sharded(docs)
+    assert out.columns == [*docs.columns, "out_shard", "slot"]
+    assert collections.Counter(map(str, collected(out.select(docs.columns)))) == collections.Counter(map(str, collected(docs)))
+    assert out.select("out_shard", "slot").distinct().count() == docs.count()
+    assert sharding.sharded(frame(spark, [])).count() == 0
+
+
+def test_draws_past_the_range_follow_the_law():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((10, 3_000_000_000, 1_500_000_000), (2_000_000_000, 1_000_000_000, 30), (5_000_000_000, 5_000_000_000, 4_000_000_000)):
+        got = np.array([sharding.draw(rng, good, bad, n) for _ in range(2000)], dtype=float)
+        p, all_ = good / (good + bad), good + bad
+        sd = (n * p * (1 - p) * (all_ - n) / (all_ - 1)) ** 0.5
+        assert abs(got.mean() - n * p) < 5 * sd / 2000**0.5 and 0.9 < got.std() / sd < 1.1 and got.min() >= max(0, n - bad) and got.max() <= min(good, n)
+
+
 def test_sharding_of_nothing(spark):
     assert sharding.shard(frame(spark, [])).count() == 0
 
