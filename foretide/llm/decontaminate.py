@@ -9,8 +9,11 @@ at least ``COVERAGE`` of the item's words.
 The benchmark is the broadcast side, in blocks of at most ``BLOCK_BYTES`` of text whose size is checked; each block is
 one pass over the documents. Documents are never shuffled.
 
+Words are compared by 64-bit hashes. A match that a tile has cut is looked for anew before any
+shorter one is taken, so each tile is the longest match that is left.
+
 Defined cases: null and empty texts and items have no words and match nothing; an item shorter than a tile has to
-stand whole; repeated rows are judged each by itself; extra columns are ignored or passed on.
+stand whole; repetitive texts cost their length times the item's, compared as arrays; repeated rows are judged each by itself; extra columns are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -57,37 +60,58 @@ class Items:
         return sorted(found)
 
 
+#: Pairs of places that are looked at together.
+PAIRS = 1 << 20
+
+
+def matches(pattern: np.ndarray, text: np.ndarray, free_p: np.ndarray, free_t: np.ndarray, search: int) -> np.ndarray:
+    """Rows (length, start in the pattern, start in the text), longest first, of the runs of unmarked words, ``search``
+    or longer, that agree and cannot be drawn out to the left."""
+    heads, runs = run_hashes(pattern, search), run_hashes(text, search)
+    if not len(heads) or not len(runs):
+        return np.zeros((0, 3), np.int64)
+    whole = lambda free: np.convolve(free, np.ones(search, int), "valid") == search
+    i = np.flatnonzero(whole(free_p))
+    i = i[np.argsort(heads[i], kind="stable")]
+    j = np.flatnonzero(whole(free_t))
+    low, high = (np.searchsorted(heads[i], runs[j], side=side) for side in ("left", "right"))
+    j, low, n = j[high > low], low[high > low], (high - low)[high > low]
+    # A word past either end, which is never free, stops every match.
+    p, t, fp, ft = np.append(pattern, 0), np.append(text, 0), np.append(free_p, False), np.append(free_t, False)
+    out, ends, first = [np.zeros((0, 3), np.int64)], np.cumsum(n), 0
+    while first < len(j):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
+        some = slice(first, last)
+        first = last
+        y = np.repeat(j[some], n[some])
+        x = i[np.repeat(low[some], n[some]) + np.arange(len(y)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])]
+        longer = (x > 0) & (y > 0) & (p[x - 1] == t[y - 1]) & fp[x - 1] & ft[y - 1]
+        x, y = x[~longer], y[~longer]
+        size, alive = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(alive):
+            u, v = x[alive] + size[alive], y[alive] + size[alive]
+            alive = alive[(p[u] == t[v]) & fp[u] & ft[v]]
+            size[alive] += 1
+        out.append(np.stack((size, x, y), axis=1)[size >= search])
+    found = np.concatenate(out)
+    return found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))]
+
+
 def tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (length, start in the pattern, start in the text) of each tile, longest matches first."""
     free_p, free_t, out = np.ones(len(pattern), bool), np.ones(len(text), bool), []
     search = max(least, min(len(pattern), 20))
     while True:
-        runs = run_hashes(text, search)
-        # Windows without a marked word.
-        open_t = np.convolve(free_t, np.ones(search, int), "valid") == search if len(runs) else np.zeros(0, bool)
-        heads = run_hashes(pattern, search)
-        open_p = np.convolve(free_p, np.ones(search, int), "valid") == search if len(heads) else np.zeros(0, bool)
-        matches, longest = [], 0
-        spots = np.flatnonzero(open_t & sorted_member(runs, np.sort(heads[open_p]))) if len(runs) and len(heads) else []
-        where: dict[int, list[int]] = {}
-        for i in np.flatnonzero(open_p).tolist():
-            where.setdefault(int(heads[i]), []).append(i)
-        for j in (int(x) for x in spots):
-            for i in where.get(int(runs[j]), ()):
-                most = min(len(pattern) - i, len(text) - j)
-                same = (pattern[i : i + most] == text[j : j + most]) & free_p[i : i + most] & free_t[j : j + most]
-                n = most if same.all() else int(np.argmin(same))
-                if n >= search:
-                    matches.append((n, i, j))
-                    longest = max(longest, n)
-        if longest > 2 * search:
-            search = longest
+        found = matches(pattern, text, free_p, free_t, search)
+        if len(found) and found[0, 0] > 2 * search:
+            search = int(found[0, 0])
             continue
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_p[i : i + n].all() and free_t[j : j + n].all():
-                free_p[i : i + n] = free_t[j : j + n] = False
-                out.append((n, i, j))
-        if matches and any(free_p[i : i + search].all() and free_t[j : j + search].all() for _, i, j in matches):
+        for n, i, j in found.tolist():
+            if not (free_p[i : i + n].all() and free_t[j : j + n].all()):
+                break  # what a tile has left of this match may be longer than the next
+            free_p[i : i + n] = free_t[j : j + n] = False
+            out.append((n, i, j))
+        if len(found):
             continue
         if search > 2 * least:
             search //= 2

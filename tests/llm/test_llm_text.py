@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import uuid
 import zlib
 
@@ -216,6 +217,42 @@ def test_greedy_string_tiling_takes_longest_matches_first():
     assert decontaminate.tiles(of("a b c a b c"), of("k a b c l"), 3) == [(3, 0, 1)]
 
 
+def brute_tiles(p, t, least):
+    """The longest common run of unmarked words, the first of equals, until none is long enough."""
+    free_p, free_t, out = [True] * len(p), [True] * len(t), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(p)):
+            for j in range(len(t)):
+                n = 0
+                while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n] and free_p[i + n] and free_t[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        free_p[i : i + n], free_t[j : j + n] = [False] * n, [False] * n
+        out.append(best)
+
+
+def test_tiling_equals_brute_force(monkeypatch):
+    rng = np.random.default_rng(9)
+    for pairs in (1 << 20, 5):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        for letters, least in ((2, 3), (3, 2), (8, 1), (1, 3)):
+            for _ in range(12):
+                p, t = rng.integers(0, letters, rng.integers(1, 24)).astype(np.uint64), rng.integers(0, letters, rng.integers(1, 40)).astype(np.uint64)
+                assert decontaminate.tiles(p, t, min(least, len(p))) == brute_tiles(p.tolist(), t.tolist(), min(least, len(p)))
+
+
+def test_repetitive_texts_are_tiled_quickly():
+    started = time.monotonic()
+    assert sum(n for n, _, _ in decontaminate.tiles(np.zeros(200, np.uint64), np.zeros(8000, np.uint64), 5)) == 200
+    assert sum(n for n, _, _ in decontaminate.tiles(np.tile(np.arange(3, dtype=np.uint64), 70), np.tile(np.array([0, 1, 2, 9], np.uint64), 2000), 3)) == 210
+    assert time.monotonic() - started < 20
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
