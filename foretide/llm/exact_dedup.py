@@ -3,8 +3,8 @@
 A text (white space deleted) is cut into chunks at places that depend only on the characters around them. Equal
 chunks get one identifier, a document becomes the ordered list of its chunk identifiers, and two documents are equal
 when their lists are. Texts never move between executors: a chunk is known by its SHA-256 and verified by a second,
-independent hash and its length, all three of which must agree; a group must agree in the SHA-256 of the whole
-normalised text too. What is shuffled is a few dozen bytes for each chunk of about a kilobyte.
+independent hash and its length, all three of which must agree. What is shuffled is a few dozen bytes for each chunk of
+about a kilobyte. The digest of the whole text is returned, but decides nothing.
 
 Defined cases: null text counts as empty, all empty texts are one group; null ``doc_id`` comes after all others when
 the row that stays is chosen, and among repeated rows the first read stays; extra columns are ignored.
@@ -64,7 +64,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     listed = stored(recipes(chunked(docs, text, doc_id)), "recipes")
     # A missing recipe is that of an empty text. Equal lists: one group, pre-aggregated in each task.
-    key = ["text_sha256", "recipe"]
+    key = ["recipe"]
     listed = listed.withColumn("recipe", F.coalesce("recipe", F.array().cast(listed.schema["recipe"].dataType)))
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
     groups = listed.groupBy(*key).agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")
