@@ -31,6 +31,10 @@ from foretide.llm.common import shared_dir, stored, text_batches
 
 #: Documents whose ids train the dictionary (the least in the order of a hash of their id), the dictionary's size.
 SAMPLE, DICT_BYTES, LEVEL = 500, 64 << 10, 3
+#: Of a document in that sample: ids of a piece, and most pieces, taken evenly from its whole length.
+PIECE_IDS, MOST_PIECES = 1024, 8
+#: Documents and bytes of frames that a part of the output holds.
+PART_ROWS, PART_BYTES = 25_000, 16 << 20
 END_ID = 0
 #: Chunks of text whose ids a worker remembers, some 100 MB.
 CACHE = 500_000
@@ -154,6 +158,14 @@ def _ids(path: str, batch, added: bool, column: str = "text"):
         yield at, encoder(path, added).encode([t.decode("utf-8", "replace") for t in texts])
 
 
+def spread(ids: np.ndarray) -> np.ndarray:
+    """At most MOST_PIECES pieces of PIECE_IDS ids from all over a document."""
+    if len(ids) <= PIECE_IDS * MOST_PIECES:
+        return ids
+    starts = np.linspace(0, len(ids) - PIECE_IDS, MOST_PIECES).astype(int)
+    return np.concatenate([ids[a : a + PIECE_IDS] for a in starts])
+
+
 def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE, added: bool = False) -> bytes:
     """A dictionary from the serialised ids of at most ``sample`` documents; empty where there is too little to learn."""
     import pyarrow as pa
@@ -162,7 +174,7 @@ def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE, added: bo
     def run(batches):
         for b in batches:
             for _, ids in _ids(path, b, added):
-                yield pa.RecordBatch.from_arrays([pa.array([x[:8192].tobytes() for x in ids], pa.binary())], names=["raw"])
+                yield pa.RecordBatch.from_arrays([pa.array([spread(x).tobytes() for x in ids], pa.binary())], names=["raw"])
 
     # Rows whose id's hash is below the sample's share of all: no sort of texts, about ``sample`` rows, the same ones
     # on every run; the limit only guards against ids that repeat.
@@ -188,7 +200,7 @@ def _codec(raw: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **kw), zstandard.ZstdDecompressor(**kw)
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, sample: int = SAMPLE, part_rows: int = 25_000, added: bool = False) -> None:
+def write_tokens(docs: DataFrame, path: str, out: str, sample: int = SAMPLE, part_rows: int = PART_ROWS, added: bool = False) -> None:
     """Encode ``docs`` (doc_id, text) into the output folder ``out``; ``path`` is the tokenizer's file, ``added`` as for
     ``Encoder``."""
     import pyarrow as pa
@@ -211,19 +223,19 @@ def write_tokens(docs: DataFrame, path: str, out: str, sample: int = SAMPLE, par
     frames = docs.mapInArrow(run, f"doc_id {kind}, frame binary, n_tokens long")
     # Frames are stored before they are sorted by range: the sampling of ranges would encode everything again.
     frames = stored(frames, "frames")
-    parts = max(1, -(-frames.count() // part_rows))
+    n, size = frames.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("frame")), F.lit(0))).first()
+    parts = max(1, -(-n // part_rows), -(-size // PART_BYTES))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("frame")]
     placed = frames.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(f"{out}/frames")
     placed = spark.read.parquet(f"{out}/frames").select("doc_id", "part", "nth", "n_tokens")
-    # One sum for each part goes to the driver; within a part a running sum.
-    before, at = [], 0
-    for r in sorted(placed.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
-        before.append((r["part"], at))
-        at += r["n"]
-    offset = F.element_at(F.create_map(*[F.lit(x) for p in before for x in p]), F.col("part")) if before else F.lit(0)
+    # A part's first offset: one row for each part, summed up in order.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    sums = stored(sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "token-parts")
     upto = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    index = placed.withColumn("start", (offset + F.coalesce(F.sum("n_tokens").over(upto), F.lit(0))).cast("long"))
+    index = placed.withColumn("own", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0))).join(sums, "part")
+    index = index.select(*placed.columns, (F.col("before") + F.col("own")).cast("long").alias("start"))
     index.withColumn("dict_sha256", F.lit(name)).write.parquet(f"{out}/index")
     width = encoder(path, added).width
     meta = spark.range(1).select(
