@@ -1,9 +1,11 @@
 """Quality scores by nearest-neighbour voting in a latent semantic space.
 
-Terms are the shapes of a document's words: letter case, what it ends in, its length, whether it repeats the word
-before it, and pairs of neighbouring shapes. A bounded sample of labelled rows gives term weights and a truncated SVD;
-every document's vector is then compared with every labelled vector, exactly and in blocks, and the labels of the
-nearest vote with their cosine as weight.
+Terms are a document's words, A-Z in lower case, by hash into WORD_TERMS of them, and the shapes of its words: letter case,
+what a word ends in, its length, whether it repeats the word before it, and pairs of neighbouring shapes. Words tell what
+a text is about, shapes how it is written; each half is weighted and scaled by itself. A bounded sample of labelled rows
+gives the weights and a truncated SVD (by random projections and power steps with a fixed seed); every document's vector
+is then compared with every labelled vector, exactly and in blocks, and the labels of the nearest vote with their cosine
+as weight. Cosines are compared to six digits, ties go to the smaller id.
 
 The labelled sample is the only bounded part: ``SAMPLE`` rows, the least in the order of a hash of their id, out of
 all labelled rows outside the held-out third. What is broadcast has SAMPLE x (RANK + 1) + TERMS x RANK floats, whatever
@@ -11,7 +13,8 @@ the corpus. Labels, language, source and id are no inputs of a score.
 
 Defined cases: null and empty texts, and texts without words, have no terms and get the share of label 1 in the
 sample; null ids are not held out; labels that are null or have no document are not learned from; without any labelled
-row every score is 0.5; repeated rows are scored like others; extra columns are ignored.
+row every score is 0.5; of several texts under one id the least is learned from; repeated rows are scored like others;
+extra columns are ignored, or passed on by ``good``.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from pyspark.sql import functions as F
 from foretide.llm.common import text_batches
 from foretide.llm.hashing import LOWER, word_hashes
 
-SAMPLE, RANK, NEIGHBOURS, BLOCK = 4000, 48, 15, 512
+SAMPLE, RANK, NEIGHBOURS, BLOCK = 4000, 96, 15, 512
 SHAPES = 32  # 4 cases x 4 endings x repeated or not
-TERMS = SHAPES * 3 + SHAPES * SHAPES
+SHAPE_TERMS, WORD_TERMS = SHAPES * 3 + SHAPES * SHAPES, 2048
+TERMS = SHAPE_TERMS + WORD_TERMS
 
 #: Byte classes: 1 white space, 2 upper case, 4 lower case (and bytes beyond ASCII), 8 plain punctuation, 16 other signs.
 _CLASS = np.full(256, 16, dtype=np.uint8)
@@ -65,7 +69,11 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     length = np.where(lengths <= 3, 0, np.where(lengths <= 8, 1, 2))
     pairs = np.flatnonzero(same_doc)
     flat = np.concatenate(
-        (doc * TERMS + shape * 3 + length, doc[pairs] * TERMS + SHAPES * 3 + shape[pairs - 1] * SHAPES + shape[pairs])
+        (
+            doc * TERMS + shape * 3 + length,
+            doc[pairs] * TERMS + SHAPES * 3 + shape[pairs - 1] * SHAPES + shape[pairs],
+            doc * TERMS + SHAPE_TERMS + (word >> np.uint64(40)).astype(np.int64) % WORD_TERMS,
+        )
     )
     return np.bincount(flat, minlength=len(texts) * TERMS).reshape(len(texts), TERMS).astype(np.float32)
 
@@ -75,15 +83,31 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Term vectors of length 1, shapes and words with the same share."""
+    x = np.log1p(counts) * weights
+    return unit(np.concatenate((unit(x[:, :SHAPE_TERMS]), unit(x[:, SHAPE_TERMS:])), axis=1))
+
+
 def fit(counts: np.ndarray, labels: np.ndarray) -> dict:
     """Term weights, the projection onto the leading singular directions, and the labelled unit vectors."""
     weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = unit(np.log1p(counts) * weights)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = np.ascontiguousarray(vectors[:, ::-1][:, :RANK], dtype=np.float32)
+    x = weighted(counts, weights)
+    seen = np.random.default_rng(5).standard_normal((TERMS, RANK + 16)).astype(np.float32)
+    for _ in range(4):
+        seen = np.linalg.qr(x.T @ (x @ seen))[0]
+    basis = seen @ np.linalg.svd(x @ seen, full_matrices=False)[2].T
+    basis = np.ascontiguousarray(basis[:, :RANK], dtype=np.float32)
     return {"weights": weights, "basis": basis, "known": unit(x @ basis), "labels": labels.astype(np.float32)}
 
 
+def neighbours(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` greatest of each row to six digits, ties to the smaller column."""
+    n = cosine.shape[1]
+    rank = np.round(cosine * 1e6).astype(np.int64) * n - np.arange(n)
+    return np.argpartition(-rank, k - 1, axis=1)[:, :k]
+
+
 def score(model: dict, counts: np.ndarray) -> np.ndarray:
     prior = float(model["labels"].mean()) if len(model["labels"]) else 0.5
     out = np.full(len(counts), prior)
@@ -91,9 +115,9 @@ def score(model: dict, counts: np.ndarray) -> np.ndarray:
         return out
     k = min(NEIGHBOURS, len(model["labels"]))
     for at in range(0, len(counts), BLOCK):
-        vectors = unit(unit(np.log1p(counts[at : at + BLOCK]) * model["weights"]) @ model["basis"])
+        vectors = unit(weighted(counts[at : at + BLOCK], model["weights"]) @ model["basis"])
         cosine = vectors @ model["known"].T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = neighbours(cosine, k)
         votes = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
         total = votes.sum(axis=1)
         share = (votes * model["labels"][near]).sum(axis=1)
@@ -111,11 +135,12 @@ def _counts(batches):
             offsets = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
+                    b.column("id").slice(at, len(texts)),
                     b.column("label").slice(at, len(texts)),
                     pa.ListArray.from_arrays(offsets, pa.array(cols.astype(np.int32))),
                     pa.ListArray.from_arrays(offsets, pa.array(c[rows, cols])),
                 ],
-                names=["label", "term", "n"],
+                names=["id", "label", "term", "n"],
             )
 
 
@@ -126,8 +151,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     chosen = named.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     # At most ``sample`` ids: bounded, so broadcast.
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
-    rows = rows.dropDuplicates(["id", "label"]).select("label", "text")
-    got = rows.mapInArrow(_counts, "label int, term array<int>, n array<float>").collect()
+    # Of several texts under one id the least is learned from.
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text")).select(F.col("id").cast("string"), "label", "text")
+    got = rows.mapInArrow(_counts, "id string, label int, term array<int>, n array<float>").collect()
+    got.sort(key=lambda r: (len(r["id"]), r["id"], r["label"]))
     counts = np.zeros((len(got), TERMS), dtype=np.float32)
     for i, r in enumerate(got):
         counts[i, r["term"]] = r["n"]
@@ -165,7 +192,8 @@ def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> D
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not rejected (score of 0.5 or more)."""
+    """The rows of ``docs``, all columns, that are not rejected (score of 0.5 or more). Defined cases: as for the module;
+    without any labelled row nothing is rejected."""
     import pyarrow as pa
 
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))

@@ -299,6 +299,25 @@ def test_quality(spark):
     assert {r["score"] for r in collected(quality.quality(docs, labels.filter("doc_id < 0")))} == {0.5}
 
 
+def test_votes_equal_brute_force():
+    """Cosines with every labelled vector one by one, ties by place, votes by cosine."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Ab", "cd.", "EF!!", "gh", "ij,", "xx"]) for _ in range(rng.randint(0, 30))).encode() for _ in range(90)]
+    texts += [texts[3]] * 6 + [b"", b" \n"]
+    labels = np.array([rng.randint(0, 1) for _ in range(60)])
+    counts = quality.term_counts(texts)
+    model = quality.fit(counts[:60], labels)
+    vectors = quality.unit(quality.weighted(counts, model["weights"]) @ model["basis"])
+    for v, got in zip(vectors, quality.score(model, counts), strict=True):
+        cosine = [float(np.dot(v, k)) for k in model["known"]]
+        near = sorted(range(60), key=lambda i: (-round(cosine[i] * 1e6), i))[: quality.NEIGHBOURS]
+        votes = [max(cosine[i], 0.0) for i in near]
+        want = sum(w * labels[i] for w, i in zip(votes, near, strict=True)) / sum(votes) if sum(votes) > 0 else labels.mean()
+        assert abs(got - want) < 1e-4
+    same = quality.neighbours(np.array([[0.5, 0.9, 0.5, 0.5, 0.1]]), 3)
+    assert sorted(same[0].tolist()) == [0, 1, 2]
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
