@@ -158,12 +158,22 @@ def test_licence_scan(spark):
     labels = {r["doc_id"]: (r["labels"], r["score"]) for r in got}
     assert labels[1000] == ("mit", 1.0) and labels[1001] == ("apache", 1.0) and labels[1002][0] == "gpl"
     assert labels[1003] == ("cc-by-nc", 1.0) and labels[1007] == ("bsd", 1.0) and labels[1013][0] == "mit"
-    assert labels[1008] == ("", 0.0) and labels[1012] == ("", 0.0) and labels[1009] == ("mit", 0.5)
+    assert labels[1008] == ("", 0.0) and labels[1012] == ("cc-by-sa", 4 / 7) and labels[1009] == ("mit", 0.5)
     assert all(0 <= r["score"] <= 1 for r in got)
     for r in got:
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def test_notices_with_changed_words_are_found_and_score_less(spark):
+    """Which words are looked up follows the file, not what other files lack."""
+    mit = next(t for label, t, _ in licences.NOTICES if label == "mit").split()
+    changed = [w if w not in ("sublicense", "substantial") else "xx" for w in mit]
+    texts = [" ".join(mit), "head " + " ".join(changed) + " tail", " ".join(mit[:20]), "Redistribution and use in source and binary forms are allowed", " ".join(reversed(mit))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in collected(licences.licence_scan(frame(spark, [(i, t, *[None] * 11) for i, t in enumerate(texts)])))}
+    assert got[0] == ("mit", 1.0) and got[1] == ("mit", (len(mit) - 2) / len(mit)) and got[2][0] == "mit"
+    assert got[3][0] == "bsd" and 0 < got[3][1] < 1 and got[4] == ("", 0.0)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_sharding(spark, parts):
     data = rows(200)
