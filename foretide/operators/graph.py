@@ -1,10 +1,13 @@
-"""Reachability and connected components."""
+"""Reachability and connected components. Every round is a table in the shared folder: lineage stays short, and a lost
+executor costs its own tasks only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foretide.sources.shared import stored
+
 
 def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
     """(a, b): every b that a path of edges leads to from a. Path lengths double each round, so the rounds grow with
@@ -12,7 +15,7 @@ def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
     now = edges.select("a", "b").distinct()
     n = -1
     for _ in range(most):
-        now = now.persist()
+        now = stored(now, "paths")
         size = now.count()
         if size == n:
             return now
@@ -28,8 +31,9 @@ def has_cycle(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label): the smallest node that each is connected with, by minimum labels and pointer jumping."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().persist()
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).persist()
+    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
+    both = stored(both, "edges")
+    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     before = None
     for _ in range(rounds):
         state = label.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
@@ -40,13 +44,5 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         low = label.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label"))
         up = low.select(F.col("node").alias("u"), F.col("label").alias("jump"))
         jumped = low.join(up, F.col("label") == F.col("u"), "left").select("node", F.coalesce("jump", "label").alias("label"))
-        old, label = label, cut(jumped)
-        old.unpersist()
+        label = stored(jumped, "labels")
     raise RuntimeError("labels did not settle")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder where the session names one; else kept."""
-    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()

@@ -97,7 +97,8 @@ def resolve(records: DataFrame, registry: DataFrame) -> DataFrame:
 
 def spelled_like(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(nid, fuzzy_code, fuzzy_score): the body whose alias is closest letter by letter, if close enough and clear of
-    the next. A name is compared with aliases that share one of its rarer letter trigrams, not with all."""
+    the next. A name is compared with aliases that share letter trigrams, four in ten of the shorter one's, not with all: a
+    ratio of FUZZY_SCORE leaves more in common than that."""
     grams = lambda df, c, keep: df.select(*keep, F.explode(F.array_distinct(X.char_ngrams(F.col(c), 3))).alias("g"))
     pairs = grams(names, "jamo", ["nid", "jamo"]).join(grams(aliases, "alias_jamo", ["code", "alias_jamo"]), "g")
     near = pairs.groupBy("nid", "jamo", "code", "alias_jamo").agg(F.count("*").alias("n")).filter(F.col("n") >= 0.4 * F.least(F.length("jamo"), F.length("alias_jamo")))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from foretide.constants import STAGES
 from foretide.operators import backtest, evaluation, governance, joins, link, market, media, resolve, retrospective, reviews
+from foretide.plans.records import customer_key, order_day, order_key, order_price
 from foretide.plans.registry import registry
 from foretide.plans.scalars import pick, s, sql_pick
 from foretide.sources.tables import table
 
 QUERIES, ORACLE_SQL, query = registry()
 
-KEY, CUST, DAY, PRICE = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate"), F.col("o_totalprice")
 _LEVELS = ("committed", "planned", "reviewing", "declined")
 
 
@@ -27,15 +27,15 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     """Orders as signals of their customer: stage, category, department, level and references by key."""
     none = F.lit(None).cast("string")
     return orders(spark, d).select(
-        KEY.alias("id"), s(CUST).alias("institution"), (KEY % 1000).alias("document_id"), pick(KEY, *STAGES).alias("stage"), DAY.alias("observed_at"),
-        F.concat(F.lit("[긴급] "), F.col("o_orderpriority")).alias("title"), pick(KEY, "a", "b", "other", "b", "c").alias("category"), F.when(KEY % 4 > 0, pick(KEY, "x", "y", "z")).alias("department"),
-        F.floor(PRICE).alias("budget_krw"), F.when(KEY % 6 == 0, pick(KEY, *_LEVELS)).alias("commitment"), F.when(KEY % 7 == 0, F.year(DAY) + 1).cast("int").alias("expected_year"), F.when(KEY % 14 == 0, "H1").alias("expected_half"),
-        F.array(s(KEY % 9), s(KEY % 5)).alias("keywords"),
+        order_key().alias("id"), s(customer_key()).alias("institution"), (order_key() % 1000).alias("document_id"), pick(order_key(), *STAGES).alias("stage"), order_day().alias("observed_at"),
+        F.concat(F.lit("[긴급] "), F.col("o_orderpriority")).alias("title"), pick(order_key(), "a", "b", "other", "b", "c").alias("category"), F.when(order_key() % 4 > 0, pick(order_key(), "x", "y", "z")).alias("department"),
+        F.floor(order_price()).alias("budget_krw"), F.when(order_key() % 6 == 0, pick(order_key(), *_LEVELS)).alias("commitment"), F.when(order_key() % 7 == 0, F.year(order_day()) + 1).cast("int").alias("expected_year"), F.when(order_key() % 14 == 0, "H1").alias("expected_half"),
+        F.array(s(order_key() % 9), s(order_key() % 5)).alias("keywords"),
         F.struct(
-            F.when(KEY % 3 == 0, F.concat(F.lit("P"), s(KEY % 4))).alias("order_plan_no"), none.alias("prespec_no"), F.when(KEY % 6 == 4, F.concat(F.lit("B"), s(KEY))).alias("bid_notice_no"),
+            F.when(order_key() % 3 == 0, F.concat(F.lit("P"), s(order_key() % 4))).alias("order_plan_no"), none.alias("prespec_no"), F.when(order_key() % 6 == 4, F.concat(F.lit("B"), s(order_key()))).alias("bid_notice_no"),
             F.array().cast("array<string>").alias("bid_notice_nos"), none.alias("cancels_bid_notice_no"),
         ).alias("refs"),
-        F.lit(None).cast("array<double>").alias("embedding"), F.lpad(s(KEY), 12, "0").alias("stable_key"),
+        F.lit(None).cast("array<double>").alias("embedding"), F.lpad(s(order_key()), 12, "0").alias("stable_key"),
     )
 
 
@@ -93,7 +93,7 @@ def link_reference_targets(spark, d):
 @query("""SELECT o_custkey || ':' || o_orderkey % 3 AS group_key, o_custkey * 10 + o_orderkey % 3 AS opportunity_id FROM orders GROUP BY o_custkey, o_orderkey % 3 HAVING count(*) FILTER (WHERE o_custkey % 2 = 0 OR o_orderkey % 5 > 0) > 0""")
 def link_kept_identities(spark, d):
     """Groups keep the ids they had: of even customers with the same members, of odd ones by what is left of them."""
-    o = orders(spark, d).select(s(CUST).alias("institution"), CUST.alias("c"), KEY.alias("id"))
+    o = orders(spark, d).select(s(customer_key()).alias("institution"), customer_key().alias("c"), order_key().alias("id"))
     new = o.select("institution", F.concat("institution", F.lit(":"), s(F.col("id") % 3)).alias("group_key"), "id")
     old = o.filter((F.col("c") % 2 == 0) | (F.col("id") % 5 > 0)).select("institution", (F.col("c") * 10 + F.col("id") % 3).alias("opportunity_id"), "id")
     return link.keep_identities(new, old)
@@ -102,7 +102,7 @@ def link_kept_identities(spark, d):
 @query("""WITH b AS (SELECT o_orderkey AS id, o_custkey AS g FROM orders WHERE o_orderkey % 5 > 0), a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE o_custkey END AS g FROM orders WHERE o_orderkey % 7 > 0)
 SELECT coalesce(a.id, b.id) AS id, b.g AS before, a.g AS after, CASE WHEN b.g IS NULL THEN 'linked' WHEN a.g IS NULL THEN 'unlinked' ELSE 'moved' END AS event FROM a FULL JOIN b ON a.id = b.id WHERE a.g IS DISTINCT FROM b.g""")
 def link_membership_events(spark, d):
-    o = orders(spark, d).select(KEY.alias("id"), CUST.alias("opportunity_id"))
+    o = orders(spark, d).select(order_key().alias("id"), customer_key().alias("opportunity_id"))
     new = o.filter("id % 7 > 0").withColumn("opportunity_id", F.when(F.col("id") % 4 == 0, -1).otherwise(F.col("opportunity_id")))
     return link.membership_events(o.filter("id % 5 > 0"), new)
 
@@ -126,24 +126,24 @@ def govern_protected(spark, d):
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     o = c.select(k.alias("opportunity_id"), s(k % 9).alias("institution"))
     m = orders(spark, d).select(
-        KEY.alias("id"), CUST.alias("opportunity_id"), F.when(KEY % 53 == 0, "manual").otherwise("similarity").alias("method"), (KEY % 59 == 0).alias("tentative"),
-        F.when(KEY % 61 == 0, "rejected").otherwise("accepted").alias("verdict"), F.when(KEY % 67 == 0, "-1").otherwise(s(CUST % 9)).alias("signal_institution"),
+        order_key().alias("id"), customer_key().alias("opportunity_id"), F.when(order_key() % 53 == 0, "manual").otherwise("similarity").alias("method"), (order_key() % 59 == 0).alias("tentative"),
+        F.when(order_key() % 61 == 0, "rejected").otherwise("accepted").alias("verdict"), F.when(order_key() % 67 == 0, "-1").otherwise(s(customer_key() % 9)).alias("signal_institution"),
     )
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<bigint>")
-    rev = orders(spark, d).filter(KEY % 71 == 0).select(KEY.alias("signal_id"), F.lit("done").alias("status"), none.alias("resolved_at"), none.alias("resolved_by"), empty.alias("mentions"))
+    rev = orders(spark, d).filter(order_key() % 71 == 0).select(order_key().alias("signal_id"), F.lit("done").alias("status"), none.alias("resolved_at"), none.alias("resolved_by"), empty.alias("mentions"))
     named = c.filter(k % 37 == 0).select(F.lit(-1).cast("long").alias("signal_id"), F.lit("open").alias("status"), none.alias("resolved_at"), none.alias("resolved_by"), F.array(k).alias("mentions"))
     rel = c.filter(k % 41 == 0).select(k.alias("project_id"), (k + 1).alias("contract_id"))
     told = c.filter(k % 43 == 0).select(F.array(k).alias("opportunity_ids"), empty.alias("evidence_signal_ids"))
-    moved = orders(spark, d).filter(KEY % 73 == 0).select(empty.alias("opportunity_ids"), F.array(KEY).alias("evidence_signal_ids"))
+    moved = orders(spark, d).filter(order_key() % 73 == 0).select(empty.alias("opportunity_ids"), F.array(order_key()).alias("evidence_signal_ids"))
     cores = c.filter(k % 47 == 0).select(k.alias("opportunity_id"), F.when(k % 2 == 0, F.array(F.lit(-5).cast("long"))).otherwise(empty).alias("signal_ids"))
     return governance.protected(o, m, rev.union(named), rel, told.union(moved), cores, ["1", "2"])
 
 
 @query("""SELECT o_custkey AS opportunity_id, array_to_string(list_sort(list(o_orderkey) FILTER (WHERE o_orderdate <= a)), '|') AS core FROM orders JOIN (SELECT o_custkey, min(o_orderdate) FILTER (WHERE o_orderstatus = 'F') AS a FROM orders GROUP BY 1) USING (o_custkey) WHERE o_orderdate <= a GROUP BY 1""")
 def govern_anchors(spark, d):
-    acts = orders(spark, d).filter("o_orderstatus = 'F'").select(CUST.alias("opportunity_id"), F.col("o_orderdate").alias("at"))
-    m = orders(spark, d).select(CUST.alias("opportunity_id"), KEY.alias("id"), F.col("o_orderdate").alias("linked_at"))
+    acts = orders(spark, d).filter("o_orderstatus = 'F'").select(customer_key().alias("opportunity_id"), F.col("o_orderdate").alias("at"))
+    m = orders(spark, d).select(customer_key().alias("opportunity_id"), order_key().alias("id"), F.col("o_orderdate").alias("linked_at"))
     return governance.anchors(acts, m).select("opportunity_id", F.array_join("signal_ids", "|").alias("core"))
 
 
@@ -152,7 +152,7 @@ FROM (SELECT c_custkey AS i, CAST(c_custkey % 4 + 1 AS INTEGER) AS gen FROM cust
 def govern_dirty_generations(spark, d):
     k = F.col("c_custkey")
     st = table(spark, d, "customer").filter(k % 3 > 0).select(k.alias("institution"), (k % 4 + 1).cast("int").alias("generation"), (k % 4).cast("int").alias("reconciled"))
-    return governance.dirty(st, orders(spark, d).filter("o_orderstatus = 'P'").select(CUST.alias("institution")))
+    return governance.dirty(st, orders(spark, d).filter("o_orderstatus = 'P'").select(customer_key().alias("institution")))
 
 
 @query("""WITH x AS (SELECT c_custkey AS id, c_custkey % 8 AS k FROM customer WHERE c_custkey >= 2)
@@ -174,25 +174,25 @@ def govern_relation_validity(spark, d):
 
 @query("""SELECT o_custkey AS relation_id, max(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1""")
 def govern_relation_state(spark, d):
-    e = orders(spark, d).select(CUST.alias("relation_id"), KEY.alias("version"), F.col("o_orderstatus").alias("status"), CUST.alias("project_id"), CUST.alias("contract_id"), s(KEY).alias("idempotency_key"))
+    e = orders(spark, d).select(customer_key().alias("relation_id"), order_key().alias("version"), F.col("o_orderstatus").alias("status"), customer_key().alias("project_id"), customer_key().alias("contract_id"), s(order_key()).alias("idempotency_key"))
     return governance.relation_state(e.union(e)).select("relation_id", "version", "status")
 
 
 @query("""SELECT o_custkey % 50 AS contract_id, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(*) > 1""")
 def govern_relation_violations(spark, d):
-    st = orders(spark, d).select((CUST % 50).alias("contract_id"), F.when(F.col("o_orderstatus") == "P", "confirmed").otherwise("proposed").alias("status"))
+    st = orders(spark, d).select((customer_key() % 50).alias("contract_id"), F.when(F.col("o_orderstatus") == "P", "confirmed").otherwise("proposed").alias("status"))
     return governance.relation_violations(st)
 
 
 @query("""SELECT o_orderkey AS relation_id FROM orders WHERE o_orderstatus = 'F' AND (o_custkey = 5 OR o_custkey + 1 = 5) AND o_orderkey > 10 ORDER BY 1 LIMIT 51""")
 def govern_relation_page(spark, d):
-    rel = orders(spark, d).select(KEY.alias("relation_id"), F.col("o_orderstatus").alias("status"), CUST.alias("project_id"), (CUST + 1).alias("contract_id"))
+    rel = orders(spark, d).select(order_key().alias("relation_id"), F.col("o_orderstatus").alias("status"), customer_key().alias("project_id"), (customer_key() + 1).alias("contract_id"))
     return governance.connected_pages(rel, 10, 50, "F", 5).select("relation_id")
 
 
 @query("""SELECT o_custkey AS opportunity_id FROM orders WHERE o_orderstatus <> 'P' AND o_custkey > 20 GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderkey % 6 < 2) > 0 AND count(*) FILTER (WHERE o_orderkey % 6 >= 2) > 0 ORDER BY 1 LIMIT 51""")
 def govern_mixed_groups(spark, d):
-    m = orders(spark, d).select(CUST.alias("opportunity_id"), pick(KEY, *STAGES).alias("stage"), F.lit("accepted").alias("verdict"), (F.col("o_orderstatus") == "P").alias("tentative"))
+    m = orders(spark, d).select(customer_key().alias("opportunity_id"), pick(order_key(), *STAGES).alias("stage"), F.lit("accepted").alias("verdict"), (F.col("o_orderstatus") == "P").alias("tentative"))
     return governance.mixed_groups(m, 20, 50).select("opportunity_id")
 
 
@@ -221,8 +221,8 @@ def govern_forecast_snapshot(spark, d):
     none = F.lit(None).cast("string")
     k = F.col("c_custkey")
     o = table(spark, d, "customer").select(k.alias("opportunity_id"), s(F.col("c_nationkey")).alias("institution"), none.alias("stage"), none.alias("status"), none.alias("bid_window_start"), none.alias("bid_window_end"), none.alias("conversion_prob"))
-    m = orders(spark, d).select(KEY.alias("id"), CUST.alias("opportunity_id"), none.alias("stage"), DAY.alias("observed_at"), (KEY * 10).alias("document_id"))
-    docs = orders(spark, d).select((KEY * 10).alias("document_id"), DAY.alias("published_at"))
+    m = orders(spark, d).select(order_key().alias("id"), customer_key().alias("opportunity_id"), none.alias("stage"), order_day().alias("observed_at"), (order_key() * 10).alias("document_id"))
+    docs = orders(spark, d).select((order_key() * 10).alias("document_id"), order_day().alias("published_at"))
     return governance.forecast_snapshot(o, m, docs, "3").select("record_type", "id")
 
 
@@ -236,15 +236,15 @@ def govern_frozen_counts(spark, d):
 SELECT id, CASE WHEN ok AND opp IS NOT NULL AND NOT elsewhere AND (manual OR n = 1) THEN 'preserve' WHEN ok AND opp IS NOT NULL THEN 'relink' WHEN ok THEN 'link' WHEN opp IS NOT NULL THEN 'unlink' ELSE 'none' END AS action FROM x""")
 def review_actions(spark, d):
     sig = signals(spark, d).withColumn("verdict", F.lit("needs_review"))
-    links = orders(spark, d).filter(KEY % 3 > 0).select(KEY.alias("id"), CUST.alias("opportunity_id"), F.when(KEY % 7 == 0, "manual").otherwise("similarity").alias("method"), F.when(KEY % 11 == 0, "-").otherwise(s(CUST)).alias("institution"), F.lit(None).cast("string").alias("fingerprint"))
-    dec = orders(spark, d).filter(KEY % 2 == 0).select(KEY.alias("id"), F.when(KEY % 5 > 0, "accepted").otherwise("rejected").alias("verdict"))
+    links = orders(spark, d).filter(order_key() % 3 > 0).select(order_key().alias("id"), customer_key().alias("opportunity_id"), F.when(order_key() % 7 == 0, "manual").otherwise("similarity").alias("method"), F.when(order_key() % 11 == 0, "-").otherwise(s(customer_key())).alias("institution"), F.lit(None).cast("string").alias("fingerprint"))
+    dec = orders(spark, d).filter(order_key() % 2 == 0).select(order_key().alias("id"), F.when(order_key() % 5 > 0, "accepted").otherwise("rejected").alias("verdict"))
     return reviews.after_review(sig, links, dec).select("id", "action")
 
 
 @query("""WITH b AS (SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS label FROM orders), h AS (SELECT id, CAST('0x' || substr(sha256(label::VARCHAR), 1, 8) AS BIGINT) % 100 AS b FROM b)
 SELECT id, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS split FROM h""")
 def review_splits(spark, d):
-    return reviews.review_split(orders(spark, d).select(KEY.alias("id"), CUST.alias("document_id"), F.sha2(s(CUST), 256).alias("text_hash"))).select("id", "split")
+    return reviews.review_split(orders(spark, d).select(order_key().alias("id"), customer_key().alias("document_id"), F.sha2(s(customer_key()), 256).alias("text_hash"))).select("id", "split")
 
 
 # --- market --------------------------------------------------------------------------------------------------------------------
@@ -320,7 +320,7 @@ def market_alerts(spark, d):
 # --- back-test, evaluation --------------------------------------------------------------------------------------------------------
 @query("""SELECT o_orderkey AS id, greatest(CAST(o_orderdate AS DATE), DATE '1996-01-01') AS available FROM orders WHERE NOT (o_orderkey % 5 = 0 OR (o_orderkey % 7 = 0 AND o_orderkey % 5 <> 1))""")
 def backtest_public_dates(spark, d):
-    sig = orders(spark, d).select(KEY.alias("id"), F.when(KEY % 5 == 0, "crawled").when(KEY % 5 == 1, "provider").alias("published_from"), F.when(KEY % 7 == 0, KEY).alias("council_id"), F.lit("1996-01-01").cast("date").alias("published_at"), DAY.alias("observed_at"))
+    sig = orders(spark, d).select(order_key().alias("id"), F.when(order_key() % 5 == 0, "crawled").when(order_key() % 5 == 1, "provider").alias("published_from"), F.when(order_key() % 7 == 0, order_key()).alias("council_id"), F.lit("1996-01-01").cast("date").alias("published_at"), order_day().alias("observed_at"))
     return backtest.publicly_dated(sig)[0].select("id", "available")
 
 
@@ -335,7 +335,7 @@ def backtest_follow_up(spark, d):
     lo = F.expr("date_add(date'1996-06-01', cast(c_custkey % 700 as int))")
     c = table(spark, d, "customer")
     p = c.select(k.alias("opportunity_id"), pick(k, *STAGES).alias("stage"), F.lit(None).cast("date").alias("bid_published_at"), lo.alias("bid_window_start"), F.date_add(lo, 90).alias("bid_window_end"))
-    out = orders(spark, d).filter("o_orderstatus = 'P'").select(CUST.alias("opportunity_id"), DAY.alias("published_at"))
+    out = orders(spark, d).filter("o_orderstatus = 'P'").select(customer_key().alias("opportunity_id"), order_day().alias("published_at"))
     spans = spark.createDataFrame([(date(1996, 1, 1), date(1996, 12, 31)), (date(1997, 1, 1), date(1998, 6, 1))], "start date, end date")
     cov = c.filter(k % 5 > 0).select(k.alias("opportunity_id"), F.explode(F.array(F.struct(F.lit(date(1996, 1, 1)).alias("start"), F.lit(date(1996, 12, 31)).alias("end")), F.struct(F.lit(date(1997, 1, 1)).alias("start"), F.lit(date(1998, 6, 1)).alias("end")))).alias("x")).select("opportunity_id", "x.*")
     del spans
@@ -345,18 +345,18 @@ def backtest_follow_up(spark, d):
 @query("""SELECT o_orderpriority AS stratum, count(*) AS signals, count(*) FILTER (WHERE h) AS hits, round(quantile_cont(l, 0.5) FILTER (WHERE h), 6) AS median_lead, CAST(min(l) AS BIGINT) AS least_lead, CAST(max(l) AS BIGINT) AS most_lead, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS eligible, count(*) FILTER (WHERE o_orderkey % 2 = 0 AND o_custkey % 2 = 0) AS within
 FROM (SELECT *, o_orderstatus = 'F' AS h, o_orderkey % 365 AS l FROM orders) GROUP BY 1""")
 def retrospective_strata(spark, d):
-    j = orders(spark, d).select(F.col("o_orderpriority").alias("stratum"), (F.col("o_orderstatus") == "F").alias("hit"), (KEY % 365).alias("lead_days"), (KEY % 2 == 0).alias("eligible"), (CUST % 2 == 0).alias("in_window"))
+    j = orders(spark, d).select(F.col("o_orderpriority").alias("stratum"), (F.col("o_orderstatus") == "F").alias("hit"), (order_key() % 365).alias("lead_days"), (order_key() % 2 == 0).alias("eligible"), (customer_key() % 2 == 0).alias("in_window"))
     return retrospective.strata(j).withColumn("median_lead", F.round("median_lead", 6))
 
 
 @query("""SELECT o_orderpriority AS operation, count(*) AS slices, count(*) FILTER (WHERE o_orderkey % 10 >= o_custkey % 10) AS complete, CAST(sum(o_orderkey % 10) AS BIGINT) AS read, CAST(sum(o_custkey % 10) AS BIGINT) AS total FROM orders GROUP BY 1""")
 def retrospective_completeness(spark, d):
-    return retrospective.census_completeness(orders(spark, d).select(F.col("o_orderpriority").alias("operation"), (KEY % 10).alias("read"), (CUST % 10).alias("total")))
+    return retrospective.census_completeness(orders(spark, d).select(F.col("o_orderpriority").alias("operation"), (order_key() % 10).alias("read"), (customer_key() % 10).alias("total")))
 
 
 @query("""SELECT o_custkey AS notice_no, o_orderkey % 3 AS revision, min(o_orderkey) AS seq FROM orders GROUP BY 1, 2""")
 def retrospective_census(spark, d):
-    return retrospective.census(orders(spark, d).select(CUST.alias("notice_no"), (KEY % 3).alias("revision"), KEY.alias("seq")))
+    return retrospective.census(orders(spark, d).select(customer_key().alias("notice_no"), (order_key() % 3).alias("revision"), order_key().alias("seq")))
 
 
 _AFF = "coalesce(list_max(list_filter(range(3, length({w}) + 1), lambda n: contains(t, left({w}, n)) OR contains(t, right({w}, n)))), 0)"
@@ -369,7 +369,7 @@ SELECT signal_id, notice_id, notice_date, round(score, 6) AS score, row_number()
 def retrospective_notices(spark, d):
     """Later notices of the same customer whose title shares what the signal's title names."""
     first = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    x = orders(spark, d).join(first, KEY == F.col("l_orderkey")).select(KEY.alias("id"), s(CUST).alias("institution"), DAY.alias("at"), "p_name")
+    x = orders(spark, d).join(first, order_key() == F.col("l_orderkey")).select(order_key().alias("id"), s(customer_key()).alias("institution"), order_day().alias("at"), "p_name")
     early = x.filter("id % 6 < 2").select(F.col("id").alias("signal_id"), "institution", F.col("p_name").alias("title"), F.col("at").alias("observed_at"))
     late = x.filter("id % 6 = 4").select(F.col("id").alias("notice_id"), "institution", F.col("p_name").alias("notice_title"), F.col("at").alias("notice_date"))
     out = retrospective.notice_candidates(early, late)
@@ -388,7 +388,7 @@ def evaluate_overlaps(spark, d):
 @query("""SELECT o_custkey::VARCHAR AS "case", count(*) AS matched FROM orders GROUP BY 1""")
 def evaluate_matching(spark, d):
     """Every order can have its own side or its neighbour's; a maximum matching serves all."""
-    o = orders(spark, d).select(s(CUST).alias("case"), KEY.alias("k"))
+    o = orders(spark, d).select(s(customer_key()).alias("case"), order_key().alias("k"))
     edges = o.select("case", F.lpad(s(F.col("k")), 9, "0").alias("left"), F.explode(F.array(s(F.col("k")), F.lit("shared"))).alias("right"))
     return evaluation.maximum_matching(edges).groupBy("case").agg(F.count("*").alias("matched"))
 
@@ -396,9 +396,9 @@ def evaluate_matching(spark, d):
 @query("""SELECT o_custkey::VARCHAR AS "case", o_orderkey AS expected, o_orderkey AS predicted FROM orders WHERE o_orderkey % 3 < 2""")
 def evaluate_two_pass(spark, d):
     """Expectations found by title, or by title and keywords, or not at all."""
-    word = F.concat(F.lit("<"), s(KEY), F.lit(">"))
-    want = orders(spark, d).select(s(CUST).alias("case"), F.lit("expected").alias("kind"), KEY.alias("id"), F.lit("").alias("title"), F.array(word).alias("words"))
-    got = orders(spark, d).select(s(CUST).alias("case"), F.lit("predicted").alias("kind"), KEY.alias("id"), F.when(KEY % 3 == 0, word).otherwise("x").alias("title"), F.when(KEY % 3 == 1, F.array(word)).otherwise(F.array().cast("array<string>")).alias("words"))
+    word = F.concat(F.lit("<"), s(order_key()), F.lit(">"))
+    want = orders(spark, d).select(s(customer_key()).alias("case"), F.lit("expected").alias("kind"), order_key().alias("id"), F.lit("").alias("title"), F.array(word).alias("words"))
+    got = orders(spark, d).select(s(customer_key()).alias("case"), F.lit("predicted").alias("kind"), order_key().alias("id"), F.when(order_key() % 3 == 0, word).otherwise("x").alias("title"), F.when(order_key() % 3 == 1, F.array(word)).otherwise(F.array().cast("array<string>")).alias("words"))
     return evaluation.two_pass_match(want.union(got))
 
 

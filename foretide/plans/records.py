@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foretide.functions import chunks, extract, parse, udfs
 from foretide.operators import accounts, endpoints, governance, ingest, market, ranking, resolve, reviews
 from foretide.plans.registry import registry
-from foretide.plans.scalars import pick, s, sql_pick
+from foretide.plans.scalars import part_key, part_name, part_size, pick, s, sql_pick
 from foretide.sources import html, minutes, procurement, readers, shared
 from foretide.sources.tables import table
 
 QUERIES, ORACLE_SQL, query = registry()
 
-KEY, CUST, DAY, PRICE = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate"), F.col("o_totalprice")
-PART, NAME, SIZE = F.col("p_partkey"), F.col("p_name"), F.col("p_size")
+
+def order_key() -> Column:
+    return F.col("o_orderkey")
+
+
+def customer_key() -> Column:
+    return F.col("o_custkey")
+
+
+def order_day() -> Column:
+    return F.to_date("o_orderdate")
+
+
+def order_price() -> Column:
+    return F.col("o_totalprice")
 
 
 def orders(spark, d):
@@ -38,10 +52,10 @@ def source_paged(spark, d):
 def items(spark, d):
     """Orders as items of the provider's plan listing: numbers with commas, dates with slashes, blanks."""
     return orders(spark, d).select(
-        F.concat(F.lit("P"), s(KEY)).alias("orderPlanUntyNo"), F.when(KEY % 10 == 3, "  ").otherwise(F.col("o_orderpriority")).alias("bizNm"),
-        F.when(KEY % 10 == 4, "").otherwise(F.date_format("o_orderdate", "yyyy/MM/dd")).alias("nticeDt"), F.format_number(F.floor(PRICE / 10), 0).alias("sumOrderAmt"),
-        F.when(KEY % 2 == 0, s(CUST)).otherwise("").alias("orderInsttNm"), F.concat(F.lit("body "), s(CUST)).alias("dminsttNm"), s(CUST).alias("orderInsttCd"),
-        F.concat(F.lit("R26BK"), F.lpad(s(KEY), 8, "0"), F.lit("000, R26BK"), F.lpad(s(KEY), 8, "0"), F.lit("001,,X1")).alias("bidNtceNoList"),
+        F.concat(F.lit("P"), s(order_key())).alias("orderPlanUntyNo"), F.when(order_key() % 10 == 3, "  ").otherwise(F.col("o_orderpriority")).alias("bizNm"),
+        F.when(order_key() % 10 == 4, "").otherwise(F.date_format("o_orderdate", "yyyy/MM/dd")).alias("nticeDt"), F.format_number(F.floor(order_price() / 10), 0).alias("sumOrderAmt"),
+        F.when(order_key() % 2 == 0, s(customer_key())).otherwise("").alias("orderInsttNm"), F.concat(F.lit("body "), s(customer_key())).alias("dminsttNm"), s(customer_key()).alias("orderInsttCd"),
+        F.concat(F.lit("R26BK"), F.lpad(s(order_key()), 8, "0"), F.lit("000, R26BK"), F.lpad(s(order_key()), 8, "0"), F.lit("001,,X1")).alias("bidNtceNoList"),
     )
 
 
@@ -63,7 +77,7 @@ def source_health(spark, d):
 FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY o_custkey, o_orderkey % 2, strftime(o_orderdate, '%Y'), year(o_orderdate)""")
 def source_meetings(spark, d):
     rows = orders(spark, d).select(
-        s(KEY).alias("DOCID"), s(CUST).alias("RASMBLY_ID"), F.lit("9").alias("RASMBLY_NUMPR"), F.lit(None).cast("string").alias("RASMBLY_SESN"), s(KEY % 2).alias("MINTS_ODR"),
+        s(order_key()).alias("DOCID"), s(customer_key()).alias("RASMBLY_ID"), F.lit("9").alias("RASMBLY_NUMPR"), F.lit(None).cast("string").alias("RASMBLY_SESN"), s(order_key() % 2).alias("MINTS_ODR"),
         F.lit("본회의").alias("MTGNM"), F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("0101")).alias("MTG_DE"),
     )
     m = minutes.meetings(rows, "1996-01-01", "1998-12-31", "본회의")
@@ -74,7 +88,7 @@ def source_meetings(spark, d):
 SELECT o_custkey::VARCHAR AS external_id, CASE WHEN o_custkey % 3 = 0 THEN r[2] ELSE r[1] END AS docid, o_custkey % 3 = 0 AS revised FROM m WHERE CASE WHEN o_custkey % 3 = 0 THEN len(r) > 1 ELSE day >= DATE '1998-01-01' END""")
 def source_unread_meetings(spark, d):
     """Known meetings come back with a revision that was not seen, new ones from a day on."""
-    found = orders(spark, d).groupBy(s(CUST).alias("external_id")).agg(F.sort_array(F.collect_list(s(KEY)), asc=False).alias("revisions"), F.max(DAY).alias("day"))
+    found = orders(spark, d).groupBy(s(customer_key()).alias("external_id")).agg(F.sort_array(F.collect_list(s(order_key())), asc=False).alias("revisions"), F.max(order_day()).alias("day"))
     known = found.filter(F.col("external_id").cast("long") % 3 == 0).select("external_id", F.slice("revisions", 1, 1).alias("seen"))
     return minutes.to_read(found, known, "1998-01-01").select("external_id", "docid", "revised")
 
@@ -84,15 +98,15 @@ _REGION, _FULL = ("서울", "경기", "제주", "없는곳"), ("서울특별시"
 
 @query(f"SELECT p_partkey, {sql_pick('p_partkey', *_FULL)} AS sido, CASE WHEN p_size % 3 = 0 THEN {sql_pick('p_partkey', *_FULL)} ELSE p_name END AS name FROM part")
 def source_region_split(spark, d):
-    region = pick(PART, *_REGION)
-    name = F.when(SIZE % 3 == 0, F.concat(region, F.lit("본청"))).when(SIZE % 3 == 1, F.concat(region, NAME)).otherwise(NAME)
+    region = pick(part_key(), *_REGION)
+    name = F.when(part_size() % 3 == 0, F.concat(region, F.lit("본청"))).when(part_size() % 3 == 1, F.concat(region, part_name())).otherwise(part_name())
     return part(spark, d).select("p_partkey", minutes.split_region(region, name).alias("r")).select("p_partkey", "r.*")
 
 
 @query("""SELECT p_partkey, CAST(2020 + p_size % 9 AS INTEGER) AS fiscal_year, CASE p_partkey % 4 WHEN 0 THEN '본' WHEN 1 THEN '제2회 추가경정' WHEN 2 THEN '추가경정' END AS kind,
   CASE p_partkey % 4 WHEN 0 THEN make_date(CAST(2019 + p_size % 9 AS INTEGER), 12, 31) WHEN 3 THEN NULL ELSE make_date(CAST(2020 + p_size % 9 AS INTEGER), 12, 31) END AS adopted_by FROM part""")
 def source_budget_facts(spark, d):
-    t = F.concat(s(SIZE % 9 + 2020), F.lit("년도 "), pick(PART, "본예산서", "제2회 추경 예산", "추가경정예산", "결산"))
+    t = F.concat(s(part_size() % 9 + 2020), F.lit("년도 "), pick(part_key(), "본예산서", "제2회 추경 예산", "추가경정예산", "결산"))
     return part(spark, d).select("p_partkey", minutes.budget_facts(t).alias("f")).select("p_partkey", "f.*")
 
 
@@ -101,13 +115,13 @@ _ANSWERS = {(200, "00"): "ok", (200, "INFO-200"): "ok", (429, "00"): "quota", (2
 
 @query(f"SELECT p_partkey, {sql_pick('p_partkey', *_ANSWERS.values())} AS kind FROM part")
 def source_error_kinds(spark, d):
-    status = F.element_at(F.array(*[F.lit(k[0]) for k in _ANSWERS]), (PART % len(_ANSWERS) + 1).cast("int"))
-    return part(spark, d).select("p_partkey", parse.error_kind(status, pick(PART, *[k[1] for k in _ANSWERS])).alias("kind"))
+    status = F.element_at(F.array(*[F.lit(k[0]) for k in _ANSWERS]), (part_key() % len(_ANSWERS) + 1).cast("int"))
+    return part(spark, d).select("p_partkey", parse.error_kind(status, pick(part_key(), *[k[1] for k in _ANSWERS])).alias("kind"))
 
 
 @query("""SELECT coalesce(CASE WHEN o_orderstatus = 'P' THEN 'unmapped' WHEN year(o_orderdate) < 1996 THEN 'fiscal_year' WHEN month(o_orderdate) > 6 THEN 'window' WHEN o_custkey % 7 = 0 THEN 'institution' END, 'kept') AS reason, count(*) AS n FROM orders GROUP BY 1""")
 def source_listing_reasons(spark, d):
-    rules = [("unmapped", F.col("o_orderstatus") != "P"), ("fiscal_year", F.year("o_orderdate") >= 1996), ("window", F.month("o_orderdate") <= 6), ("institution", CUST % 7 != 0)]
+    rules = [("unmapped", F.col("o_orderstatus") != "P"), ("fiscal_year", F.year("o_orderdate") >= 1996), ("window", F.month("o_orderdate") <= 6), ("institution", customer_key() % 7 != 0)]
     _, counts = ingest.listing_filter(orders(spark, d), rules)
     return counts.select(F.coalesce("reason", F.lit("kept")).alias("reason"), "n")
 
@@ -174,35 +188,35 @@ def sink_cache_import(spark, d):
 SELECT p_partkey, CASE WHEN idle THEN 'sent' WHEN o = 'sent' THEN 'sent' WHEN o = 'transient' AND a + 1 < 5 THEN 'pending' ELSE 'failed' END AS status, CAST(CASE WHEN idle THEN a ELSE a + 1 END AS INTEGER) AS attempts,
   CASE WHEN NOT idle AND o = 'transient' AND a + 1 < 5 THEN 5 * pow(2.0::DOUBLE, a) END AS wait_minutes, NOT idle AND o = 'permanent' AS disable, p_size % 24 >= 22 OR p_size % 24 < 8 AS quiet FROM x JOIN part USING (p_partkey)""")
 def sink_delivery(spark, d):
-    n = market.delivery(F.when(SIZE % 7 == 0, "sent").otherwise("pending"), (SIZE % 6).cast("int"), pick(PART, "sent", "transient", "permanent"))
-    return part(spark, d).select("p_partkey", n.alias("n"), market.quiet(SIZE % 24).alias("quiet")).select("p_partkey", "n.*", "quiet")
+    n = market.delivery(F.when(part_size() % 7 == 0, "sent").otherwise("pending"), (part_size() % 6).cast("int"), pick(part_key(), "sent", "transient", "permanent"))
+    return part(spark, d).select("p_partkey", n.alias("n"), market.quiet(part_size() % 24).alias("quiet")).select("p_partkey", "n.*", "quiet")
 
 
 # --- parsers ----------------------------------------------------------------------------------------------------------------
 @query("SELECT p_partkey, '[발주계획] ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' | 수요기관: ' || p_brand ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' | 금액: ' || format('{:,}', p_size * 1000) || '원' ELSE '' END AS line FROM part")
 def parse_record_text(spark, d):
-    t = procurement.record_text(F.lit("발주계획"), NAME, F.when(SIZE % 2 == 0, F.col("p_brand")), F.lit(None).cast("string"), F.when(SIZE % 3 == 0, SIZE * 1000))
+    t = procurement.record_text(F.lit("발주계획"), part_name(), F.when(part_size() % 2 == 0, F.col("p_brand")), F.lit(None).cast("string"), F.when(part_size() % 3 == 0, part_size() * 1000))
     return part(spark, d).select("p_partkey", t.alias("line"))
 
 
 @query("SELECT p_partkey, p_name || chr(10) || chr(10) || p_brand || ' ' || p_type || chr(10) || '○' || p_name || '  a & b' AS body FROM part")
 def parse_html(spark, d):
-    page = F.concat(F.lit("<html><head><style>p{}</style></head><nav>x</nav><div>"), NAME, F.lit("</div><p>\n"), F.col("p_brand"), F.lit("   <i>"), F.col("p_type"), F.lit("</i></p><b>○"), NAME, F.lit("</b>a &amp; b<script>var p;</script></html>"))
+    page = F.concat(F.lit("<html><head><style>p{}</style></head><nav>x</nav><div>"), part_name(), F.lit("</div><p>\n"), F.col("p_brand"), F.lit("   <i>"), F.col("p_type"), F.lit("</i></p><b>○"), part_name(), F.lit("</b>a &amp; b<script>var p;</script></html>"))
     return part(spark, d).select("p_partkey", html.html_text(page).alias("body"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'structured' WHEN 1 THEN 'pdf' WHEN 2 THEN 'html' ELSE 'plain' END AS method, CASE p_partkey % 4 WHEN 2 THEN p_name WHEN 3 THEN p_name || ' 끝' END AS body FROM part""")
 def parse_dispatch(spark, d):
-    mime = pick(PART, "application/json", "application/pdf", "text/html; charset=utf-8", "text/plain")
-    raw = F.when(PART % 4 == 2, F.encode(F.concat(F.lit("<p>"), NAME, F.lit("</p>")), "UTF-8")).when(PART % 4 == 1, F.encode(F.lit("%PDF-"), "UTF-8")).otherwise(F.encode(F.concat(NAME, F.lit(" 끝")), "UTF-8"))
+    mime = pick(part_key(), "application/json", "application/pdf", "text/html; charset=utf-8", "text/plain")
+    raw = F.when(part_key() % 4 == 2, F.encode(F.concat(F.lit("<p>"), part_name(), F.lit("</p>")), "UTF-8")).when(part_key() % 4 == 1, F.encode(F.lit("%PDF-"), "UTF-8")).otherwise(F.encode(F.concat(part_name(), F.lit(" 끝")), "UTF-8"))
     return part(spark, d).select("p_partkey", parse.parse_content(mime, raw).alias("p")).select("p_partkey", "p.method", F.col("p.text").alias("body"))
 
 
 @query("""WITH p AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 0.5 END AS c, o_orderkey % 2 = 0 AS good FROM orders)
 SELECT o_custkey AS document_id, round(avg(CASE WHEN good THEN 1.0 ELSE coalesce(c, 0) END), 6) AS quality, count(*) FILTER (WHERE NOT good) AS ocr_pages, count(*) AS pages FROM p GROUP BY 1""")
 def parse_page_quality(spark, d):
-    body = F.when(KEY % 2 == 0, F.repeat(F.col("o_orderpriority"), 20)).when(KEY % 4 == 1, F.lit("short")).otherwise(F.concat(F.repeat(F.lit("가"), 50), F.repeat(F.lit(""), 10)))
-    pages = orders(spark, d).select(CUST.alias("document_id"), body.alias("text"), F.when(KEY % 3 != 0, 0.5).alias("confidence"))
+    body = F.when(order_key() % 2 == 0, F.repeat(F.col("o_orderpriority"), 20)).when(order_key() % 4 == 1, F.lit("short")).otherwise(F.concat(F.repeat(F.lit("가"), 50), F.repeat(F.lit(""), 10)))
+    pages = orders(spark, d).select(customer_key().alias("document_id"), body.alias("text"), F.when(order_key() % 3 != 0, 0.5).alias("confidence"))
     return parse.document_quality(pages).withColumn("quality", F.round("quality", 6))
 
 
@@ -220,7 +234,7 @@ def chunk_plain_offsets(spark, d):
 
 @query("""SELECT p_partkey, CAST(k AS INTEGER) AS seq, CAST(k * 1000 AS INTEGER) AS char_start, CAST(least(k * 1000 + 1000, p_size * 100) AS INTEGER) AS char_end FROM part, unnest(range(0, CAST(ceil(p_size / 10) AS BIGINT))) AS t(k)""")
 def chunk_line_blocks(spark, d):
-    lines = F.repeat(F.concat(F.rpad("p_name", 99, "."), F.lit("\n")), SIZE)
+    lines = F.repeat(F.concat(F.rpad("p_name", 99, "."), F.lit("\n")), part_size())
     c = part(spark, d).select("p_partkey", F.explode(chunks.block_chunks(lines)).alias("c"))
     return c.select("p_partkey", "c.seq", "c.char_start", "c.char_end")
 
@@ -232,7 +246,7 @@ _SAYS = ("○위원장 김한솔  개의합니다.", "○이두리 의원  정
 def chunk_turns(spark, d):
     """Speeches by the SQL table function."""
     udfs.register(spark)
-    minutes_text = F.concat(*[x for line in _SAYS for x in (F.lit(line), NAME, F.lit("\n"))])
+    minutes_text = F.concat(*[x for line in _SAYS for x in (F.lit(line), part_name(), F.lit("\n"))])
     part(spark, d).select("p_partkey", minutes_text.alias("body")).createOrReplaceTempView("turn_texts")
     rows = spark.sql("SELECT p_partkey, t.role, t.name, t.start FROM turn_texts, LATERAL turns(body) t")
     return ranking.top_k(rows, ["p_partkey"], [F.asc("start")], 10).select("p_partkey", (F.col("rank") - 1).alias("nth"), "role", "name")
@@ -240,14 +254,14 @@ def chunk_turns(spark, d):
 
 @query("SELECT p_partkey, CAST(unnest([0, 1]) AS INTEGER) AS seq, unnest(['procedure', 'exchange']) AS kind, CAST(unnest([1, 3]) AS INTEGER) AS speakers, CAST(unnest([0, 17 + length(p_name)]) AS INTEGER) AS char_start FROM part")
 def chunk_minutes(spark, d):
-    minutes_text = F.concat(*[x for line in _SAYS for x in (F.lit(line), NAME, F.lit("\n"))])
+    minutes_text = F.concat(*[x for line in _SAYS for x in (F.lit(line), part_name(), F.lit("\n"))])
     c = part(spark, d).select("p_partkey", F.explode(chunks.minutes_chunks(minutes_text)).alias("c"))
     return c.select("p_partkey", "c.seq", "c.kind", F.size("c.labels").alias("speakers"), "c.char_start")
 
 
 @query("""SELECT p_partkey, CAST(unnest([0, 1]) AS INTEGER) AS seq, unnest(['도로과|' || p_name || ' 설치', '교통과|' || p_name]) AS labels, unnest([2, 1])::INTEGER AS lines FROM part""")
 def chunk_budget(spark, d):
-    book = F.concat(F.lit("(단위: 천원)\n부서: 도로과\n"), NAME, F.lit(" 설치 1,200 1,000 200\n ○ 2대\n합계\n부서: 교통과\n"), NAME, F.lit(" 300 0 300\n"))
+    book = F.concat(F.lit("(단위: 천원)\n부서: 도로과\n"), part_name(), F.lit(" 설치 1,200 1,000 200\n ○ 2대\n합계\n부서: 교통과\n"), part_name(), F.lit(" 300 0 300\n"))
     c = part(spark, d).select("p_partkey", F.explode(chunks.budget_chunks(book)).alias("c"))
     return c.select("p_partkey", "c.seq", F.array_join("c.labels", "|").alias("labels"), F.size(F.split("c.text", "\n")).alias("lines"))
 
@@ -259,7 +273,7 @@ def chunk_record(spark, d):
 
 @query("""SELECT o_custkey AS source, o_orderkey AS char_start FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY sha256(o_custkey || ':' || o_orderkey), o_orderkey) <= 2""")
 def chunk_excerpts(spark, d):
-    blocks = orders(spark, d).select(CUST.alias("source"), KEY.alias("char_start"), F.col("o_orderpriority").alias("text"))
+    blocks = orders(spark, d).select(customer_key().alias("source"), order_key().alias("char_start"), F.col("o_orderpriority").alias("text"))
     return chunks.excerpts(blocks, "URGENT|HIGH", 2).select("source", "char_start")
 
 
@@ -267,21 +281,21 @@ def chunk_excerpts(spark, d):
 SELECT p_partkey::VARCHAR AS media, CAST(k AS INTEGER) AS nth, k * 600.0::DOUBLE AS "start", CASE WHEN n - k * 600 > 630 THEN (k + 1) * 600.0::DOUBLE ELSE n END AS "end", CASE WHEN n - k * 600 > 630 THEN 'silence' ELSE 'end' END AS cut FROM w WHERE k = 0 OR n - (k - 1) * 600 > 630""")
 def chunk_recording_windows(spark, d):
     """Recordings with a pause at every tenth minute are cut in the pauses."""
-    pauses = part(spark, d).select(s(PART).alias("media"), (SIZE * 100.0).alias("duration"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("k"))
+    pauses = part(spark, d).select(s(part_key()).alias("media"), (part_size() * 100.0).alias("duration"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("k"))
     return parse.plan_windows(pauses.select("media", "duration", (F.col("k") * 600.0 - 1).alias("start"), (F.col("k") * 600.0 + 1).alias("end"))).select("media", "nth", "start", "end", "cut")
 
 
 @query("""SELECT p_partkey, '스마트쉘터 설치' AS title, 'smart_city' AS category, '교통과' AS department, p_size * 10000::BIGINT AS budget_krw, CAST(2027 AS INTEGER) AS expected_year, 'committed' AS commitment FROM part""")
 def extract_minutes(spark, d):
-    said = F.concat(F.lit("○이두리 의원  정류장 개선은 언제 합니까?\n○교통과장 박세찌  내년도 본예산에 스마트쉘터 설치 사업비 "), s(SIZE), F.lit("만원을 반영하겠습니다. 고맙습니다."))
-    c = part(spark, d).select(PART.alias("chunk_id"), F.lit("council_minutes").alias("doc_type"), said.alias("text"), F.lit("2026-03-01").cast("date").alias("document_date"), F.lit(None).cast("int").alias("unit"), F.lit(None).cast("int").alias("fiscal_year"))
+    said = F.concat(F.lit("○이두리 의원  정류장 개선은 언제 합니까?\n○교통과장 박세찌  내년도 본예산에 스마트쉘터 설치 사업비 "), s(part_size()), F.lit("만원을 반영하겠습니다. 고맙습니다."))
+    c = part(spark, d).select(part_key().alias("chunk_id"), F.lit("council_minutes").alias("doc_type"), said.alias("text"), F.lit("2026-03-01").cast("date").alias("document_date"), F.lit(None).cast("int").alias("unit"), F.lit(None).cast("int").alias("fiscal_year"))
     return extract.extract_signals(c).select(F.col("chunk_id").alias("p_partkey"), "title", "category", "department", "budget_krw", "expected_year", "commitment")
 
 
 @query("""SELECT p_partkey, CAST(unnest([0, 2]) AS INTEGER) AS seq, unnest(['보행교 설치공사', '도서관 리모델링']) AS title, 'facility' AS category, unnest([p_size * 1000, 5000])::BIGINT AS budget_krw, CAST(2026 AS INTEGER) AS expected_year FROM part""")
 def extract_budgets(spark, d):
-    book = F.concat(F.lit("부서: 도로과\n보행교 설치공사 "), s(SIZE), F.lit(" 300,000 52,000\n기본경비 9,000 1,000 8,000\n도서관 리모델링 5 0 5\n가로등 교체 0 10,000 △10,000\n"))
-    c = part(spark, d).select(PART.alias("chunk_id"), F.lit("budget_book").alias("doc_type"), book.alias("text"), F.lit("2026-03-01").cast("date").alias("document_date"), F.lit(1000).alias("unit"), F.lit(2026).alias("fiscal_year"))
+    book = F.concat(F.lit("부서: 도로과\n보행교 설치공사 "), s(part_size()), F.lit(" 300,000 52,000\n기본경비 9,000 1,000 8,000\n도서관 리모델링 5 0 5\n가로등 교체 0 10,000 △10,000\n"))
+    c = part(spark, d).select(part_key().alias("chunk_id"), F.lit("budget_book").alias("doc_type"), book.alias("text"), F.lit("2026-03-01").cast("date").alias("document_date"), F.lit(1000).alias("unit"), F.lit(2026).alias("fiscal_year"))
     return extract.extract_signals(c).select(F.col("chunk_id").alias("p_partkey"), "seq", "title", "category", "budget_krw", "expected_year")
 
 
@@ -296,14 +310,14 @@ _RAW = {("수원시 교통과", None): ("A1", "exact"), ("경기 수원", None):
 @query(f"SELECT p_partkey AS id, nullif({sql_pick('p_partkey', *[v[0] or '' for v in _RAW.values()])}, '') AS code, {sql_pick('p_partkey', *[v[1] for v in _RAW.values()])} AS method FROM part")
 def resolve_names(spark, d):
     reg = spark.createDataFrame([r for r in _REGISTRY], "code string, name string, kind string, sido string, sigungu string, aliases array<string>")
-    hint = F.nullif(pick(PART, *[k[1] or "" for k in _RAW]), F.lit(""))
-    rec = part(spark, d).select(PART.alias("id"), pick(PART, *[k[0] for k in _RAW]).alias("raw"), F.lit(None).cast("string").alias("code_hint"), hint.alias("sido_hint"))
+    hint = F.nullif(pick(part_key(), *[k[1] or "" for k in _RAW]), F.lit(""))
+    rec = part(spark, d).select(part_key().alias("id"), pick(part_key(), *[k[0] for k in _RAW]).alias("raw"), F.lit(None).cast("string").alias("code_hint"), hint.alias("sido_hint"))
     return resolve.resolve(rec, reg).select("id", "code", "method")
 
 
 @query("""SELECT 'G2B-' || o_custkey AS code, arg_min('body ' || o_orderpriority, (CAST(o_orderdate AS DATE), o_orderkey)) AS name, 'public_body' AS kind FROM orders WHERE o_custkey % 5 > 0 GROUP BY o_custkey HAVING o_custkey % 2 = 0""")
 def resolve_learned_providers(spark, d):
-    rec = orders(spark, d).select(KEY.alias("id"), F.when(CUST % 5 > 0, s(CUST)).alias("provider_code"), F.concat(F.lit("body "), F.col("o_orderpriority")).alias("raw"), DAY.alias("published_at"))
+    rec = orders(spark, d).select(order_key().alias("id"), F.when(customer_key() % 5 > 0, s(customer_key())).alias("provider_code"), F.concat(F.lit("body "), F.col("o_orderpriority")).alias("raw"), order_day().alias("published_at"))
     reg = table(spark, d, "customer").filter("c_custkey % 2 = 1").select(F.concat(F.lit("G2B-"), s(F.col("c_custkey"))).alias("code"))
     return resolve.learn_providers(rec, reg).select("code", "name", "kind")
 
@@ -313,8 +327,8 @@ def resolve_again(spark, d):
     """Unresolved records are resolved again: coded ones by their provider's body, others by name, one lookup a name."""
     reg = spark.createDataFrame([r for r in _REGISTRY], "code string, name string, kind string, sido string, sigungu string, aliases array<string>")
     rec = part(spark, d).select(
-        PART.alias("id"), F.when(SIZE % 3 == 0, F.lit("별빛본부")).when(PART % 2 == 0, "수원시 교통과").otherwise("없는이름입니다").alias("raw"), F.when(SIZE % 3 == 0, s(SIZE)).alias("provider_code"),
-        F.lit(None).cast("string").alias("sido_hint"), F.lit("2026-01-01").cast("date").alias("published_at"), F.when(PART % 7 == 0, "X").alias("institution"),
+        part_key().alias("id"), F.when(part_size() % 3 == 0, F.lit("별빛본부")).when(part_key() % 2 == 0, "수원시 교통과").otherwise("없는이름입니다").alias("raw"), F.when(part_size() % 3 == 0, s(part_size())).alias("provider_code"),
+        F.lit(None).cast("string").alias("sido_hint"), F.lit("2026-01-01").cast("date").alias("published_at"), F.when(part_key() % 7 == 0, "X").alias("institution"),
     )
     return resolve.reresolve(rec, reg).select("id", "code", "method")
 
@@ -326,7 +340,7 @@ def ledger_audit(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("org_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    e = orders(spark, d).select(CUST.alias("org_id"), KEY.alias("id"), F.when(F.col("o_orderstatus") == "F", -5).otherwise(7).alias("delta"), F.concat(F.lit("k"), s(F.floor(KEY / 2))).alias("idempotency_key"))
+    e = orders(spark, d).select(customer_key().alias("org_id"), order_key().alias("id"), F.when(F.col("o_orderstatus") == "F", -5).otherwise(7).alias("delta"), F.concat(F.lit("k"), s(F.floor(order_key() / 2))).alias("idempotency_key"))
     e = e.withColumn("balance_after", F.sum("delta").over(w) + F.when(F.col("id") % 11 == 0, 1).otherwise(0))
     return accounts.ledger_audit(e).select("org_id", "id", "balance_after", "again")
 
@@ -341,7 +355,7 @@ def usage_by_month(spark, d):
 
 @query("""SELECT o_orderkey AS id, ((o_orderkey * [30000, 2500][CAST(o_orderkey % 2 AS INTEGER) + 1] + o_custkey * [150000, 12500][CAST(o_orderkey % 2 AS INTEGER) + 1] + 5000) // 10000) / 1000000.0::DOUBLE AS usd FROM orders""")
 def model_costs(spark, d):
-    calls = orders(spark, d).select(KEY.alias("id"), pick(KEY, "big", "small").alias("model"), KEY.alias("tin"), CUST.alias("tout"))
+    calls = orders(spark, d).select(order_key().alias("id"), pick(order_key(), "big", "small").alias("model"), order_key().alias("tin"), customer_key().alias("tout"))
     prices = spark.createDataFrame([("big", 3.0, 15.0), ("small", 0.25, 1.25)], "model string, price_in double, price_out double")
     return accounts.call_cost({"in": F.col("tin"), "out": F.col("tout")}, prices, calls).select("id", F.round(F.col("usd").cast("double"), 6).alias("usd"))
 
@@ -349,43 +363,43 @@ def model_costs(spark, d):
 @query("""SELECT p_partkey, least(3600.0::DOUBLE, 30 * pow(2.0::DOUBLE, p_size % 12 - 1)) AS wait, CASE WHEN p_partkey % 2 = 0 THEN 'active' WHEN p_size % 5 >= 3 THEN 'ended' ELSE 'past_due' END AS status, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size % 5 + 1 END AS INTEGER) AS attempts,
   CAST(CASE WHEN p_partkey % 2 = 1 AND p_size % 5 < 3 THEN [1, 3, 7][CAST(p_size % 5 AS INTEGER) + 1] END AS INTEGER) AS wait_days FROM part""")
 def renewals(spark, d):
-    r = accounts.renewal(F.lit("active"), (SIZE % 5).cast("int"), pick(PART, "paid", "declined"))
-    return part(spark, d).select("p_partkey", accounts.backoff_seconds(SIZE % 12).alias("wait"), r.alias("r")).select("p_partkey", "wait", "r.*")
+    r = accounts.renewal(F.lit("active"), (part_size() % 5).cast("int"), pick(part_key(), "paid", "declined"))
+    return part(spark, d).select("p_partkey", accounts.backoff_seconds(part_size() % 12).alias("wait"), r.alias("r")).select("p_partkey", "wait", "r.*")
 
 
 @query("""WITH RECURSIVE t(id, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT o_orderkey, depth + 1 FROM t JOIN orders ON o_orderkey // 3 = id AND o_orderkey > 1)
 SELECT id, CAST(depth AS INTEGER) AS depth, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'cancelled' END AS state FROM t JOIN orders ON o_orderkey = id""")
 def job_tree(spark, d):
     """A job, all below it, and their states after it is cancelled."""
-    jobs = orders(spark, d).select(KEY.alias("id"), F.when(KEY > 1, F.floor(KEY / 3)).alias("parent_id"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("queued").alias("state"))
+    jobs = orders(spark, d).select(order_key().alias("id"), F.when(order_key() > 1, F.floor(order_key() / 3)).alias("parent_id"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("queued").alias("state"))
     return accounts.cancelled(jobs, 1).select("id", "depth", "state")
 
 
 @query("""WITH v AS (SELECT o_orderpriority AS queue, list_sort(list(o_totalprice) FILTER (WHERE o_orderstatus = 'F')) AS v, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, round(avg((o_orderkey % 3 > 0)::INT), 6) AS retried FROM orders GROUP BY 1)
 SELECT queue, done, failed, retried, v[CAST(ceil(0.95 * len(v)) AS BIGINT)] AS p95 FROM v""")
 def job_statistics(spark, d):
-    jobs = orders(spark, d).select(F.col("o_orderpriority").alias("queue"), F.element_at(F.create_map(*map(F.lit, ("F", "done", "P", "failed", "O", "queued"))), F.col("o_orderstatus")).alias("state"), (KEY % 3 + 1).alias("attempts"), PRICE.alias("seconds"))
+    jobs = orders(spark, d).select(F.col("o_orderpriority").alias("queue"), F.element_at(F.create_map(*map(F.lit, ("F", "done", "P", "failed", "O", "queued"))), F.col("o_orderstatus")).alias("state"), (order_key() % 3 + 1).alias("attempts"), order_price().alias("seconds"))
     return accounts.job_statistics(jobs).withColumn("retried", F.round("retried", 6))
 
 
 # --- endpoints --------------------------------------------------------------------------------------------------------------
 @query("""SELECT o_custkey AS opportunity_id, CAST(min(p) AS BIGINT) AS least, CAST(max(p) AS BIGINT) AS most, CAST(arg_max(p, (o_orderdate, o_orderkey)) AS BIGINT) AS latest, count(*) AS n FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) GROUP BY 1""")
 def card_budget_trajectory(spark, d):
-    sig = orders(spark, d).select(CUST.alias("opportunity_id"), F.floor(PRICE).alias("budget_krw"), F.col("o_orderdate").alias("observed_at"), KEY.alias("id"))
+    sig = orders(spark, d).select(customer_key().alias("opportunity_id"), F.floor(order_price()).alias("budget_krw"), F.col("o_orderdate").alias("observed_at"), order_key().alias("id"))
     return endpoints.budget_trajectory(sig)
 
 
 @query("""WITH f AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC)[1:8] AS h, arg_max(o_orderpriority, (o_totalprice, o_orderkey)) AS q FROM orders GROUP BY 1)
 SELECT o_custkey AS opportunity_id, array_to_string(h, '|') AS history, q AS best_quote FROM f""")
 def card_brief_facts(spark, d):
-    sig = orders(spark, d).select(CUST.alias("opportunity_id"), F.col("o_orderdate").alias("observed_at"), KEY.alias("id"), F.lit("x").alias("stage"), F.lit("t").alias("title"), F.col("o_orderpriority").alias("quote"), PRICE.alias("quote_score"))
+    sig = orders(spark, d).select(customer_key().alias("opportunity_id"), F.col("o_orderdate").alias("observed_at"), order_key().alias("id"), F.lit("x").alias("stage"), F.lit("t").alias("title"), F.col("o_orderpriority").alias("quote"), order_price().alias("quote_score"))
     return market.brief_facts(sig).select("opportunity_id", F.array_join(F.transform("history", lambda h: s(h["id"])), "|").alias("history"), "best_quote")
 
 
 @query("""SELECT o_custkey AS org_id, o_orderkey AS opportunity_id, CASE WHEN o_orderkey % 3 = 0 THEN 'relevant' WHEN o_orderkey % 2 = 0 THEN 'dismissed' END AS feedback, NOT (o_orderkey % 2 = 0 AND o_orderkey % 3 > 0) AS visible FROM orders""")
 def card_feedback(spark, d):
     """Recommendations with the latest of their feedback events, and whether the feed shows them."""
-    rec = orders(spark, d).select(CUST.alias("org_id"), KEY.alias("opportunity_id"), F.lit(None).cast("string").alias("feedback"))
+    rec = orders(spark, d).select(customer_key().alias("org_id"), order_key().alias("opportunity_id"), F.lit(None).cast("string").alias("feedback"))
     at = lambda n: F.lit(f"2026-01-0{n}").cast("timestamp")
     first = rec.filter(F.col("opportunity_id") % 2 == 0).select("org_id", "opportunity_id", F.lit("dismissed").alias("feedback"), at(1).alias("at"))
     then = rec.filter(F.col("opportunity_id") % 3 == 0).select("org_id", "opportunity_id", F.lit("relevant").alias("feedback"), at(2).alias("at"))
@@ -409,32 +423,32 @@ def admin_overview(spark, d):
     state = F.when(F.col("event_type") == "click", "done").when(F.col("event_type") == "error", "failed").otherwise("queued")
     return endpoints.overview(
         docs, table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").alias("triaged")), orders(spark, d).select(F.when(F.col("o_orderstatus") == "F", "accepted").alias("verdict")),
-        table(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "open").otherwise("closed").alias("status")), part(spark, d).select(F.when(SIZE < 10, "open").otherwise("done").alias("status")),
+        table(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "open").otherwise("closed").alias("status")), part(spark, d).select(F.when(part_size() < 10, "open").otherwise("done").alias("status")),
         table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("finished_at"), state.alias("state")), F.lit("2024-01-20").cast("timestamp"),
     )
 
 
 @query("""SELECT o_orderkey AS review_id, o_custkey AS id, c_name AS context FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 50""")
 def admin_review_queue(spark, d):
-    rev = orders(spark, d).select(KEY.alias("review_id"), CUST.alias("signal_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"))
+    rev = orders(spark, d).select(order_key().alias("review_id"), customer_key().alias("signal_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"))
     c = table(spark, d, "customer")
     return endpoints.review_queue(rev, c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("chunk_id")), c.select(F.col("c_custkey").alias("chunk_id"), F.col("c_name").alias("text"))).select("review_id", "id", "context")
 
 
 @query("SELECT o_orderkey AS document_id FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 200")
 def admin_pending_sweep(spark, d):
-    docs = orders(spark, d).select(KEY.alias("document_id"), F.col("o_orderdate").alias("published_at"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("parse_status"))
+    docs = orders(spark, d).select(order_key().alias("document_id"), F.col("o_orderdate").alias("published_at"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("parse_status"))
     return endpoints.pending_documents(docs).select("document_id")
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_custkey = 7 AND o_orderkey < 100000 ORDER BY o_orderkey DESC LIMIT 31")
 def account_latest_entries(spark, d):
-    return endpoints.own_page(orders(spark, d).select(CUST.alias("org_id"), KEY.alias("id")), 7, "id", 30, 100000).select("id")
+    return endpoints.own_page(orders(spark, d).select(customer_key().alias("org_id"), order_key().alias("id")), 7, "id", 30, 100000).select("id")
 
 
 @query("""SELECT o_orderkey AS id FROM orders WHERE o_custkey % 3 = 1 AND o_orderkey % 4 = 0 AND o_orderkey < 5000 ORDER BY o_orderkey DESC LIMIT 21""")
 def account_root_jobs(spark, d):
-    jobs = orders(spark, d).select(KEY.alias("id"), (CUST % 3).alias("org_id"), F.when(KEY % 4 > 0, KEY - 1).alias("parent_id"))
+    jobs = orders(spark, d).select(order_key().alias("id"), (customer_key() % 3).alias("org_id"), F.when(order_key() % 4 > 0, order_key() - 1).alias("parent_id"))
     return endpoints.root_jobs(jobs, 1, 20, 5000).select("id")
 
 
@@ -458,7 +472,7 @@ def model_comparison(spark, d):
 @query("""WITH m AS (SELECT o_orderkey AS id, o_orderstatus AS a, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS b, floor(o_totalprice) AS v FROM orders WHERE o_orderkey % 4 > 0)
 SELECT count(*) AS hits, round(avg((a = b)::INT), 4) AS category, round(avg((id % 3 > 0)::INT), 4) AS budget, round(count(*) / (SELECT count(*) FROM orders), 4) AS precision FROM m""")
 def extraction_scores(spark, d):
-    g = orders(spark, d).select(KEY.alias("gold_id"), F.col("o_orderstatus").alias("category"), F.lit("c").alias("commitment"), F.floor(PRICE).alias("budget_krw"), F.lit(2026).alias("expected_year"))
+    g = orders(spark, d).select(order_key().alias("gold_id"), F.col("o_orderstatus").alias("category"), F.lit("c").alias("commitment"), F.floor(order_price()).alias("budget_krw"), F.lit(2026).alias("expected_year"))
     p = g.select(F.col("gold_id").alias("pred_id"), F.when(F.col("gold_id") % 5 == 0, "X").otherwise(F.col("category")).alias("category"), "commitment", F.when(F.col("gold_id") % 3 == 0, F.col("budget_krw") * 2).otherwise(F.col("budget_krw")).alias("budget_krw"), "expected_year")
     m = g.filter("gold_id % 4 > 0").select("gold_id", F.col("gold_id").alias("pred_id"))
     return endpoints.extraction_scores(m, g, p).select("hits", "category", "budget", "precision")
@@ -471,7 +485,7 @@ def row_digests(spark, d):
 
 @query("""SELECT o_orderkey AS id, sha256('{"title":"' || o_orderpriority || '","stage":"' || o_orderstatus || '","refs":["' || o_custkey || '"]}') AS stable_key FROM orders""")
 def stable_signal_keys(spark, d):
-    return orders(spark, d).select(KEY.alias("id"), reviews.canonical_key(title=F.col("o_orderpriority"), stage=F.col("o_orderstatus"), refs=F.array(s(CUST)), missing=F.lit(None).cast("string")).alias("stable_key"))
+    return orders(spark, d).select(order_key().alias("id"), reviews.canonical_key(title=F.col("o_orderpriority"), stage=F.col("o_orderstatus"), refs=F.array(s(customer_key())), missing=F.lit(None).cast("string")).alias("stable_key"))
 
 
 @query("""SELECT doc_id, 'a=' || doc_id || '|b=new|c=3' AS properties FROM documents""")
@@ -489,6 +503,6 @@ def duplicate_keys(spark, d):
 
 @query("SELECT p_partkey, [0, 3, 40, 150][CAST(p_partkey % 4 AS INTEGER) + 1]::INTEGER AS wanted FROM part WHERE p_partkey % 4 = 1")
 def plan_limits(spark, d):
-    p = part(spark, d).filter(PART % 4 == 1)
+    p = part(spark, d).filter(part_key() % 4 == 1)
     return p.select("p_partkey", accounts.plan_credits(F.lit("free")).cast("int").alias("wanted"))
 
