@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from foretide.llm.common import numbered, stored
 
 #: Bounds of the matrix: 2,048 x 2,048 counts are 4 M longs on the driver; a block holds at least BLOCK_ROWS rows
-#: unless the table is smaller, and more where the table is larger.
-MOST_BLOCKS, BLOCK_ROWS, RUN_ROWS = 2048, 20_000, 100_000
+#: unless the table is smaller, and more where the table is larger: then it is permuted in runs of about RUN_ROWS.
+MOST_BLOCKS, BLOCK_ROWS, RUN_ROWS, MOST_BROADCAST = 2048, 5_000, 20_000, 200_000
 #: ``monotonically_increasing_id``: the partition stands above, the row's place in it below.
 PLACE_BITS = 33
 
@@ -140,7 +140,9 @@ def placed(rows: DataFrame, rid: str, shards: int, seed: int) -> DataFrame:
         counts = stored(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "shard-runs")
         first = counts.join(of, "__block").select("__block", "__run", "shard", (F.col("__start") + F.col("before")).alias("__start"))
     w = Window.partitionBy("__block", "__run").orderBy(number, rid)
-    out = dealt.withColumn("__nth", F.row_number().over(w)).join(F.broadcast(first), ["__block", "__run"])  # a row for each block's run
+    # A row for each block's run; broadcast only while they are few.
+    first = F.broadcast(first) if len(blocks) * runs <= MOST_BROADCAST else first
+    out = dealt.withColumn("__nth", F.row_number().over(w)).join(first, ["__block", "__run"])
     return out.withColumn("slot", F.col("__start") + F.col("__nth") - 1).drop("__block", "__run", "__nth", "__start")
 
 
