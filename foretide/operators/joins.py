@@ -6,14 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, take: list[str], lead: str | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, take: list[str], lead: str | None = None, bucket: str | None = None) -> DataFrame:
     """``left`` with the columns ``take`` of the latest ``right`` row of its key at or before ``left_at`` (plus the
-    interval ``lead``): one union and one window, no row pairs. Ties of ``right`` go to the greatest ``take``."""
+    interval ``lead``): one union and one window, no row pairs. Ties of ``right`` go to the greatest ``take``; null keys
+    and null times meet nothing.
+
+    ``bucket`` (a unit of ``date_trunc``) cuts the rows of a key by time, so that no key is one task: of each bucket the
+    last ``right`` row is found by partial aggregation, and the last one of the buckets before is put at its start."""
     at = F.expr(f"{left_at} + interval {lead}") if lead else F.col(left_at)
     rows = left.select(F.col(key).alias("__k"), at.alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).alias("__r"))
-    other = right.select(F.col(key).alias("__k"), F.col(right_at).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(*take).alias("__r"))
-    order = Window.partitionBy("__k").orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
-    out = other.unionByName(rows).withColumn("__r", F.last("__r", ignorenulls=True).over(order)).filter("__side = 1")
+    known = right.filter(F.col(key).isNotNull() & F.col(right_at).isNotNull())
+    other = known.select(F.col(key).alias("__k"), F.col(right_at).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(*take).alias("__r"))
+    both, parts = other.unionByName(rows), ["__k"]
+    if bucket:
+        parts = ["__k", "__b"]
+        both = both.withColumn("__b", F.date_trunc(bucket, F.col("__t")))
+        last = F.max(F.when(F.col("__side") == 0, F.struct("__t", "__r"))).alias("__e")
+        earlier = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = both.groupBy(*parts).agg(last).withColumn("__e", F.last("__e", ignorenulls=True).over(earlier)).filter("__e is not null")
+        both = both.unionByName(carried.select("__k", "__e.__t", F.lit(0).alias("__side"), F.lit(None).alias("__l"), "__e.__r", "__b"))
+    order = Window.partitionBy(*parts).orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__r", F.last("__r", ignorenulls=True).over(order)).filter("__side = 1")
     return out.select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in take])
 
 

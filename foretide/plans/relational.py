@@ -127,7 +127,7 @@ def join_asof(spark, d):
     ev = table(spark, d, "events")
     buys = ev.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     ups = ev.filter("event_type = 'signup'").select("user_id", "ts", F.col("ts").alias("signup_ts"), F.col("value").alias("signup_value"))
-    out = joins.asof(buys, ups, "user_id", "ts", "ts", ["signup_ts", "signup_value"])
+    out = joins.asof(buys, ups, "user_id", "ts", "ts", ["signup_ts", "signup_value"], bucket="week")
     return out.filter("signup_ts is not null").select("event_id", "user_id", "signup_ts", "signup_value")
 
 

@@ -384,6 +384,21 @@ def test_transcripts(spark):
     assert [(r["speaker"], r["start"], r["end"]) for r in runs] == [("A", 0, 1), (None, 2, 2), ("A", 3, 3), ("B", 4, 4)]
 
 
+def test_asof_cut_by_time_equals_brute_force(spark):
+    rng = random.Random(2)
+    at = lambda: dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randint(0, 4000)) if rng.random() < 0.95 else None
+    key = lambda: rng.choice([1, 1, 1, 1, 2, 3, None])
+    left, right = [(i, key(), at()) for i in range(150)], [(key(), at(), rng.randint(0, 5)) for _ in range(60)]
+    a, b = spark.createDataFrame(left, "id int, k int, t timestamp"), spark.createDataFrame(right, "k int, u timestamp, v int")
+    want = {}
+    for i, k, t in left:
+        found = [(u, v) for rk, u, v in right if k is not None and t is not None and rk == k and u is not None and u <= t]
+        want[i] = max(found)[1] if found else None
+    for bucket in (None, "day", "week", "month"):
+        assert {r["id"]: r["v"] for r in rows(joins.asof(a, b, "k", "t", "u", ["v"], bucket=bucket))} == want
+    assert not rows(joins.asof(a.filter("false"), b, "k", "t", "u", ["v"], bucket="day"))
+
+
 def test_interval_join_equals_all_pairs(spark):
     rng = random.Random(2)
     a, b = ([(k, i, s, s + rng.randrange(1, 60)) for i in range(40) for k, s in [(rng.randrange(3), rng.randrange(300))]] for _ in range(2))
