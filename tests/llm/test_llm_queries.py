@@ -14,7 +14,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
@@ -44,6 +44,8 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, kind):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     items = [(1, data[5][1]), (2, None), (None, "")] if data else []
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    vectors = [(i, [float(i % 7), float(i % 5)]) for i in range(60)] if data else []
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
@@ -53,6 +55,8 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, kind):
         assert bool(out.count()) == bool(data)
         docs = out
     for name in queries.QUERIES:
-        if name != "op7_decontamination":
+        if name not in ("op7_decontamination", "op11_lexical_search", "op13_whitening"):
             n = queries.QUERIES[name](spark, sf).count()
             assert n == len(data), name
+    assert queries.QUERIES["op11_lexical_search"](spark, sf).count() == (10 if data else 0)
+    assert queries.QUERIES["op13_whitening"](spark, sf).count() == 2 * len(vectors)
