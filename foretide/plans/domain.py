@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretide.constants import STAGES
-from foretide.operators import backtest, evaluation, governance, grounding, link, market, retrospective
+from foretide.operators import backtest, evaluation, governance, grounding, link, market, partition, retrospective
 from foretide.plans import entities
 from foretide.plans.registry import registry
 from foretide.sources.tables import table
@@ -38,9 +38,31 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def projects(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as one signal of its customer, with what linking looks at: titles of its least part, plan and notice
+    numbers, notices that are withdrawn, departments and books of budget rows, vectors of most parts."""
+    first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("pk"))
+    o = table(spark, d, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), F.col("pk") == F.col("p_partkey"))
+    k, p = F.col("o_orderkey"), F.col("pk")
+    stage = F.element_at(F.array(*[F.lit(x) for x in STAGES]), (k % 6 + 1).cast("int"))
+    text = lambda c: c.cast("string")
+    number = F.concat(F.lit("B"), text(p % 2))
+    return o.select(
+        k.alias("id"), text(F.col("o_custkey")).alias("institution"), (k % 20).alias("document_id"), stage.alias("stage"), F.to_date("o_orderdate").alias("observed_at"), F.col("p_name").alias("title"),
+        F.lower(F.split("p_type", " ")[0]).alias("category"), F.when(k % 4 > 0, F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (p % 3 + 1).cast("int"))).alias("department"),
+        F.when(k % 5 > 0, F.floor(F.col("o_totalprice") / 1000)).cast("long").alias("budget_krw"), F.when(stage == "council_mention", "planned").alias("commitment"), F.lit(None).cast("int").alias("expected_year"),
+        F.lit(None).cast("string").alias("expected_half"), F.split("p_name", " ").alias("keywords"),
+        F.struct(
+            F.when(k % 9 == 0, F.concat(F.lit("P"), text(k % 2))).alias("order_plan_no"), F.lit(None).cast("string").alias("prespec_no"), F.when((stage == "bid_notice") & (p % 3 > 0), number).alias("bid_notice_no"),
+            F.array().cast("array<string>").alias("bid_notice_nos"), F.when((stage == "bid_notice") & (p % 3 == 0), number).alias("cancels_bid_notice_no"),
+        ).alias("refs"),
+        F.when(p % 4 > 0, F.array(F.lit(1.0), p % 7 / F.lit(2.0), p % 5 / F.lit(2.0), -(p % 3).cast("double"))).alias("embedding"), F.sha2(text(k), 256).alias("stable_key"),
+    )
+
+
 def linked(spark: SparkSession, d: str) -> DataFrame:
-    s = signals(spark, d)
-    return s.join(link.canonical_partition(s).select("id", "group_key"), "id")
+    s = projects(spark, d)
+    return s.join(partition.canonical_partition(s).select("id", "group_key"), "id")
 
 
 def opportunities(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +72,7 @@ def opportunities(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def link_partition(spark, d):
-    return link.canonical_partition(signals(spark, d))
+    return partition.canonical_partition(projects(spark, d))
 
 
 @query()

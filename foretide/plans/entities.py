@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretide.constants import STAGES
-from foretide.operators import backtest, evaluation, governance, joins, link, market, media, resolve, retrospective, reviews
+from foretide.operators import backtest, evaluation, governance, joins, link, market, media, partition, resolve, retrospective, reviews
 from foretide.plans.records import customer_key, order_day, order_key, order_price
 from foretide.plans.registry import registry
 from foretide.plans.scalars import pick, s, sql_pick
@@ -71,16 +71,17 @@ SELECT id, inst || ':' || CASE WHEN plan IS NULL THEN k ELSE first_value(k) OVER
   CASE WHEN plan IS NOT NULL AND row_number() OVER (PARTITION BY inst, coalesce(plan, k) ORDER BY dt, k) > 1 THEN 'ref' ELSE 'seed' END AS method FROM r""")
 def link_by_reference(spark, d):
     """The partition where only reference numbers link: no similarity reaches the threshold."""
-    return link.canonical_partition(signals(spark, d), threshold=9.0).select("id", "group_key", "method")
+    return partition.canonical_partition(signals(spark, d), threshold=9.0).select("id", "group_key", "method")
 
 
-@query("SELECT 0::BIGINT AS differing, (SELECT count(*) FROM orders) AS signals")
+@query(ORACLE_SQL["link_by_reference"].replace("SELECT id, inst ||", "SELECT v.arrival, id, inst ||").replace("AS method FROM r", "AS method FROM r, (VALUES ('publication'), ('reverse'), ('budget_first')) v(arrival)"))
 def link_arrival_orders(spark, d):
-    """How many signals are grouped differently when they arrive in another order."""
-    sig = signals(spark, d)
-    found = [link.canonical_partition(x).select("id", F.col("group_key").alias(n)) for n, x in link.arrival_orders(sig).items()]
-    j = found[0].join(found[1], "id").join(found[2], "id")
-    return j.agg(F.count_if((F.col("publication") != F.col("reverse")) | (F.col("publication") != F.col("budget_first"))).alias("differing"), F.count("*").alias("signals"))
+    """Signals arrive in two deliveries, in three orders; each delivery is linked from where the one before has ended."""
+    out = None
+    for name, found in partition.replayed(signals(spark, d), threshold=9.0).items():
+        found = found.select(F.lit(name).alias("arrival"), "id", "group_key", "method")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("""WITH r AS (SELECT o_orderkey AS id, o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 'P' || o_orderkey % 4 ELSE 'B' || o_orderkey END AS v FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 6 = 4), m AS (SELECT DISTINCT c, v, (id % 7) AS g FROM r WHERE id % 2 = 0), j AS (SELECT DISTINCT r.id, m.g FROM r JOIN m USING (c, v))

@@ -3,13 +3,11 @@
 import datetime as dt
 import itertools
 import random
-from types import SimpleNamespace
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foretide.operators import accounts, backtest, evaluation, fuzzy, governance, graph, grounding, ingest, joins, link, market, media, ranking, resolve, retrospective
+from foretide.operators import accounts, backtest, evaluation, fuzzy, governance, graph, grounding, ingest, joins, link, market, media, partition, ranking, resolve, retrospective
 from foretide.sources import html, minutes, procurement, readers, world
 
 D = dt.date
@@ -91,12 +89,12 @@ def test_partition_finds_the_projects_and_ignores_order(spark):
     for t in world.truths(owners=3, projects=5):
         truth[t["truth"]] = t
     df = spark.createDataFrame(data, link.SIGNAL)
-    first = {r["id"]: r["group_key"] for r in rows(link.canonical_partition(df))}
+    first = {r["id"]: r["group_key"] for r in rows(partition.canonical_partition(df))}
     assert len(first) == len(data)
     for seed in range(2):
         shuffled = list(data)
         random.Random(seed).shuffle(shuffled)
-        again = {r["id"]: r["group_key"] for r in rows(link.canonical_partition(spark.createDataFrame(shuffled, link.SIGNAL).repartition(3)))}
+        again = {r["id"]: r["group_key"] for r in rows(partition.canonical_partition(spark.createDataFrame(shuffled, link.SIGNAL).repartition(3)))}
         assert again == first
     groups = {}
     for i, g in first.items():
@@ -112,7 +110,7 @@ def signal(i, stage, at, title="중앙공원 정비", refs=None, **more):
 
 def grouped(spark, *signals):
     out = {}
-    for r in rows(link.canonical_partition(spark.createDataFrame(list(signals), link.SIGNAL))):
+    for r in rows(partition.canonical_partition(spark.createDataFrame(list(signals), link.SIGNAL))):
         out.setdefault(r["group_key"], set()).add(r["id"])
     return sorted(map(sorted, out.values()))
 
@@ -134,47 +132,6 @@ def test_conflicting_numbers_and_same_book_rows_stay_apart(spark):
     assert grouped(spark, *sites) == [[1], [2]]
 
 
-def test_running_summaries_equal_those_of_all_members():
-    """Groups are added to in any order; cancellations withdraw tenders that are members already."""
-    rng = random.Random(5)
-    for _ in range(200):
-        g, members = link._Group(0), []
-        for i in range(rng.randint(1, 9)):
-            no = f"B{rng.randint(1, 2)}"
-            cancels = rng.random() < 0.2
-            m = SimpleNamespace(
-                stage="bid_notice" if cancels else rng.choice(list(link.STAGE)), observed_at=D(2026, 1, rng.randint(1, 5)), stable_key=f"k{i}", t=f"t{i}", category=rng.choice(["a", "b", "other"]),
-                budget_krw=rng.choice([None, 5, 7]), embedding=rng.choice([None, np.array([float(i), 1.0])]), refs={"cancels_bid_notice_no": no} if cancels else {"bid_notice_no": no},
-            )
-            g.add(m)
-            members.append(m)
-            taken = sorted(members, key=lambda x: (x.observed_at, x.stable_key))
-            live, _ = link.live_members(taken)
-            staged = sorted(live or taken, key=lambda x: (link.STAGE[x.stage], x.observed_at, x.stable_key))
-            named = [x.category for x in taken if x.category != "other"]
-            out = [x.observed_at for x in live if x.stage in ("bid_notice", "award")]
-            assert (g.members, g.first, g.last) == (taken, taken[0].observed_at, taken[-1].observed_at)
-            assert (g.stage, g.title) == (staged[-1].stage, staged[-1].t)
-            assert g.category == (max(named, key=lambda c: (named.count(c), -named.index(c))) if named else staged[-1].category)
-            assert g.budget == next((x.budget_krw for x in reversed(staged) if x.budget_krw), None)
-            assert g.published == (min(out) if out else None if live else taken[0].observed_at)
-            vectors = [x.embedding for x in taken if x.embedding is not None]
-            assert np.allclose(g.vector, np.mean(vectors, axis=0)) if vectors else g.vector is None
-
-
-def test_owners_of_any_size_in_batches_of_any_size(spark):
-    """Institutions that go over the ends of Arrow batches are partitioned whole; a number reaches a group that dates do not."""
-    many = [signal(i, "council_mention", D(2020, 1, 1), f"사업 {i}", institution=f"I{i % 7}") for i in range(50)]
-    far = [signal(101, "order_plan", D(2010, 1, 1), refs={"order_plan_no": "P9"}, institution="I3"), signal(102, "prespec", D(2025, 1, 1), "다른 이름", refs={"order_plan_no": "P9"}, institution="I3")]
-    default = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-        small = grouped(spark, *many, *far)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
-    assert small == grouped(spark, *many, *far) and [101, 102] in small and sum(map(len, small)) == 52
-
-
 def summary(spark, today, *signals):
     df = spark.createDataFrame(list(signals), link.SIGNAL).withColumn("group_key", F.lit("g"))
     return rows(link.summaries(df, today))[0]
