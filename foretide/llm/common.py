@@ -45,13 +45,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, longer by underscores until no column has it, in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """(``df`` stored with a row number, the number's name, which no column of ``df`` has). The number is written with
     the rows: ids made while reading depend on how files are split, which follows the executors that are alive, so
     they may differ from one scan to the next."""
-    name = "row_number"
-    while name in df.columns:
-        name += "_"
+    name = free_name(df.columns, "row_number")
     return stored(df.withColumn(name, F.monotonically_increasing_id()), label), name
 
 

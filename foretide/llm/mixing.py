@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretide.llm.common import hex_rank, n_words, numbered, stored
+from foretide.llm.common import WORD, free_name, hex_rank, n_words, numbered, stored
 
 #: Documents of a block and most blocks of a source; rows of an output shard, least and most output shards (the quota
 #: table has sources x shards); documents that the rounding of a source's last block looks at.
@@ -169,7 +169,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Defined cases: as for ``mix``; extra columns of any name are passed on."""
     docs, rid = numbered(docs, "mix-docs")
-    shard, slot = f"{rid}_shard", f"{rid}_slot"
+    shard, slot = free_name(docs.columns, "out_shard"), free_name(docs.columns, "out_slot")
     _, draws = mix(docs, rid=rid)
     draws = stored(draws.select(F.col("rid").alias(rid), F.col("out_shard").alias(shard), F.col("out_slot").alias(slot)), "mix-draws")
     most = draws.agg(F.max(shard).alias("shard"), F.max(slot).alias("slot")).first()
@@ -199,8 +199,7 @@ def mix_sql(seed: int = 6) -> str:
     rank = lambda *x: f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(x)})), 1, 15) AS BIGINT)"
     return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS key, source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS BIGINT) AS size FROM documents),
+    CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY key, source),
 w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INTEGER)] AS weight, 3.0::DOUBLE * source_size AS most FROM s),
 l AS (SELECT *, most / weight AS ratio, ((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER o, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0)) AS level

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretide.llm.common import numbered, stored
+from foretide.llm.common import free_name, numbered, stored
 
 #: Bounds of the matrix: 2,048 x 2,048 counts are 4 M longs on the driver; a block holds at least BLOCK_ROWS rows
 #: unless the table is smaller, and more where the table is larger: then it is permuted in runs of about RUN_ROWS.
@@ -80,8 +80,8 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
-def deal(rows: DataFrame, rid: str, shards: int, seed: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """(``rows`` with ``__block``, blocks as (shard, size)): the communication matrix and the permutation within each
+def deal(rows: DataFrame, rid: str, shards: int, seed: int, name: str = "block") -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(``rows`` with a column ``name`` for the block, blocks as (shard, size)): the communication matrix and the permutation within each
     partition. ``rid`` is the stored row number; partitions are gathered into at most MOST_BLOCKS, so that the matrix
     stays bounded. Nothing is shuffled."""
     import pyarrow as pa
@@ -97,8 +97,6 @@ def deal(rows: DataFrame, rid: str, shards: int, seed: int) -> tuple[DataFrame,
     blocks = [(s, size) for s, n in enumerate(shard_sizes(sum(have), shards)) for size in shard_sizes(n, per)]
     matrix = np.cumsum(communication_matrix(have, [n for _, n in blocks], seed), axis=1)
     shared = rows.sparkSession.sparkContext.broadcast((offset, have, matrix))  # at most 4 M longs, and three a partition
-    name = "__block"
-
     def run(batches):
         offset, have, matrix = shared.value
         order: dict[int, np.ndarray] = {}
@@ -119,7 +117,8 @@ def deal(rows: DataFrame, rid: str, shards: int, seed: int) -> tuple[DataFrame,
 
 def placed(rows: DataFrame, rid: str, shards: int, seed: int) -> DataFrame:
     """``rows`` with shard and slot. One exchange, by block and run; a run's first slot comes from the runs' counts."""
-    dealt, blocks = deal(rows, rid, shards, seed)
+    block, run, nth, start = (free_name(rows.columns, c) for c in ("block", "run", "nth", "start"))
+    dealt, blocks = deal(rows, rid, shards, seed, block)
     starts, at, last = [], 0, 0
     for s, n in blocks:
         at = at if s == last else 0
@@ -127,23 +126,23 @@ def placed(rows: DataFrame, rid: str, shards: int, seed: int) -> DataFrame:
         at, last = at + n, s
     runs = max(1, -(-max((n for _, n in blocks), default=0) // RUN_ROWS))
     number = F.xxhash64(F.lit(seed + 1), rid)
-    run = F.floor(F.shiftrightunsigned(number, 33) * runs / (1 << 31)).cast("int")
-    dealt = dealt.withColumn("__run", run)
+    of_run = F.floor(F.shiftrightunsigned(number, 33) * runs / (1 << 31)).cast("int")
+    dealt = dealt.withColumn(run, of_run)
     spark = rows.sparkSession
-    of = spark.createDataFrame([(i, s, a) for i, ((s, _), a) in enumerate(zip(blocks, starts, strict=True))], "__block int, shard int, __start long")
+    of = spark.createDataFrame([(i, s, a) for i, ((s, _), a) in enumerate(zip(blocks, starts, strict=True))], f"{block} int, shard int, {start} long")
     if runs == 1:
-        first = of.withColumn("__run", F.lit(0))
+        first = of.withColumn(run, F.lit(0))
     else:
         # Counted from the row numbers alone.
-        counts = deal(rows.select(rid), rid, shards, seed)[0].withColumn("__run", run).groupBy("__block", "__run").agg(F.count("*").alias("n"))
-        before = Window.partitionBy("__block").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+        counts = deal(rows.select(rid), rid, shards, seed, block)[0].withColumn(run, of_run).groupBy(block, run).agg(F.count("*").alias("n"))
+        before = Window.partitionBy(block).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
         counts = stored(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "shard-runs")
-        first = counts.join(of, "__block").select("__block", "__run", "shard", (F.col("__start") + F.col("before")).alias("__start"))
-    w = Window.partitionBy("__block", "__run").orderBy(number, rid)
+        first = counts.join(of, block).select(block, run, "shard", (F.col(start) + F.col("before")).alias(start))
+    w = Window.partitionBy(block, run).orderBy(number, rid)
     # A row for each block's run; broadcast only while they are few.
     first = F.broadcast(first) if len(blocks) * runs <= MOST_BROADCAST else first
-    out = dealt.withColumn("__nth", F.row_number().over(w)).join(first, ["__block", "__run"])
-    return out.withColumn("slot", F.col("__start") + F.col("__nth") - 1).drop("__block", "__run", "__nth", "__start")
+    out = dealt.withColumn(nth, F.row_number().over(w)).join(first, [block, run])
+    return out.withColumn("slot", F.col(start) + F.col(nth) - 1).drop(block, run, nth, start)
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -157,14 +156,11 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20, text: str = "text",
 def sharded(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
     """The rows of ``docs`` themselves, all columns, with shard and slot (out_shard and out_slot where ``docs`` has
     columns of these names). Texts move once."""
-    own = [c for c in docs.columns if c in ("shard", "slot")]
-    for c in own:
-        docs = docs.withColumnRenamed(c, f"__own_{c}")
-    rows, rid = numbered(docs, "shard-docs")
-    out = placed(rows, rid, shards, seed).drop(rid)
-    for c in own:
-        out = out.withColumnRenamed(c, f"out_{c}").withColumnRenamed(f"__own_{c}", c)
-    return out
+    own = {c: free_name(docs.columns, f"own_{c}") for c in docs.columns if c.lower() in ("shard", "slot")}
+    new = {c: c if c not in {x.lower() for x in own} else free_name(docs.columns, f"out_{c}") for c in ("shard", "slot")}
+    rows, rid = numbered(docs.withColumnsRenamed(own), "shard-docs")
+    out = placed(rows, rid, shards, seed).drop(rid).withColumnsRenamed(new)
+    return out.withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:

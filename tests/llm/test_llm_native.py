@@ -252,3 +252,30 @@ def test_stored_tables_can_be_cleared(spark):
     df = common.stored(frame(spark), "t")
     assert df.count() == len(rows()) and df.columns == frame(spark).columns
     assert common.clear(spark) == 1 and common.clear(spark) == 0
+
+
+@pytest.mark.parametrize("most", [100_000, 7])
+def test_columns_of_the_operators_own_names_come_through(spark, monkeypatch, most):
+    """Names that sharding and mixing use themselves, in any letter case, with the rows' own values."""
+    monkeypatch.setattr(sharding, "RUN_ROWS", most)
+    names = ["__block", "__run", "__nth", "__start", "row_number_shard", "row_number", "Block", "run", "nth", "start", "own_shard", "Slot", "out_shard", "out_slot", "rid", "before", "n"]
+    docs = frame(spark, rows(60)).drop("shard")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in names if c != "rid"})
+    for out in (sharding.sharded(docs), mixing.mixed(docs)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        for r in out.select(docs.columns).collect():
+            assert all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for c in names if c != "rid")
+    out = sharding.sharded(docs)
+    assert len(out.columns) == len(docs.columns) + 2 and collections.Counter(map(str, collected(out.select(docs.columns)))) == collections.Counter(map(str, collected(docs)))
+
+
+def test_the_sql_of_the_mix_counts_words_by_all_six_blanks(spark, tmp_path):
+    import duckdb
+
+    data = [(i, f"a{c}b{c}{c}c", "en", f"s{i % 2}", 3, *["?"] * 8) for i, c in enumerate(" \t\n\x0b\x0c\r\x1f\x85")] + [(8, None, "en", "s0", 0, *["?"] * 8)]
+    frame(spark, data, 1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.OP6_SQL).fetchall()
+    got = mixing.op6_mixing(spark, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken", "copies").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r["doc_id"]: r["size"] for r in got} == {**dict.fromkeys(range(6), 3), 6: 1, 7: 1, 8: 0}
