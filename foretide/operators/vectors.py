@@ -1,15 +1,27 @@
-"""Exact nearest neighbours of a stated set of query vectors against all rows, in blocks of queries."""
+"""Nearest neighbours by cosine of a stated set of query vectors: exact, against all rows in blocks of queries, or by a
+partitioned index that looks at some inverted lists only, as many as a measured recall asks for.
+
+Defined cases: null vectors are nobody's neighbours and ask for none; vectors without length have similarity 0; ids are
+whole numbers, ties go to the smaller one; repeated rows are neighbours of their own."""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretide.operators.ranking import top_k
+from foretide.sources.shared import stored
 
-#: Bytes of query vectors that are broadcast at a time; each block is one pass over the rows.
-BLOCK_BYTES = 16 << 20
+#: Bytes of query vectors that are broadcast at a time; each block is one pass over the rows. Bytes of similarities that a
+#: task holds at a time: rows of a batch are taken in pieces.
+BLOCK_BYTES, PIECE_BYTES = 16 << 20, 64 << 20
+#: Index: rows that centroids are trained on for each list, most lists, rows and queries of a task's group, the recall that
+#: the number of probed lists has to reach, on so many queries.
+TRAINING, MOST_LISTS, LIST_ROWS, QUERY_ROWS, RECALL, MEASURED = 64, 4096, 50_000, 2_000, 0.95, 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -18,6 +30,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def matrix(column) -> np.ndarray:
+    """An Arrow list column without nulls as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def merged(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best (similarity, id) of each query among those so far and the new ones."""
+    s = s if digits is None else np.round(s, digits)
+    if s.shape[1] > 4 * k:  # only what reaches the k-th best can stay
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        some = (s >= least[:, None]).any(axis=0)
+        s, ids = s[:, some], ids[some]
+    best_s = np.concatenate((best_s, s), axis=1)
+    best_i = np.concatenate((best_i, np.broadcast_to(ids, s.shape)), axis=1)
+    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
+    return np.take_along_axis(best_s, order, axis=1), np.take_along_axis(best_i, order, axis=1)
+
+
 def blocks(queries: DataFrame):
     """(ids, unit vectors) of the queries (query_id, vector), block by block; only their number and width are asked for
     first, and a block is about BLOCK_BYTES at most."""
@@ -49,13 +79,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, digits: int | None = 6)
             for b in batches:
                 if not b.num_rows:
                     continue
-                flat = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                s = vectors @ unit(flat).T
-                s = s if digits is None else np.round(s, digits)
-                best_s = np.concatenate((best_s, s), axis=1)
-                best_i = np.concatenate((best_i, np.broadcast_to(b.column("id").to_numpy(), s.shape)), axis=1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, axis=1), np.take_along_axis(best_i, order, axis=1)
+                flat = unit(matrix(b.column("vector")))
+                own = b.column("id").to_numpy()
+                step = max(1, PIECE_BYTES // (8 * len(ids)))
+                for at in range(0, len(flat), step):
+                    best_s, best_i = merged(best_s, best_i, vectors @ flat[at : at + step].T, own[at : at + step], k, digits)
             if best_s.shape[1]:
                 n = best_s.shape[1]
                 q = pa.array(np.repeat(np.arange(len(ids)), n))
@@ -69,3 +97,108 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, digits: int | None = 6)
     if found is None:
         return spark.createDataFrame([], f"{kinds}, rank int")
     return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+
+
+# --- index --------------------------------------------------------------------------------------------------------
+@dataclass
+class Index:
+    """Inverted lists: ``rows`` (id, vector, list) of every row, stored by list; unit centroids; how many lists a query
+    looks at."""
+
+    rows: DataFrame
+    centroids: np.ndarray
+    probes: int
+
+
+def _doubles(df: DataFrame, *names: str) -> DataFrame:
+    return df.filter("vector is not null").select(*names, F.transform("vector", lambda v: v.cast("double")).alias("vector"))
+
+
+def centroids(rows: DataFrame, lists: int, seed: int = 7) -> np.ndarray:
+    """Unit centroids of at most ``lists`` lists: k-means by cosine on about TRAINING rows a list, chosen by their id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    long = rows.filter(F.exists("vector", lambda v: v != 0))
+    share = min(1.0, lists * TRAINING / max(long.count(), 1))
+    sample = stored(long.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).select(array_to_vector("vector").alias("features")), "training")
+    if sample.isEmpty():
+        return np.zeros((0, 0))
+    found = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(sample)
+    return unit(np.array(found.clusterCenters()))
+
+
+def _ordered(df: DataFrame, c: np.ndarray, most: int, name: str) -> DataFrame:
+    """``df`` with the numbers of the ``most`` nearest centroids of ``vector``, nearest first."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    shared = df.sparkSession.sparkContext.broadcast(c)  # MOST_LISTS centroids at most
+
+    def near(batches):
+        for b in batches:
+            if b.num_rows:
+                x, step, out = unit(matrix(b.column("vector"))), max(1, PIECE_BYTES // (8 * len(c))), []
+                for at in range(0, len(x), step):
+                    out.append(np.argsort(-(x[at : at + step] @ shared.value.T), axis=1, kind="stable")[:, :most].astype(np.int32))
+                got = np.concatenate(out)
+                lists = pa.ListArray.from_arrays(np.arange(0, got.size + 1, got.shape[1], dtype=np.int32), pa.array(got.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, name])
+
+    return df.mapInArrow(near, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+
+
+def indexed(rows: DataFrame, k: int = 30, recall: float = RECALL, lists: int | None = None) -> Index:
+    """The index of all ``rows`` (id, vector), about one list for the root of their number. The number of lists to probe
+    is the least with a mean recall of ``recall`` on about MEASURED rows as queries, against their exact ``k`` nearest."""
+    own = stored(_doubles(rows, "id"), "vectors")
+    n = own.count()
+    c = centroids(own, lists or min(MOST_LISTS, max(2, math.isqrt(n)))) if n else np.zeros((0, 0))
+    if not len(c):
+        return Index(own.withColumn("list", F.lit(0)), np.zeros((1, 1)), 1)
+    listed = _ordered(own, c, 1, "l").select("id", "vector", F.get("l", 0).alias("list"))
+    listed = stored(listed.repartitionByRange(F.col("list"), F.xxhash64("id")).sortWithinPartitions("list"), "lists")
+    asked = own.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < min(1.0, MEASURED / n) * 1_000_000).withColumnRenamed("id", "query_id")
+    truth = nearest(own, asked, k).select("query_id", "id").join(listed.select("id", "list"), "id")
+    order = _ordered(asked, c, len(c), "near").select("query_id", F.posexplode("near").alias("place", "list"))
+    found = truth.join(order, ["query_id", "list"]).groupBy("place").agg(F.count("*").alias("n")).collect()  # one row a list at most
+    hits = np.zeros(len(c))
+    for r in found:
+        hits[r["place"]] = r["n"]
+    share = np.cumsum(hits) / max(hits.sum(), 1)
+    return Index(listed, c, int(np.searchsorted(share, recall - 1e-12) + 1) if hits.sum() else len(c))
+
+
+def probed(index: Index, queries: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
+    """(query_id, id, similarity, rank): the ``k`` best rows of the lists that each query (query_id, vector) looks at, their
+    similarities exact. A list meets its queries in groups of LIST_ROWS rows and QUERY_ROWS queries, so a list with a third
+    of all rows is many tasks' work, and no row is left out."""
+    import pyarrow as pa
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.rows.schema['id'].dataType.simpleString()}, similarity double"
+    queries = _doubles(queries, "query_id")
+    if index.centroids.shape[1] > 1 or len(index.centroids) > 1:
+        asked = _ordered(queries, index.centroids, index.probes, "l").select("query_id", "vector", F.explode("l").alias("list"))
+    else:
+        asked = queries.withColumn("list", F.lit(0))
+    asked = stored(asked, "probes")
+    parts = lambda df, name, most: df.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    plan = F.broadcast(parts(index.rows, "parts", LIST_ROWS).join(parts(asked, "turns", QUERY_ROWS), "list"))  # one row a list
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    rows = index.rows.join(plan, "list").select("list", own("id", "parts").alias("part"), spread("turns").alias("turn"), "id", "vector")
+    asked = asked.join(plan, "list").select("list", spread("parts").alias("part"), own("query_id", "turns").alias("turn"), "query_id", "vector")
+
+    def meet(left, right):
+        ids, q = left.column("id").to_numpy(), unit(matrix(right.column("vector").combine_chunks())) if right.num_rows else np.zeros((0, 1))
+        best_s, best_i = np.full((len(q), 0), -np.inf), np.empty((len(q), 0), dtype=np.int64)
+        if len(q) and len(ids):
+            x, step = unit(matrix(left.column("vector").combine_chunks())), max(1, PIECE_BYTES // (8 * len(q)))
+            for at in range(0, len(ids), step):
+                best_s, best_i = merged(best_s, best_i, q @ x[at : at + step].T, ids[at : at + step], k, digits)
+        of = pa.array(np.repeat(np.arange(len(q)), best_s.shape[1]))
+        return pa.Table.from_arrays([right.column("query_id").combine_chunks().take(of), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "similarity"])
+
+    key = ["list", "part", "turn"]
+    found = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, kinds)
+    return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)

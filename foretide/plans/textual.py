@@ -127,6 +127,29 @@ def vector_recall(spark, d):
     return truth.join(got, ["query_id", "id"], "left").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
+def _indexed(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return e, vectors.indexed(e)
+
+
+@query()
+def vector_index_top_k(spark, d):
+    """Each twentieth vector's thirty nearest among the inverted lists that it looks at."""
+    e, index = _indexed(spark, d)
+    out = vectors.probed(index, e.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 30)
+    return out.select("query_id", F.col("id").alias("vec_id"), "similarity", "rank")
+
+
+@query("SELECT count(*) AS queries, 30 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(spark, d):
+    """Of each twentieth vector's thirty nearest, the index finds nine tenths or more."""
+    e, index = _indexed(spark, d)
+    q = e.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    got = vectors.probed(index, q, 30).select("query_id", "id", F.lit(1).alias("hit"))
+    truth = vectors.nearest(e, q, 30).select("query_id", "id").join(got, ["query_id", "id"], "left")
+    return truth.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_totalprice <= 0 THEN '0원' ELSE concat_ws(' ', CASE WHEN v // 100000000 > 0 THEN format('{:,}', v // 100000000) || '억' END,
   CASE WHEN v % 100000000 // 10000 > 0 THEN format('{:,}', v % 100000000 // 10000) || '만' END, CASE WHEN v // 100000000 = 0 AND v % 10000 > 0 THEN format('{:,}', v % 10000) END) || '원' END AS shown
