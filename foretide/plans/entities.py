@@ -46,24 +46,44 @@ _SIGNALS = f"""g AS (SELECT o_orderkey AS id, o_custkey::VARCHAR AS inst, o_orde
 _LAG = "[[180, 540], [60, 300], [20, 150], [7, 45], [0, 0], [0, 0]][CAST(t.st AS INTEGER) + 1]"
 
 
-@query(f"""WITH {_SIGNALS},
-a AS (SELECT inst, count(*) AS n, count(DISTINCT doc) AS docs, min(dt) AS first_at, max(dt) AS last_at, arg_max(struct_pack(st := st, title := title, cat := cat, dt := dt, ey := ey, eh := eh), (st, dt, k)) AS top,
+#: Members of given groups: vectors of most, notices that later ones of their number withdraw.
+_MEMBERS = _SIGNALS + """, v AS (SELECT *, CASE WHEN st = 4 THEN 'N' || id % 2 END AS no, st = 4 AND id % 4 = 2 AS cancels FROM g),
+rev AS (SELECT inst, no FROM v WHERE no IS NOT NULL GROUP BY inst, no HAVING arg_max(cancels, (dt, cancels))),
+m AS (SELECT v.*, NOT (v.st = 4 AND (v.cancels OR rev.no IS NOT NULL)) AS live FROM v LEFT JOIN rev ON rev.inst = v.inst AND rev.no = v.no AND NOT v.cancels),
+base AS (SELECT * FROM m QUALIFY live OR NOT bool_or(live) OVER (PARTITION BY inst)),
+vec AS (SELECT inst, sum(id % 7 - 3)::DOUBLE AS x, sum(id % 5 - 1)::DOUBLE AS y FROM m WHERE id % 4 > 0 GROUP BY inst)"""
+
+
+@query(f"""WITH {_MEMBERS},
+a AS (SELECT inst, arg_max(struct_pack(st := st, title := title, cat := cat, dt := dt, ey := ey, eh := eh), (st, dt, k)) AS top,
   arg_max(struct_pack(st := st, dt := dt, ey := ey, eh := eh), (st, dt, k)) FILTER (WHERE ey IS NOT NULL) AS timed, arg_max(title, (st, dt, k)) FILTER (WHERE st >= 1) AS formal,
-  arg_max(amount, (st, dt, k)) FILTER (WHERE amount <> 0) AS amount, max(3 - lv) AS lv, min(dt) FILTER (WHERE st >= 4) AS bid, list(kw ORDER BY st DESC, dt DESC, k DESC) AS kws FROM g GROUP BY inst),
-c AS (SELECT inst, cat FROM (SELECT inst, cat, count(*) AS n, min((dt, k)) AS f FROM g WHERE cat <> 'other' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY inst ORDER BY n DESC, f) = 1),
-dp AS (SELECT inst, dept FROM (SELECT inst, dept, count(*) AS n, min((dt, k)) AS f FROM g WHERE dept IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY inst ORDER BY n DESC, f) = 1),
-t AS (SELECT *, coalesce(timed.st, top.st) AS st, coalesce(timed.dt, top.dt) AS tat, coalesce(timed.ey, top.ey) AS ey, coalesce(timed.eh, top.eh) AS eh FROM a),
+  arg_max(amount, (st, dt, k)) FILTER (WHERE amount <> 0) AS amount, CASE WHEN bool_or(live) THEN min(dt) FILTER (WHERE live AND st >= 4) ELSE min(dt) END AS bid, bool_or(live) AS alive FROM base GROUP BY inst),
+all_ AS (SELECT inst, count(*) AS n, count(DISTINCT doc) AS docs, min(dt) AS first_at, max(dt) AS last_at, max(3 - lv) AS lv FROM m GROUP BY inst),
+kw AS (SELECT inst, list(w ORDER BY n) AS kws FROM (SELECT inst, w, row_number() OVER (PARTITION BY inst ORDER BY st DESC, dt DESC, k DESC, at_) AS n FROM (SELECT inst, w, st, dt, k, at_ FROM (SELECT inst, st, dt, k, unnest(kw) AS w, unnest([0, 1]) AS at_ FROM m) QUALIFY row_number() OVER (PARTITION BY inst, w ORDER BY st DESC, dt DESC, k DESC, at_) = 1)) WHERE n <= 10 GROUP BY inst),
+c AS (SELECT inst, cat FROM (SELECT inst, cat, count(*) AS n, min((dt, k)) AS f FROM m WHERE cat <> 'other' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY inst ORDER BY n DESC, f) = 1),
+dp AS (SELECT inst, dept FROM (SELECT inst, dept, count(*) AS n, min((dt, k)) AS f FROM m WHERE dept IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY inst ORDER BY n DESC, f) = 1),
+t AS (SELECT *, coalesce(timed.st, top.st) AS st, coalesce(timed.dt, top.dt) AS tat, coalesce(timed.ey, top.ey) AS ey, coalesce(timed.eh, top.eh) AS eh FROM a JOIN all_ USING (inst)),
 w AS (SELECT *, CASE WHEN ey IS NOT NULL AND make_date(CAST(ey AS INTEGER), CASE WHEN eh = 'H1' THEN 6 ELSE 11 END, 30) >= tat THEN true ELSE false END AS by_year, {_LAG} AS lag FROM t),
-v AS (SELECT *, CASE WHEN by_year THEN greatest(make_date(CAST(ey AS INTEGER), 1, CASE WHEN eh = 'H1' THEN 1 ELSE 15 END), tat) ELSE tat + lag[1] END AS ws, CASE WHEN by_year THEN make_date(CAST(ey AS INTEGER), CASE WHEN eh = 'H1' THEN 6 ELSE 11 END, 30) ELSE tat + lag[2] END AS we FROM w)
+u AS (SELECT *, CASE WHEN by_year THEN greatest(make_date(CAST(ey AS INTEGER), 1, CASE WHEN eh = 'H1' THEN 1 ELSE 15 END), tat) ELSE tat + lag[1] END AS ws, CASE WHEN by_year THEN make_date(CAST(ey AS INTEGER), CASE WHEN eh = 'H1' THEN 6 ELSE 11 END, 30) ELSE tat + lag[2] END AS we FROM w)
 SELECT v.inst AS group_key, {sql_pick('top.st', *STAGES)} AS stage, CAST(n AS INTEGER) AS signal_count, first_at AS first_seen_at, last_at AS last_signal_at, coalesce(formal, top.title) AS title, coalesce(c.cat, top.cat) AS category, dept AS department, amount AS est_budget_krw,
   ['declined', 'reviewing', 'planned', 'committed'][CAST(lv AS INTEGER) + 1] AS best_commitment, bid AS bid_published_at, coalesce(bid, ws) AS bid_window_start, coalesce(bid, we) AS bid_window_end,
-  CASE WHEN bid IS NOT NULL THEN CASE WHEN date_diff('day', bid, DATE '2000-01-01') <= 21 THEN 'bid_open' ELSE 'closed' END WHEN date_diff('day', last_at, DATE '2000-01-01') > 540 OR date_diff('day', we, DATE '2000-01-01') > 180 THEN 'dormant' ELSE 'open' END AS status,
+  array_to_string(kws, ',') AS keywords, round(x / greatest(sqrt(x * x + y * y), 1e-300), 9) AS v0, round(y / greatest(sqrt(x * x + y * y), 1e-300), 9) AS v1,
+  CASE WHEN NOT alive THEN 'closed' WHEN bid IS NOT NULL THEN CASE WHEN date_diff('day', bid, DATE '2000-01-01') <= 21 THEN 'bid_open' ELSE 'closed' END WHEN date_diff('day', last_at, DATE '2000-01-01') > 540 OR date_diff('day', we, DATE '2000-01-01') > 180 THEN 'dormant' ELSE 'open' END AS status,
   CASE WHEN top.st >= 4 THEN 1.0 ELSE round(least(0.98::DOUBLE, ([0.35, 0.7, 0.85, 0.95]::DOUBLE[])[CAST(top.st AS INTEGER) + 1] * CASE WHEN top.st = 0 THEN coalesce(([0.15, 0.6, 1.2, 1.6]::DOUBLE[])[CAST(lv AS INTEGER) + 1], 1) ELSE 1 END + 0.05::DOUBLE * least(greatest(docs - 1, 0), 3)), 3) END AS conversion_prob
-FROM v LEFT JOIN c ON c.inst = v.inst LEFT JOIN dp ON dp.inst = v.inst""")
+FROM u AS v LEFT JOIN kw ON kw.inst = v.inst LEFT JOIN vec ON vec.inst = v.inst LEFT JOIN c ON c.inst = v.inst LEFT JOIN dp ON dp.inst = v.inst""")
 def link_group_summaries(spark, d):
-    """Summaries of groups that are given, one a customer."""
-    g = link.summaries(signals(spark, d).withColumn("group_key", F.col("institution")), date(2000, 1, 1))
-    return g.drop("embedding", "keywords")
+    """Summaries of groups that are given, one a customer: with vectors, keywords and withdrawn notices."""
+    k = F.col("id")
+    bid, number = F.col("stage") == "bid_notice", F.concat(F.lit("N"), s(k % 2))
+    m = signals(spark, d).withColumn("group_key", F.col("institution")).withColumns(
+        {
+            "refs": F.col("refs").withField("bid_notice_no", F.when(bid & (k % 4 != 2), number)).withField("cancels_bid_notice_no", F.when(bid & (k % 4 == 2), number)),
+            "embedding": F.when(k % 4 > 0, F.array((k % 7 - 3).cast("double"), (k % 5 - 1).cast("double"))),
+        }
+    )
+    g = link.summaries(m, date(2000, 1, 1))
+    part = lambda i: F.round(F.get("embedding", F.lit(i)), 9).alias(f"v{i}")
+    return g.select(*[c for c in g.columns if c not in ("embedding", "keywords")], F.array_join("keywords", ",").alias("keywords"), part(0), part(1))
 
 
 @query(f"""WITH {_SIGNALS}, r AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'P' || id % 4 END AS plan FROM g)
@@ -74,7 +94,7 @@ def link_by_reference(spark, d):
     return partition.canonical_partition(signals(spark, d), threshold=9.0).select("id", "group_key", "method")
 
 
-@query(ORACLE_SQL["link_by_reference"].replace("SELECT id, inst ||", "SELECT v.arrival, id, inst ||").replace("AS method FROM r", "AS method FROM r, (VALUES ('publication'), ('reverse'), ('budget_first')) v(arrival)"))
+@query(f"""SELECT v.arrival, x.* FROM ({ORACLE_SQL["link_by_reference"]}) x, (VALUES ('publication'), ('reverse'), ('budget_first')) v(arrival)""")
 def link_arrival_orders(spark, d):
     """Signals arrive in two deliveries, in three orders; each delivery is linked from where the one before has ended."""
     out = None
