@@ -31,14 +31,25 @@ def nearest(open_: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
     return found.select(F.col("query_id").alias("org_id"), F.col("id").alias("opportunity_id"))
 
 
+#: Most patterns without three plain letters in a row that are tested against every title at once.
+SHORT_WORDS = 10_000
+
+
 def title_holds(titles: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs where ``title`` ILIKE %k%, wildcards in ``k`` and all. Titles are looked up by the first letters of a word
-    that are no wildcard, three at most: an equi-join, whose pairs are then tested."""
-    low = F.lower("title")
-    pieces = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    t = titles.withColumn("__g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(n) for n in (1, 2, 3)]))))
-    w = words.withColumn("__g", F.regexp_extract(F.lower("k"), "[^%_]{1,3}", 0))
-    return t.join(w, "__g").filter(F.ilike("title", F.concat(F.lit("%"), F.col("k"), F.lit("%")))).drop("__g")
+    """Pairs where ``title`` ILIKE %k%, wildcards in ``k`` and all. Titles are looked up by three letters in a row of the
+    word, an equi-join whose pairs are then tested. Words without such letters match most titles whatever is done: they are
+    tested against each title in a broadcast pass, in blocks of SHORT_WORDS."""
+    holds = F.ilike("title", F.concat(F.lit("%"), F.col("k"), F.lit("%")))
+    low, plain = F.lower("title"), F.regexp_extract(F.lower("k"), r"[^%_\\]{3}", 0)
+    grams = F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    t, w = titles.withColumn("__g", F.explode(F.array_distinct(grams))), words.withColumn("__g", plain)
+    out = t.join(w.filter("__g <> ''"), "__g").filter(holds).drop("__g")
+    short = w.filter("__g = ''").drop("__g")
+    blocks = -(-short.count() // SHORT_WORDS)
+    for b in range(blocks):
+        own = short if blocks == 1 else short.filter(F.pmod(F.xxhash64(*short.columns), F.lit(blocks)) == b)
+        out = out.unionByName(titles.join(F.broadcast(own), holds))
+    return out
 
 
 def candidates(open_: DataFrame, profiles: DataFrame, per_source: int = PER_SOURCE) -> DataFrame:

@@ -457,6 +457,18 @@ def graph_reachability(spark, d):
     return g.select(F.col("a").cast("int").alias("a"), "n_reachable", "on_cycle")
 
 
+@query("""WITH RECURSIVE n AS (SELECT max(c_custkey) + 1 AS n FROM customer), step(k, a) AS (SELECT 0, c_custkey FROM customer UNION SELECT k + 1, (a * a + 1) % n FROM step, n WHERE k < 400)
+SELECT DISTINCT a, (a * a + 1) % n AS b FROM step, n WHERE k = 400""")
+def graph_cyclic_core(spark, d):
+    """Every customer leads to one other; what is left when those that nothing leads to are peeled off are the cycles."""
+    from foretide.operators.graph import cyclic_core
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"))
+    n = c.agg((F.max("a") + 1).alias("n"))
+    nodes = c.union(F.broadcast(n).select(F.lit(0).cast("long")))
+    return cyclic_core(nodes.crossJoin(F.broadcast(n)).select("a", ((F.col("a") * F.col("a") + 1) % F.col("n")).alias("b")))
+
+
 @query("""
 WITH RECURSIVE h AS (SELECT doc_id, md5(text) AS t FROM documents), e AS (SELECT min(doc_id) AS b, t FROM h GROUP BY t),
 p AS (SELECT h.doc_id AS a, least(e.b, (h.doc_id // 25) * 25) AS b, (h.doc_id // 25) * 25 AS c, e.b AS f FROM h JOIN e USING (t)),

@@ -454,3 +454,45 @@ def test_plans_have_no_products(spark):
     for name in ("join_asof", "join_interval_overlap", "join_equi_and_range", "join_semi_exists", "window_latest_per_key"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_identities_by_rounds_are_the_greedy_choice(spark):
+    rng = random.Random(4)
+    groups = [(f"I{i % 2}", f"g{rng.randrange(12)}", i) for i in range(120)]
+    old = [(f"I{i % 2}", 100 * (i % 2) + rng.randrange(12), i) for i in range(120) if rng.random() < 0.8]
+    want = {}
+    for inst in ("I0", "I1"):
+        new, had = {}, {}
+        for n, g, i in groups:
+            if n == inst:
+                new.setdefault(g, set()).add(i)
+        for n, o, i in old:
+            if n == inst:
+                had.setdefault(o, set()).add(i)
+        free = set(had)
+        for _, _, g, o in sorted((new[g] != had[o], -len(new[g] & had[o]), g, o) for g in new for o in had if new[g] & had[o]):
+            if (inst, g) not in want and o in free:
+                want[inst, g] = o
+                free.discard(o)
+    got = link.keep_identities(spark.createDataFrame([(a, f"{a}:{g}", i) for a, g, i in groups], "institution string, group_key string, id long"), spark.createDataFrame(old, "institution string, opportunity_id long, id long"))
+    assert {tuple(r["group_key"].split(":")): r["opportunity_id"] for r in rows(got)} == want and len(want) > 15
+
+
+def test_the_core_of_a_graph_is_its_cycles_and_what_lies_between(spark):
+    e = "a long, b long"
+    chain, ring = [(i, i + 1) for i in range(9)], [(20, 21), (21, 22), (22, 20)]
+    between = [(22, 30), (30, 31), (31, 40), (40, 41), (41, 40)]
+    got = graph.cyclic_core(spark.createDataFrame([*chain, *ring, *between, (9, 20), (41, 50), (60, 60)], e))
+    assert {(r["a"], r["b"]) for r in rows(got)} == {*ring, *between, (60, 60)}
+    assert graph.cyclic_core(spark.createDataFrame([], e)).count() == 0 and not graph.has_cycle(spark.createDataFrame(chain, e))
+
+
+def test_words_of_any_length_are_found_in_titles(spark):
+    titles = ["Abcde x", "ab", "a%b c_d", "가나다 라", "", "zz\\y"]
+    words = ["BCD", "a", "%", "_", "c_d", "나다", "a%b", "", "abcdef", "ab_de"]
+    got = market.title_holds(spark.createDataFrame([(t,) for t in titles], "title string"), spark.createDataFrame([(w,) for w in words], "k string"))
+    import re
+
+    like = lambda w: re.compile(".*" + "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in w) + ".*", re.S | re.I)
+    want = sorted((t, w) for t in titles for w in words if like(w).fullmatch(t))
+    assert sorted((r["title"], r["k"]) for r in rows(got)) == want
