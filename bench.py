@@ -33,7 +33,9 @@ def main() -> None:
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
             spark.catalog.clearCache()
-        seconds[name] = round(min(times[1:]), 4)
+            if sum(times) > 90:  # rounds of jobs: a third run would not be faster
+                break
+        seconds[name] = round(min(times[1:] or times), 4)
     print(json.dumps({"metric": "headline queries, warm, total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
