@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretide.operators.evaluation import split_by_component
 from foretide.operators.graph import components
+from foretide.sources.shared import stored
 
 FIELDS = ("title", "institution", "budget_krw", "expected_year", "expected_half", "commitment", "verdict", "stage", "category")
 
@@ -46,14 +45,46 @@ def review_split(samples: DataFrame) -> DataFrame:
     return split_by_component(labelled)
 
 
-def export_lines(samples: DataFrame, fields: list[str], cap: int = 100_000) -> tuple[list[str], str]:
-    """(a manifest line and one JSON line for each sample in id order, the digest over the samples). A set for people to
-    judge is small: above ``cap`` rows it fails instead of being cut."""
-    rows = samples.select("id", F.to_json(F.struct(*fields)).alias("line")).orderBy("id").limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"more than {cap} samples")
-    digest = hashlib.sha256("\n".join(r["line"] for r in rows).encode()).hexdigest()
-    return [f'{{"samples": {len(rows)}, "sha256": "{digest}"}}', *(r["line"] for r in rows)], digest
+def ranked_rows(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``rank`` from 0 in the order of ``order`` (equal values by the line itself), by ranges: each range is
+    numbered where it lies, from the count of those before it, of which there is one a range."""
+    ranged = rows.repartitionByRange(order).withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offset = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.asc_nulls_first(order), "line"))
+    return ranged.withColumn("place", place).join(F.broadcast(offset), "range").withColumn("rank", F.col("before") + F.col("place") - 1).drop("range", "place", "before")
+
+
+def merkle_levels(lines: DataFrame, leaf: int = 1000, fan: int = 1000) -> list[DataFrame]:
+    """Levels of (node, digest) over (rank, line), the leaves first, one root last: a leaf is the SHA-256 of the digests of
+    ``leaf`` lines in their order, a node that of ``fan`` nodes. No node gathers more, and the tree hangs on ranks alone, so
+    however rows lie the root is that of one sorted pass."""
+
+    def up(df: DataFrame, at: str, digest, most: int) -> DataFrame:
+        own = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), digest.alias("d")))), lambda x: x["d"])
+        return stored(df.groupBy(F.floor(F.col(at) / most).alias("node")).agg(F.sha2(F.concat_ws("", own), 256).alias("digest")), "digests")
+
+    out = [up(lines, "rank", F.sha2("line", 256), leaf)]
+    while out[-1].limit(2).count() > 1:
+        out.append(up(out[-1], "node", F.col("digest"), fan))
+    return out
+
+
+def export(samples: DataFrame, fields: list[str], path: str, leaf: int = 1000, fan: int = 1000) -> DataFrame:
+    """One JSON line for each sample, in the order of ``id``, as text files under ``path``/lines; then, when they are written,
+    the digests of the leaves and one manifest line (samples, leaf, fan, root). Returns the manifest. Of any size: nothing
+    is collected, and a part that was changed is found by its leaf."""
+    rows = ranked_rows(samples.select("id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("line")), "id")
+    rows = stored(rows, "lines")
+    rows.repartitionByRange("rank").sortWithinPartitions("rank").select(F.col("line").alias("value")).write.text(f"{path}/lines")
+    levels = merkle_levels(rows, leaf, fan)
+    levels[0].write.parquet(f"{path}/leaves")
+    counted = rows.select(F.lit(1).alias("one"), F.lit(None).cast("string").alias("digest")).unionByName(levels[-1].select(F.lit(0).alias("one"), "digest"))
+    totals = counted.agg(F.coalesce(F.sum("one"), F.lit(0)).alias("samples"), F.max("digest").alias("root"))
+    manifest = stored(totals.select("samples", F.lit(leaf).alias("leaf"), F.lit(fan).alias("fan"), "root"), "manifest")
+    manifest.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{path}/manifest")
+    return manifest
 
 
 def row_digests(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -483,6 +483,18 @@ def row_digests(spark, d):
     return reviews.row_digests(orders(spark, d), ["o_custkey"], ["o_orderkey", "o_orderstatus"])
 
 
+_LEVELS = ", ".join(f"l{i} AS (SELECT node // 1000 AS node, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM l{i - 1} GROUP BY 1)" for i in (1, 2))
+
+
+@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY l_orderkey, line) - 1 AS rank, line FROM (SELECT l_orderkey, '{{"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_linenumber":' || l_linenumber || '}}' AS line FROM lineitem)),
+l0 AS (SELECT rank // 64 AS node, sha256(string_agg(sha256(line), '' ORDER BY rank)) AS digest FROM l GROUP BY 1), {_LEVELS}
+SELECT (SELECT count(*) FROM lineitem) AS samples, CASE WHEN (SELECT count(*) FROM l0) = 1 THEN (SELECT min(digest) FROM l0) WHEN (SELECT count(*) FROM l1) = 1 THEN (SELECT min(digest) FROM l1) ELSE (SELECT min(digest) FROM l2) END AS root""")
+def export_root(spark, d):
+    """All lines of orders written in order, with the root of their digests."""
+    lines = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey"))
+    return reviews.export(lines, ["l_orderkey", "l_partkey", "l_linenumber"], shared.new_path(spark, "export"), leaf=64).select("samples", "root")
+
+
 @query("""SELECT o_orderkey AS id, sha256('{"title":"' || o_orderpriority || '","stage":"' || o_orderstatus || '","refs":["' || o_custkey || '"]}') AS stable_key FROM orders""")
 def stable_signal_keys(spark, d):
     return orders(spark, d).select(order_key().alias("id"), reviews.canonical_key(title=F.col("o_orderpriority"), stage=F.col("o_orderstatus"), refs=F.array(s(customer_key())), missing=F.lit(None).cast("string")).alias("stable_key"))
