@@ -253,3 +253,22 @@ def chunk_plain(spark, d):
     from foretide.functions.chunks import plain_chunks
 
     return table(spark, d, "documents").select("doc_id", F.explode(plain_chunks(F.col("text"))).alias("c")).select("doc_id", "c.*")
+
+
+_RULES = (("/t", False), ("/th", True), ("/than", False), ("/e", False), ("/d", False), ("/de", True))
+
+
+@query(f"""WITH h AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+l AS (SELECT DISTINCT page_id, scheme || '://' || host || href AS url, href AS path FROM h),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {a})" for p, a in _RULES)}) v(prefix, allow)),
+b AS (SELECT page_id, url, arg_max(allow, length(prefix)) AS allow FROM l JOIN r ON starts_with(path, prefix) GROUP BY ALL)
+SELECT page_id, url, CASE WHEN NOT coalesce(b.allow, true) THEN 'robots' WHEN l.url NOT IN (SELECT url FROM pages) THEN 'absent' END AS reason FROM l LEFT JOIN b USING (page_id, url)""")
+def crawl_reasons(spark, d):
+    """Every link of every page, with why it is not followed: the rules of its host, or no such page."""
+    from foretide.operators import crawl
+    from foretide.sources import html
+
+    pages = table(spark, d, "pages")
+    rules = pages.select(crawl.host_of(F.col("url")).alias("host")).distinct()
+    rules = rules.select("host", F.explode(F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(a).alias("allow")) for p, a in _RULES])).alias("r")).select("host", "r.*")
+    return crawl.judged(html.links(pages).select("page_id", "url"), rules, pages.select("url"))

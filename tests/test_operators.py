@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foretide.operators import accounts, backtest, evaluation, fuzzy, governance, graph, grounding, ingest, joins, link, market, media, partition, ranking, resolve, retrospective
+from foretide.operators import accounts, backtest, crawl, evaluation, fuzzy, governance, graph, grounding, ingest, joins, link, market, media, partition, ranking, resolve, retrospective
 from foretide.sources import html, minutes, procurement, readers, world
 
 D = dt.date
@@ -496,3 +496,19 @@ def test_words_of_any_length_are_found_in_titles(spark):
     like = lambda w: re.compile(".*" + "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in w) + ".*", re.S | re.I)
     want = sorted((t, w) for t in titles for w in words if like(w).fullmatch(t))
     assert sorted((r["title"], r["k"]) for r in rows(got)) == want
+
+
+def test_crawl_rounds_and_reasons(spark):
+    u = lambda p, h="a.kr": f"https://{h}{p}"
+    links = [(u("/list"), u(f"/post/{i}")) for i in range(4)] + [(u("/list"), u("/list?page=2")), (u("/list?page=2"), u("/post/9")), (u("/post/1"), u("/file/1.pdf")), (u("/post/1"), u("/list")), (u("/post/2"), u("/x", "b.kr")), (u("/post/9"), u("/file/9.pdf")), (u("/file/1.pdf"), u("/deep")), (u("/post/1"), "mailto:x"), (u("/post/3"), u("/post/1"))]
+    there = [u(p) for p in ("/list", "/list?page=2", "/post/0", "/post/1", "/post/2", "/post/9", "/file/1.pdf", "/file/9.pdf", "/deep")]
+    rules = [("A.kr", "/post", False), ("a.kr", "/post/", True), ("a.kr", "/post/2", False), ("a.kr", "/file/9", False), ("a.kr", "/file/9", True), ("b.kr", "/", False)]
+    df = lambda rows_, s: spark.createDataFrame(rows_, s)
+    args = (df([(u("/list"),)], "url string"), df(links, "url string, target string"), df(rules, "host string, prefix string, allow boolean"), df([(x,) for x in there], "url string"))
+    got = {r["url"]: (r["round"], r["reason"]) for r in rows(crawl.crawl(*args, depth=3, hosts=df([("a.kr",)], "host string")))}
+    assert got == {
+        u("/list"): (0, None), u("/post/0"): (1, None), u("/post/1"): (1, None), u("/post/2"): (1, "robots"), u("/post/3"): (1, "absent"), u("/list?page=2"): (1, None),
+        u("/file/1.pdf"): (2, None), u("/post/9"): (2, None), "mailto:x": (2, "no_host"), u("/deep"): (3, None), u("/file/9.pdf"): (3, None),
+    }
+    assert len(rows(crawl.crawl(*args, depth=1))) == 6 and crawl.crawl(args[0].limit(0), *args[1:], depth=3).count() == 0
+    assert {r["url"]: r["allow"] for r in rows(crawl.deciding_rules(args[3], args[2]))}[u("/post/0")] is True
