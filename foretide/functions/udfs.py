@@ -6,9 +6,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from foretide.constants import CATEGORIES
 from foretide.functions import chunks, money, text
@@ -104,6 +106,40 @@ class Chunks:
             yield c["seq"], c["char_start"], c["char_end"], c["text"], c["labels"], c["kind"]
 
 
+class FindAmounts:
+    """Table function of a table: ``find_amounts(TABLE(t), 'column')`` gives the rows of any table with one amount each that
+    the column's text names, their own columns first. Its result's columns follow from the table it is given; new ones get
+    longer by underscores where the table has them. Null texts name none."""
+
+    @staticmethod
+    def analyze(t: AnalyzeArgument, column: AnalyzeArgument) -> AnalyzeResult:
+        own = t.dataType.fieldNames()
+        if column.value not in own:
+            raise ValueError(f"find_amounts: the table has no column {column.value!r}")
+        new = []
+        for name, kind in (("raw", T.StringType()), ("start_at", T.IntegerType()), ("end_at", T.IntegerType()), ("amount", T.LongType())):
+            while name.lower() in {x.lower() for x in own}:
+                name += "_"
+            new.append(T.StructField(name, kind))
+        return AnalyzeResult(T.StructType([*t.dataType.fields, *new]))
+
+    def eval(self, row, column: str):
+        for a in money.amounts_in(row[column] or ""):
+            yield (*row, a["raw"], a["start"], a["end"], a["value"])
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def mean_unit_vector(vectors: pa.Array) -> list:
+    """The mean of vectors as a unit vector, for groups of SQL. Nulls do not count; a group without any, or whose mean is 0,
+    gives null. Spark hands over a group's vectors at once: groups of any size go through ``link.unit_sums``, which merges."""
+    held = vectors.drop_null()
+    if not len(held):
+        return None
+    total = held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1).sum(axis=0)
+    norm = float(np.linalg.norm(total))
+    return (total / norm).tolist() if norm else None
+
+
 def register(spark: SparkSession) -> None:
     """Install the functions for SQL."""
     spark.udf.register("normalize_text", text.normalize)
@@ -114,3 +150,5 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("ocr_corrected", ocr_corrected)
     spark.udtf.register("turns", F.udtf(Turns, returnType='role string, name string, "start" int, "end" int'.replace('"', "`")))
     spark.udtf.register("chunks", F.udtf(Chunks, returnType="seq int, char_start int, char_end int, text string, labels array<string>, kind string"))
+    spark.udtf.register("find_amounts", F.udtf(FindAmounts))
+    spark.udf.register("mean_unit_vector", mean_unit_vector)

@@ -235,6 +235,16 @@ def agg_mean_unit_vector(spark, d):
     return m.join(n, "label").select("label", (F.col("p") + 1).cast("long").alias("i"), F.round(F.col("x") / F.col("n"), 6).alias("x"))
 
 
+@query(ORACLE_SQL["agg_mean_unit_vector"])
+def sql_mean_unit_vector(spark, d):
+    """The same by the aggregate function that SQL calls."""
+    from foretide.functions import udfs
+
+    udfs.register(spark)
+    found = spark.sql("SELECT label, mean_unit_vector(embedding) AS v FROM {e} GROUP BY label", e=table(spark, d, "embeddings").selectExpr("label", "cast(embedding as array<double>) as embedding"))
+    return found.select("label", F.posexplode("v").alias("p", "x")).select("label", (F.col("p") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
 @query("""
 WITH g AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1), q AS (SELECT user_id, v, len(v) AS n FROM g WHERE len(v) >= 4),
 p AS (SELECT *, 0.25 * (n + 1) AS a, 0.75 * (n + 1) AS b FROM q)

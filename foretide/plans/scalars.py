@@ -4,7 +4,7 @@ back from the columns that went in."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from foretide import constants as K
@@ -174,6 +174,16 @@ def money_amounts(spark, d):
     return out.select("p_partkey", F.array_join(F.transform("a", lambda x: s(x["value"])), "|").alias("amounts"), first["raw"].alias("first_raw"), first["start"].cast("long").alias("first_at"), "largest")
 
 
+@query("""SELECT p_partkey, CAST(n AS INTEGER) AS nth, CASE n WHEN 0 THEN (p_partkey % 90 + 1) * 100000000 + p_size * 10000 WHEN 1 THEN p_size * 1000 ELSE (p_partkey % 9 + 1) * 10000000000000 END AS amount, CASE WHEN n = 0 THEN (p_partkey % 90 + 1) || '억 ' || p_size || '만원' END AS first_raw FROM part, range(3) r(n)""")
+def sql_find_amounts(spark, d):
+    """SQL calls the table function on a table; whatever columns that has come along."""
+    udfs.register(spark)
+    t = F.concat(F.lit("총 "), s(part_key() % 90 + 1), F.lit("억 "), s(part_size()), F.lit("만원, 별도 "), F.format_number(part_size() * 1000, 0), F.lit("원 및 "), s(part_key() % 9 + 1), F.lit("십조 원"))
+    found = spark.sql("SELECT * FROM find_amounts(TABLE({t}), 'words')", t=parts(spark, d).select("p_partkey", t.alias("words")))
+    nth = F.row_number().over(Window.partitionBy("p_partkey").orderBy("start_at")) - 1
+    return found.select("p_partkey", nth.cast("int").alias("nth"), "amount", "raw").withColumn("first_raw", F.when(F.col("nth") == 0, F.col("raw"))).drop("raw")
+
+
 @query(f"SELECT p_partkey, {'[1, 1000, 10000, 1000000, 100000000]'}[CAST(p_partkey % 5 AS INTEGER) + 1]::BIGINT AS factor FROM part")
 def money_table_unit(spark, d):
     t = F.concat(part_name(), F.lit("\n( 단위 : "), pick(part_key(), "원", "천원", "만원", "백만원", "억원"), F.lit(" )"))

@@ -177,3 +177,18 @@ def test_registered_for_sql(spark):
 def test_decoding_and_repair():
     assert udfs.decode_bytes("가나".encode("cp949")) == "가나" and udfs.decode_bytes("가".encode()) == "가"
     assert udfs.correct_ocr("35O,000 원") == "350,000 원" and udfs.correct_ocr("1.234.567원") == "1,234,567원"
+
+
+def test_table_function_and_aggregate_from_sql(spark):
+    from foretide.functions import udfs
+
+    udfs.register(spark)
+    t = spark.createDataFrame([(1, "3억원과 2만 원", 7), (2, None, 8), (3, "없음", 9)], "id int, words string, amount int")
+    got = spark.sql("SELECT * FROM find_amounts(TABLE({t}), 'words')", t=t)
+    assert got.columns == ["id", "words", "amount", "raw", "start_at", "end_at", "amount_"]
+    assert sorted((r["id"], r["amount"], r["amount_"], r["start_at"]) for r in got.collect()) == [(1, 7, 20000, 5), (1, 7, 300000000, 0)]
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM find_amounts(TABLE({t}), 'x')", t=t).collect()
+    v = spark.createDataFrame([("a", [3.0, 0.0]), ("a", [0.0, 4.0]), ("a", None), ("b", None), ("c", [0.0, 0.0])], "k string, v array<double>")
+    got = {r["k"]: r["u"] for r in spark.sql("SELECT k, mean_unit_vector(v) AS u FROM {v} GROUP BY k", v=v).collect()}
+    assert [round(x, 9) for x in got["a"]] == [0.6, 0.8] and got["b"] is None and got["c"] is None
