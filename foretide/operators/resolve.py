@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretide.constants import FUZZY_LEAD, FUZZY_SCORE
 from foretide.functions import text as X
 from foretide.operators.fuzzy import ratio
+from foretide.sources.shared import stored
 
 
 def compact(c):
@@ -95,23 +96,54 @@ def resolve(records: DataFrame, registry: DataFrame) -> DataFrame:
     return records.join(out, same("raw") & same("code_hint") & same("sido_hint"), "left").select(records["*"], "code", "department", "confidence", "method")
 
 
+def _pairs_of_letters(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` and one row for each letter pair of ``text``: the pair with its number among equal ones; a single letter is
+    its own."""
+    t, n = F.col(text), F.length(text)
+    pairs = F.when(n == 1, F.array(t)).when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    seen = df.select(*keep, F.posexplode(pairs).alias("at", "pair"))
+    nth = F.row_number().over(Window.partitionBy(*keep, "pair").orderBy("at"))
+    return seen.select(*keep, F.concat("pair", F.lit(":"), nth.cast("string")).alias("g"))
+
+
+def near_spellings(names: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
+    """(nid, jamo, code, alias_jamo) of every pair whose ratio may be ``least``, and few others.
+
+    A ratio of s over lengths a and b leaves s (a + b) / 2 letters in common. A letter left out ends two letter pairs of its
+    word, one put in ends one, so (1.5 s - 1) (a + b) - 1 pairs stay the same. Two words with that many in common share one
+    of the rarest pairs of each, as many as the rest is too few: only those are keys, in the order of rarity among aliases,
+    and what most names end in is none."""
+    s = least / 100
+    shortest = s / (2 - s)  # of the other word, as a part of this one's length
+    need = lambda n: F.greatest(F.ceil((1.5 * s - 1) * (1 + shortest) * n - 1 - 1e-9), F.lit(1))
+    name, alias = _pairs_of_letters(names, ["nid", "jamo"], "jamo"), _pairs_of_letters(aliases, ["code", "alias_jamo"], "alias_jamo")
+    common = stored(alias.groupBy("g").agg(F.count("*").alias("c")), "letter-pairs")
+
+    def rare(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+        w = Window.partitionBy(*keep)
+        ranked = df.join(common, "g", "left").withColumns({"place": F.row_number().over(w.orderBy(F.coalesce("c", F.lit(0)), "g")), "all": F.count("*").over(w)})
+        return ranked.filter(F.col("place") <= F.col("all") - need(F.length(text)) + 1).select(*keep, "g")
+
+    a, b = F.length("jamo"), F.length("alias_jamo")
+    met = rare(name, ["nid", "jamo"], "jamo").join(rare(alias, ["code", "alias_jamo"], "alias_jamo"), "g")
+    met = met.filter((F.least(a, b) >= F.floor(shortest * F.greatest(a, b)))).select("nid", "jamo", "code", "alias_jamo").distinct()
+    return met
+
+
 def spelled_like(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(nid, fuzzy_code, fuzzy_score): the body whose alias is closest letter by letter, if close enough and clear of
-    the next. A name is compared with aliases that share letter trigrams, four in ten of the shorter one's, not with all: a
-    ratio of FUZZY_SCORE leaves more in common than that."""
-    grams = lambda df, c, keep: df.select(*keep, F.explode(F.array_distinct(X.char_ngrams(F.col(c), 3))).alias("g"))
-    pairs = grams(names, "jamo", ["nid", "jamo"]).join(grams(aliases, "alias_jamo", ["code", "alias_jamo"]), "g")
-    near = pairs.groupBy("nid", "jamo", "code", "alias_jamo").agg(F.count("*").alias("n")).filter(F.col("n") >= 0.4 * F.least(F.length("jamo"), F.length("alias_jamo")))
+    the next. Who may be either is looked up by rare letter pairs (``near_spellings``); no pair that counts is left out."""
+    near = near_spellings(names.select("nid", "jamo"), aliases.select("code", "alias_jamo").distinct(), FUZZY_SCORE - FUZZY_LEAD)
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
 
     best = near.withColumn("s", score("jamo", "alias_jamo")).groupBy("nid", "code").agg(F.max("s").alias("s"))
-    ranked = best.groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("s", "code")), asc=False).alias("r"))
-    lead = F.get("r", 0)["s"] - F.coalesce(F.get("r", 1)["s"], F.lit(0.0))
-    good = (F.get("r", 0)["s"] >= FUZZY_SCORE) & (lead >= FUZZY_LEAD)
-    return ranked.filter(good).select("nid", F.get("r", 0)["code"].alias("fuzzy_code"), F.get("r", 0)["s"].alias("fuzzy_score"))
+    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("nid").orderBy(F.desc("s"), F.desc("code")))).filter("place <= 2")
+    two = ranked.groupBy("nid").agg(F.max(F.when(F.col("place") == 1, F.struct("code", "s"))).alias("first"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("s"))), F.lit(0.0)).alias("second"))
+    good = (F.col("first.s") >= FUZZY_SCORE) & (F.col("first.s") - F.col("second") >= FUZZY_LEAD)
+    return two.filter(good).select("nid", F.col("first.code").alias("fuzzy_code"), F.col("first.s").alias("fuzzy_score"))
 
 
 def learn_providers(records: DataFrame, registry: DataFrame, prefix: str = "G2B-") -> DataFrame:

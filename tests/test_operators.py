@@ -512,3 +512,32 @@ def test_crawl_rounds_and_reasons(spark):
     }
     assert len(rows(crawl.crawl(*args, depth=1))) == 6 and crawl.crawl(args[0].limit(0), *args[1:], depth=3).count() == 0
     assert {r["url"]: r["allow"] for r in rows(crawl.deciding_rules(args[3], args[2]))}[u("/post/0")] is True
+
+
+def test_spelling_is_that_of_all_pairs(spark):
+    """Names are aliases with letters left out, put in and changed; many end alike; some are a letter long."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    aliases = [(f"c{i}", word(rng.randint(1, 22)) + rng.choice(["", "xyxyzz", "xyxyzz"])) for i in range(150)] + [("c1", "aaaaaaaaaaaaaa"), ("d", "h")]
+    names = []
+    for i in range(300):
+        t = list(rng.choice(aliases)[1])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+        names.append((i, "".join(t)))
+    kept = {(r["nid"], r["code"], r["alias_jamo"]) for r in rows(resolve.near_spellings(spark.createDataFrame(names, "nid long, jamo string"), spark.createDataFrame(aliases, "code string, alias_jamo string"), 84))}
+    want, near = {}, 0
+    for i, n in names:
+        best = {}
+        for c, a in aliases:
+            s = fuzzy.ratio(n, a) if n else 0.0
+            if s >= 84:
+                assert (i, c, a) in kept, (n, a, s)
+                near += 1
+            best[c] = max(best.get(c, 0.0), s)
+        first, second = sorted(best.values(), reverse=True)[:2]
+        if first >= resolve.FUZZY_SCORE and first - second >= resolve.FUZZY_LEAD:
+            want[i] = (max(c for c in best if best[c] == first), first)
+    got = {r["nid"]: (r["fuzzy_code"], r["fuzzy_score"]) for r in rows(resolve.spelled_like(spark.createDataFrame(names, "nid long, jamo string"), spark.createDataFrame(aliases, "code string, alias_jamo string")))}
+    assert got == want and len(want) > 100 and near > 200 and len(kept) < 0.5 * len(names) * len(aliases)
