@@ -17,6 +17,33 @@ def test_there_is_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
+def test_the_pipeline_ends_with_each_source_near_its_target(spark):
+    """Words of each source in run()'s own rows against the targets of what the mixing stage was given; every row is one of
+    its documents, none more than three times, and shards differ by one row at most."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from foretide.llm import mixing
+    from foretide.llm.common import n_words
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stored(stage(spark, docs, sf), name)
+    own = docs.withColumn("words", n_words(F.col("text")))
+    sized = own.groupBy("source").agg(F.sum("words").alias("source_size"))
+    target = {r["source"]: r["target"] for r in mixing.targets(sized).collect()}
+    biggest = own.agg(F.max("words")).first()[0]
+    out = stored(corpus_pipeline.run(spark, sf), "result")
+    got = {r["source"]: r["w"] for r in out.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("w")).collect()}
+    assert set(got) <= set(target) and all(abs(got.get(k, 0) - t) <= max(0.02 * t, min(biggest, 200)) for k, t in target.items()), (got, target)
+    assert out.select(docs.columns).distinct().join(docs, "doc_id", "left_anti").isEmpty()
+    assert max(Counter(r["doc_id"] for r in out.select("doc_id").collect()).values()) <= 3
+    rows = Counter(r["shard"] for r in out.select("shard").collect())
+    assert len(rows) == 8 and max(rows.values()) - min(rows.values()) <= 1 and out.select("shard", "slot").distinct().count() == sum(rows.values())
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
