@@ -241,7 +241,9 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS site, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS titles FROM pages),
+l AS (SELECT page_id, site, unnest(hrefs) AS href, unnest(titles) AS title, unnest(range(len(hrefs))) AS at_ FROM a)
+SELECT page_id, site || href AS url, arg_max(trim(regexp_replace(title, '\\s+', ' ', 'g')), at_) AS title FROM l GROUP BY page_id, site || href""")
 def html_links(spark, d):
     from foretide.sources.html import links
 
