@@ -70,6 +70,19 @@ def plan_credits(plan: Column) -> Column:
     return lookup(plan, {k: v[1] for k, v in PLANS.items()})
 
 
+def within_limits(changes: DataFrame, usage: DataFrame) -> DataFrame:
+    """(org_id, id, plan, credits, nth, allowed) of each use (org_id, id, at): the plan in force, which is the last that
+    ``changes`` (org_id, id, at, plan) set until then, of equal times too, else free; how many uses the month has had with
+    it; whether the plan's credits cover it. One pass over both in the order of time."""
+    rows = changes.select("org_id", "id", "at", "plan", F.lit(0).alias("use")).unionByName(usage.select("org_id", "id", "at", F.lit(None).cast("string").alias("plan"), F.lit(1).alias("use")))
+    so_far = Window.partitionBy("org_id").orderBy("at", "use", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    month = Window.partitionBy("org_id", "month").orderBy("at", "id")
+    out = rows.withColumn("plan", F.coalesce(F.last("plan", ignorenulls=True).over(so_far), F.lit("free"))).filter("use = 1")
+    out = out.withColumn("month", F.date_trunc("month", "at")).withColumn("nth", F.row_number().over(month))
+    credits = plan_credits(F.col("plan")).cast("int")
+    return out.select("org_id", "id", "plan", credits.alias("credits"), "nth", (F.col("nth") <= credits).alias("allowed"))
+
+
 def job_tree(jobs: DataFrame, root: int) -> DataFrame:
     """A job and all below it, with their depth: one join of the children for each level, however many there are; a job
     that is below itself is an error."""

@@ -513,8 +513,13 @@ def duplicate_keys(spark, d):
     return governance.duplicates_by_key(part(spark, d).select(F.substring("p_name", 1, 3).alias("text_key")), ["text_key"])
 
 
-@query("SELECT p_partkey, [0, 3, 40, 150][CAST(p_partkey % 4 AS INTEGER) + 1]::INTEGER AS wanted FROM part WHERE p_partkey % 4 = 1")
+@query("""WITH e AS (SELECT o_custkey % 20 AS org, o_orderkey AS id, o_orderdate AS at_, CASE WHEN o_orderkey % 5 = 0 THEN ['free', 'pro', 'team'][CAST(o_orderkey % 3 AS INTEGER) + 1] END AS plan, o_orderkey % 5 > 0 AS used FROM orders),
+p AS (SELECT *, coalesce(last_value(plan IGNORE NULLS) OVER (PARTITION BY org ORDER BY at_, used, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'free') AS now_ FROM e),
+u AS (SELECT *, row_number() OVER (PARTITION BY org, date_trunc('month', at_) ORDER BY at_, id) AS nth, CASE now_ WHEN 'free' THEN 3 WHEN 'pro' THEN 40 ELSE 150 END AS credits FROM p WHERE used)
+SELECT org AS org_id, id, now_ AS plan, CAST(credits AS INTEGER) AS credits, CAST(nth AS INTEGER) AS nth, nth <= credits AS allowed FROM u""")
 def plan_limits(spark, d):
-    p = part(spark, d).filter(part_key() % 4 == 1)
-    return p.select("p_partkey", accounts.plan_credits(F.lit("free")).cast("int").alias("wanted"))
+    """Uses of twenty organisations against the plan in force, which a fifth of the orders change."""
+    k = order_key()
+    o = orders(spark, d).select((customer_key() % 20).alias("org_id"), k.alias("id"), F.col("o_orderdate").alias("at"), pick(k, "free", "pro", "team").alias("plan"))
+    return accounts.within_limits(o.filter("id % 5 = 0"), o.filter("id % 5 > 0"))
 
