@@ -108,28 +108,27 @@ def signal(i, stage, at, title="중앙공원 정비", refs=None, **more):
     return (i, row["institution"], row["document_id"], stage, at, title, row["category"], row["department"], row["budget_krw"], row["commitment"], row["expected_year"], row["expected_half"], row["keywords"], base, row["embedding"], f"k{i:03}")
 
 
-def grouped(spark, *signals):
+def grouped(spark, *cases):
+    """The groups of each case's signals; each case is an institution of its own, all are linked together."""
+    data = [(r[0], f"I{c}", *r[2:]) for c, case in enumerate(cases) for r in case]
+    data = [(1000 * int(r[1][1:]) + r[0], *r[1:]) for r in data]
     out = {}
-    for r in rows(partition.canonical_partition(spark.createDataFrame(list(signals), link.SIGNAL))):
+    for r in rows(partition.canonical_partition(spark.createDataFrame(data, link.SIGNAL))):
         out.setdefault(r["group_key"], set()).add(r["id"])
-    return sorted(map(sorted, out.values()))
+    return [sorted(sorted(i % 1000 for i in g) for g in out.values() if min(g) // 1000 == c) for c in range(len(cases))]
 
 
-@pytest.mark.parametrize("order", list(itertools.permutations(range(3))))
-def test_shared_number_links_whatever_the_titles(spark, order):
+def test_shared_number_links_whatever_the_titles(spark):
     s = [signal(1, "order_plan", D(2026, 1, 1), "가나다 구매", {"order_plan_no": "P1"}), signal(2, "prespec", D(2026, 2, 1), "전혀 다른 이름", {"order_plan_no": "P1"}), signal(3, "order_plan", D(2026, 1, 5), "마바사 제작", {"order_plan_no": "P2"})]
-    assert grouped(spark, *[s[i] for i in order]) == [[1, 2], [3]]
+    assert grouped(spark, *[[s[i] for i in order] for order in itertools.permutations(range(3))]) == [[[1, 2], [3]]] * 6
 
 
 def test_conflicting_numbers_and_same_book_rows_stay_apart(spark):
     two = [signal(1, "bid_notice", D(2026, 1, 1), refs={"bid_notice_no": "B1"}), signal(2, "bid_notice", D(2026, 1, 2), refs={"bid_notice_no": "B2"})]
-    assert grouped(spark, *two) == [[1], [2]]
     both = [signal(1, "budget_line", D(2026, 1, 1), document_id=9, budget_krw=100), signal(2, "budget_line", D(2026, 1, 1), document_id=9, budget_krw=100)]
-    assert grouped(spark, *both) == [[1], [2]]
     next_book = [signal(1, "budget_line", D(2026, 1, 1), document_id=9, budget_krw=100), signal(2, "budget_line", D(2026, 6, 1), document_id=10, budget_krw=100)]
-    assert grouped(spark, *next_book) == [[1, 2]]
     sites = [signal(1, "council_mention", D(2026, 1, 1), "중원청소년수련관 시설개선", budget_krw=5), signal(2, "budget_line", D(2026, 2, 1), "수정청소년수련관 시설개선", budget_krw=5)]
-    assert grouped(spark, *sites) == [[1], [2]]
+    assert grouped(spark, two, both, next_book, sites) == [[[1], [2]], [[1], [2]], [[1, 2]], [[1], [2]]]
 
 
 def summary(spark, today, *signals):
