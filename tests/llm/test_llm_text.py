@@ -147,6 +147,21 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of more than 50 words in two documents: what counts is their bytes, 400 at least."""
+    rng = random.Random(11)
+    fresh = iter(range(10**6))
+    say = lambda n: "".join(f"{rng.choice('ghijkl')}{next(fresh):05d} " for _ in range(n // 7 + 1))[:n]
+    data, want = [], {}
+    for k, size in enumerate((371, 399, 400, 401, 700)):
+        passage = say(size)
+        assert len(passage.split()) > 50
+        for i in (2 * k, 2 * k + 1):
+            data.append((i, f"{say(300)}{i % 2}{passage}{'xy'[i % 2]}{say(300)}", *[None] * 11))
+            want[i] = size if size >= 400 else 0
+    assert {r["doc_id"]: r["n_removed"] for r in collected(suffix_dedup.suffix_dedup(frame(spark, data)))} == want
+
+
 def test_keys_of_too_many_classes_are_counted_window_by_window(spark, monkeypatch):
     from foretide.llm import repeats
 
