@@ -38,6 +38,8 @@ PART_ROWS, PART_BYTES = 25_000, 16 << 20
 END_ID = 0
 #: Chunks of text whose ids a worker remembers, some 100 MB.
 CACHE = 500_000
+#: Bytes of text whose chunks are told apart together.
+TEXTS = 4 << 20
 #: The pre-tokenizer's pattern (fixed value): pieces are encoded each by itself, which is what makes a cache exact.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict = {}
@@ -61,7 +63,10 @@ class Pieces(dict):
         self.tokenize, self.kind = tokenizer.model.tokenize, kind
 
     def encode(self, p: str) -> bytes:
-        return array(self.kind, [x.id for x in self.tokenize(p.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+        # Of printable ASCII only the space is written by another character.
+        plain = p.isascii() and p.isprintable()
+        shown = p.replace(" ", _VISIBLE[32]) if plain else p.encode().decode("latin-1").translate(_VISIBLE)
+        return array(self.kind, [x.id for x in self.tokenize(shown)]).tobytes()
 
     def __missing__(self, p: str) -> bytes:
         self[p] = ids = self.encode(p)
@@ -70,14 +75,14 @@ class Pieces(dict):
 
 class Chunks(dict):
     """Serialised ids of chunks: what stands between single spaces, with the space before it, or, where it begins with
-    a line break, with that instead. A piece never reaches over the edge of a chunk that has no white space there; for
-    any other chunk a look-up fails, and the text is cut by the pattern as a whole."""
+    a line break, with that instead. A piece never reaches over the edge of a chunk that has no white space there; any
+    other chunk has None, and the text is cut by the pattern as a whole."""
 
     def __init__(self, pieces: Pieces, find) -> None:
         self.pieces, self.find = pieces, find
         self.line = pieces["\n"]
 
-    def __missing__(self, c: str) -> bytes:
+    def __missing__(self, c: str) -> bytes | None:
         base = c.rstrip(punctuation)
         # Letters are one piece; letters and the signs that follow are two, of which the signs have no space before them.
         if base.isalpha():
@@ -89,7 +94,7 @@ class Chunks(dict):
             first = c[:1] == "\n"
             word = c[1:] if first else c
             if not word or word[0].isspace() or word[-1].isspace():
-                raise KeyError(c)
+                return None
             pieces = self.pieces
             ids = (self.line if first else b"") + b"".join([pieces[p] for p in self.find(word if first else " " + word)])
         self[c] = ids
@@ -133,19 +138,40 @@ class Encoder:
         for cache in (self.chunks, self.pieces):
             if len(cache) > CACHE:
                 cache.clear()
-        chunk, piece, skip, out = self.chunks.__getitem__, self.pieces.__getitem__, len(self.chunks.line), []
-        for t in texts:
+        piece, out = self.pieces.__getitem__, []
+        flat, starts, ends, whole = self._by_chunks(texts, kind)
+        end = np.array([END_ID], dtype=kind)
+        for t, a, b, known in zip(texts, starts.tolist(), ends.tolist(), whole.tolist(), strict=True):
             if any(m in t for m in self.marks):
-                out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], dtype=kind))
-                continue
-            try:
-                # As if on a new line, whose id is left out again.
-                raw = b"".join(map(chunk, ("\n" + t).replace("\n", " \n").split(" ")[1:]))[skip:]
-            except KeyError:
-                raw = b"".join(map(piece, self.find(t)))
-            out.append(np.frombuffer(raw + self.end, dtype=kind))
+                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=kind)
+            elif known:
+                ids = flat[a:b]
+            else:
+                ids = np.frombuffer(b"".join(map(piece, self.find(t))), dtype=kind)
+            out.append(np.concatenate((ids, end)))
         return out
 
+    def _by_chunks(self, texts: list[str], kind) -> tuple[np.ndarray, ...]:
+        """(ids of all texts one after the other, where each text's begin and end, which texts are whole in them: those
+        without a chunk that has no ids of its own). Each distinct chunk of the texts is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # As if on a new line, whose id is left out again; the empty chunk before it is passed over.
+        lines = pa.array(["\n" + t for t in texts], pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
+        edges = cut.offsets.to_numpy().astype(np.int64)
+        distinct = cut.values.dictionary_encode()
+        # No chunk holds a space, so the distinct ones are read as one string and cut again.
+        chunks = pa.ListArray.from_arrays(pa.array([0, len(distinct.dictionary)], pa.int32()), distinct.dictionary)
+        chunks = pc.binary_join(chunks, pa.scalar(" ", pa.large_string()))[0].as_py()
+        found = pa.array(map(self.chunks.__getitem__, chunks.split(" ")), pa.large_binary()).take(distinct.indices)
+        _, places, raw = found.buffers()
+        upto = np.frombuffer(places, dtype=np.int64)[: len(found) + 1] // self.width
+        flat = np.frombuffer(raw, dtype=kind, count=upto[-1]) if upto[-1] else np.zeros(0, dtype=kind)
+        failed = np.concatenate(([0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))))
+        return flat, upto[edges[:-1]] + len(self.chunks.line) // self.width, upto[edges[1:]], failed[edges[1:]] == failed[edges[:-1] + 1]
+
 
 def encoder(path: str, added: bool = False) -> Encoder:
     if (path, added) not in _ENCODERS:
@@ -154,7 +180,7 @@ def encoder(path: str, added: bool = False) -> Encoder:
 
 
 def _ids(path: str, batch, added: bool, column: str = "text"):
-    for at, texts in text_batches(batch.column(column)):
+    for at, texts in text_batches(batch.column(column), TEXTS):
         yield at, encoder(path, added).encode([t.decode("utf-8", "replace") for t in texts])
 
 

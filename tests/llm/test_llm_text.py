@@ -385,6 +385,31 @@ def test_token_output_gives_added_tokens_their_ids(spark, tmp_path):
     assert sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in got) == want
 
 
+def test_each_distinct_chunk_is_looked_up_once_for_many_texts():
+    from tokenizers import Tokenizer
+
+    class Counted(tokens.Chunks):
+        n = 0
+
+        def __getitem__(self, c):
+            Counted.n += 1
+            return super().__getitem__(c)
+
+    rng = random.Random(3)
+    bits = ["the", "it's", "12", "漢字", "é", "_-_", "\n", "\n", "  ", "\t", "\x1c", "\u3000", "\r\n", "!?", "<|endoftext|>", "😀", "\x00", *" " * 12]
+    texts = ["", " ", "\n", "\n\n", " \n", "\n a", "a\n", "a "] + ["".join(rng.choice(bits) for _ in range(rng.randrange(20))) for _ in range(400)]
+    for added in (True, False):
+        plain = Tokenizer.from_file(tokens.tokenizer_path())
+        plain.encode_special_tokens = not added
+        own = tokens.Encoder(tokens.tokenizer_path(), added)
+        assert [x.tolist() for x in own.encode(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert own.encode([]) == []
+    own.chunks = Counted(own.pieces, own.find)
+    some = ["a few words\nof two lines"] * 500
+    assert len({tuple(x.tolist()) for x in own.encode(some)}) == 1
+    assert Counted.n < 50
+
+
 def test_row_numbers_do_not_hang_on_how_files_are_split(spark, tmp_path):
     """Splits follow the executors that are alive: results made under one setting and read under another stay equal."""
     docs = frame(spark, rows(80), 4)
