@@ -16,13 +16,19 @@ def plan(df) -> str:
 def test_synonyms_are_looked_up_once_a_title(spark):
     variants = sum(len(g) - 1 for g in SYNONYMS)
     spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
-    two = spark.createDataFrame([("스마트 쉘터 설치", "AI 상담 구매"), ("plain", None)], "a string, b string")
+    two = spark.createDataFrame([("스마트 쉘터 설치", "AI 상담 구매"), ("text", None)], "a string, b string")
     # A plan shows a function of an array twice.
     assert plan(two.select(text.canonical_terms(F.col("a")))).count("regexp_replace(") <= 2 * variants
     got = two.select(text.canonicalize(F.col("a")).alias("c"), text.canonicalize(F.col("b")).alias("d"), text.terms_conflict(F.col("a"), F.col("b")).alias("x")).collect()
-    assert tuple(got[0]) == ("스마트쉘터 설치", "챗봇 구매", True) and tuple(got[1])[:2] == ("plain", None)
+    assert tuple(got[0]) == ("스마트쉘터 설치", "챗봇 구매", True) and tuple(got[1])[:2] == ("text", None)
 
 
 def test_costly_rows_of_a_small_file_are_spread(spark):
-    for name in ("text_conflicts", "text_title_similarity"):
+    for name in ("text_conflicts", "text_title_similarity", "extract_budgets", "extract_minutes"):
         assert "Repartition" in plan(catalog.QUERIES[name](spark, SMALL)), name
+
+
+def test_chunks_are_not_read_twice_to_see_whether_they_say_anything(spark):
+    for name in ("extract_budgets", "extract_minutes"):
+        below = [x for x in plan(catalog.QUERIES[name](spark, SMALL)).split("\n") if "Filter" in x]
+        assert not any("size(" in x for x in below), (name, below)
