@@ -79,24 +79,32 @@ def stage_alerts(recommendations: DataFrame) -> DataFrame:
 
 
 class TenderStatus(StatefulProcessor):
-    """A tender is bid_open when it appears and closed 21 days of event time later, by timer."""
+    """A tender is bid_open when it appears and closed 21 days of event time after its earliest record, by timer. Records
+    of a tender come in any order: an earlier one moves the timer of a tender that is still open."""
+
+    CLOSED = -(2**62)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.out = handle, handle.getValueState("published", "at bigint")
+        self.handle, self.out = handle, handle.getValueState("published", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
+        first = min(at for pdf in rows for at in pdf["at"])
+        ms = -(-pd.Timestamp(first).value // 1_000_000) + BID_OPEN_DAYS * 86_400_000
         new = []
-        for pdf in rows:
-            for at in pdf["at"]:
-                ms = int(pd.Timestamp(at).timestamp() * 1000)
-                if not self.out.exists():
-                    self.out.update((ms,))
-                    self.handle.registerTimer(ms + BID_OPEN_DAYS * 86_400_000)
-                    new.append((key[0], "bid_open", pd.Timestamp(at)))
+        if not self.out.exists():
+            new.append((key[0], "bid_open", pd.Timestamp(first)))
+        elif ms < self.out.get()[0]:
+            self.handle.deleteTimer(self.out.get()[0])
+        else:
+            ms = None
+        if ms is not None:
+            self.out.update((ms,))
+            self.handle.registerTimer(ms)
         yield pd.DataFrame(new, columns=["opportunity_id", "status", "since"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        self.out.update((self.CLOSED,))
         yield pd.DataFrame([(key[0], "closed", at)], columns=["opportunity_id", "status", "since"])
 
     def close(self) -> None:
