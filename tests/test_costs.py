@@ -1,9 +1,11 @@
 """What queries cost in plans: how often an expression is worked out, over how many tasks rows are spread."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from foretide.constants import SYNONYMS
 from foretide.functions import text
+from foretide.operators import governance
 from foretide.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -32,3 +34,20 @@ def test_chunks_are_not_read_twice_to_see_whether_they_say_anything(spark):
     for name in ("extract_budgets", "extract_minutes"):
         below = [x for x in plan(catalog.QUERIES[name](spark, SMALL)).split("\n") if "Filter" in x]
         assert not any("size(" in x for x in below), (name, below)
+
+
+def test_opportunities_are_not_broadcast_for_their_candidates(spark):
+    # Profiles come from rows of no known size, opportunities from a small file that holds many words.
+    shown = catalog.QUERIES["market_candidates"](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    sides = [x for x in shown.split("\n") if "HashJoin" in x and "Inner" in x]
+    assert len(sides) == 3 and all("BuildRight" in x for x in sides), sides
+
+
+def test_a_snapshot_is_whole_at_any_size(spark):
+    none = F.lit(None).cast("string")
+    o = spark.range(1).select(F.col("id").alias("opportunity_id"), F.lit("I").alias("institution"), *[none.alias(c) for c in ("stage", "status", "bid_window_start", "bid_window_end", "conversion_prob")])
+    m = spark.range(100_001).select("id", F.lit(0).cast("long").alias("opportunity_id"), none.alias("stage"), none.alias("observed_at"), F.col("id").alias("document_id"))
+    docs = spark.range(5).select(F.col("id").alias("document_id"), none.alias("published_at"))
+    assert governance.forecast_snapshot(o, m, docs, "I").count() == 100_001 + 5 + 1
+    with pytest.raises(ValueError):
+        governance.forecast_snapshot(o, m, docs, "I", cap=100_000)
