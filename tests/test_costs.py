@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretide.constants import SYNONYMS
-from foretide.functions import text
+from foretide.functions import text, udfs
 from foretide.operators import governance
 from foretide.plans import catalog
 
@@ -51,3 +51,11 @@ def test_a_snapshot_is_whole_at_any_size(spark):
     assert governance.forecast_snapshot(o, m, docs, "I").count() == 100_001 + 5 + 1
     with pytest.raises(ValueError):
         governance.forecast_snapshot(o, m, docs, "I", cap=100_000)
+
+
+def test_equal_features_of_a_text_are_hashed_once(monkeypatch):
+    made = []
+    real = udfs.hashlib.blake2b
+    monkeypatch.setattr(udfs.hashlib, "blake2b", lambda *a, **k: made.append(1) or real(*a, **k))
+    v = udfs.embed_text("qxzj " * 500)
+    assert len(made) <= 8 and abs(float((v * v).sum()) - 1) < 1e-12
