@@ -116,14 +116,11 @@ t AS (SELECT qid, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDE
 SELECT round((SELECT count(*) FROM t JOIN g USING (qid, vec_id)) / (SELECT count(*) FROM t), 6) AS recall""")
 def vector_recall(spark, d):
     """Share of each twentieth vector's thirty nearest that a search within its own label finds."""
-    from foretide.operators.ranking import top_k
-
     e = table(spark, d, "embeddings")
     rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     truth = vectors.nearest(rows, rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 30).select("query_id", "id")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    inside = e.join(q, "label").select("query_id", F.col("vec_id").alias("id"), F.round(scores.cosine(F.col("embedding"), F.col("q")), 6).alias("c"))
-    got = top_k(inside, ["query_id"], [F.desc("c"), F.asc("id")], 30).select("query_id", "id", F.lit(1).alias("hit"))
+    labelled = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    got = vectors.within(labelled, labelled.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), "label", 30).select("query_id", "id", F.lit(1).alias("hit"))
     return truth.join(got, ["query_id", "id"], "left").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
