@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from foretide.constants import SYNONYMS
 from foretide.functions import text, udfs
-from foretide.operators import governance
-from foretide.plans import catalog
+from foretide.operators import governance, partition
+from foretide.plans import catalog, domain
+from foretide.sources import shared
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -59,3 +60,16 @@ def test_equal_features_of_a_text_are_hashed_once(monkeypatch):
     monkeypatch.setattr(udfs.hashlib, "blake2b", lambda *a, **k: made.append(1) or real(*a, **k))
     v = udfs.embed_text("qxzj " * 500)
     assert len(made) <= 8 and abs(float((v * v).sum()) - 1) < 1e-12
+
+
+def test_rounds_of_linking_carry_numbers_not_keys(spark):
+    s = partition.prepared(domain.projects(spark, SMALL)).select("at", "key", "id", "o").collect()
+    assert all(set(r["o"].asDict()) == {"phase", "nth"} for r in s)
+    by = lambda r: (r["at"], r["key"], r["id"])
+    assert sorted(s, key=by) == sorted(s, key=lambda r: r["o"]["nth"])
+
+
+def test_a_table_of_a_round_replaces_the_one_before(spark):
+    path = shared.new_path(spark, "round")
+    shared.stored(spark.range(100), "round", path)
+    assert shared.stored(spark.range(3), "round", path).count() == 3 and spark.read.parquet(path).count() == 3
